@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import bpe_round_trip
 from .common import documents
+from .media import text_media
+from .secret_scan import secret_scan
 from .token_counts import token_counts
 
 
@@ -16,13 +18,23 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(documents(spark, sf_dir))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_secret_scan": op3_secret_scan,
     "op6_token_counts": op6_token_counts,
     "op9_bpe_codec": op9_bpe_codec,
+    "op10_media": op10_media,
 }
 
 ORACLES: dict[str, str] = {}
