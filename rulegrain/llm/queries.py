@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import bpe_round_trip
 from .common import documents
 from .media import text_media
+from .mixing import SQL as MIXING_SQL
+from .mixing import mix
 from .secret_scan import secret_scan
 from .token_counts import token_counts
 
@@ -22,6 +24,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir)).drop("source_key")
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -33,8 +39,9 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op6_token_counts": op6_token_counts,
+    "op7_mixing": op7_mixing,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_media": op10_media,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_mixing": MIXING_SQL}
