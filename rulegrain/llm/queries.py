@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe_codec import bpe_round_trip
 from .common import documents
@@ -14,9 +15,14 @@ from .media import text_media
 from .mixing import SQL as MIXING_SQL
 from .mixing import mix
 from .secret_scan import secret_scan
+from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir)).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -44,6 +50,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_secret_scan": op3_secret_scan,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
     "op9_bpe_codec": op9_bpe_codec,
