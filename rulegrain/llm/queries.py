@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe_codec import bpe_round_trip
 from .common import documents
+from .jaccard_join import jaccard_join
 from .language_id import language_id
 from .media import text_media
 from .mixing import SQL as MIXING_SQL
@@ -19,6 +20,10 @@ from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(documents(spark, sf_dir))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir)).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
@@ -50,6 +55,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_secret_scan": op3_secret_scan,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
