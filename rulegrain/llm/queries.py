@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .bpe_codec import bpe_round_trip
-from .common import documents
+from .common import documents, ready
 from .jaccard_join import jaccard_join
 from .language_id import language_id
 from .media import text_media
@@ -36,6 +37,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
 
+def op2_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(ready(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir))
 
@@ -54,6 +59,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_multiprobe": op2_multiprobe,
     "op3_secret_scan": op3_secret_scan,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_substring_dedup": op5_substring_dedup,
