@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .bpe_codec import bpe_round_trip
 from .common import documents, ready
+from .html_extract import html_extract
 from .jaccard_join import jaccard_join
 from .language_id import language_id
 from .media import text_media
@@ -49,6 +50,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).drop("source_key")
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract(ready(spark).read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
+    "op8_html_extract": op8_html_extract,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_media": op10_media,
 }
