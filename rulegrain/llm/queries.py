@@ -62,6 +62,12 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_multiprobe": op2_multiprobe,
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_media": op10_media,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {"op7_mixing": MIXING_SQL}
