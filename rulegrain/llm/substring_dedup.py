@@ -30,9 +30,9 @@ WINDOW, MINIMISER = 13, 3
 WORD = re.compile(WORD_PATTERN)
 BLANK = re.compile(r"[\x20\x09-\x0D]")
 #: Input bytes for which there is one bucket.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Words of documents that a map task packs at once.
-BATCH_WORDS = 1_000_000
+BATCH_WORDS = 400_000
 #: Characters of a text that are split into words at once.
 SLICE_CHARS = 4 << 20
 
@@ -58,22 +58,38 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def rolled(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of n values."""
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    for i in range(n):
-        out = mixed(out * np.uint64(3) + h[i : len(h) - n + 1 + i])
-    return out
+    """Hashes of all runs of n values, from those of runs half as long."""
+    if n == 1:
+        return mixed(h + np.uint64(1))
+    half = (n + 1) // 2
+    part = rolled(h, half)
+    last = len(h) - n + 1
+    return mixed(part[:last] * np.uint64(3) + part[n - half : n - half + last] + np.uint64(n))
+
 
+def super_kmers(h: np.ndarray, lengths: np.ndarray, window: int = WINDOW, m: int = MINIMISER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents' word hashes, end to end: where runs of windows with one minimiser begin, how many windows each has, its minimiser's hash and its document.
 
-def super_kmers(h: np.ndarray, window: int = WINDOW, m: int = MINIMISER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a document's word hashes: where runs of windows with one minimiser begin, how many windows each has, the minimiser's hash."""
+    Every document has a window's words at least.
+    """
     grams = rolled(h, m)
     span = window - m + 1
     low = grams[: len(grams) - span + 1].copy()
     for i in range(1, span):
         np.minimum(low, grams[i : len(grams) - span + 1 + i], out=low)
-    starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    return starts, np.diff(np.append(starts, len(low))), low[starts]
+    # windows that reach over a document's end aren't windows
+    ends = np.cumsum(lengths)
+    inside = np.zeros(len(h) + 1, np.int64)
+    inside[ends - lengths] += 1
+    inside[ends - window + 1] -= 1
+    real = np.cumsum(inside)[: len(low)] > 0
+    first = np.ones(len(low), bool)
+    first[1:] = low[1:] != low[:-1]
+    first[(ends - lengths)[ends - lengths < len(low)]] = True
+    starts = np.flatnonzero(first & real)
+    document = np.searchsorted(ends, starts, side="right")
+    until = np.minimum(np.append(starts[1:], len(low)), ends[document] - window + 1)
+    return starts, until - starts, low[starts], document
 
 
 def slices(text: str, size: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
@@ -91,62 +107,69 @@ def slices(text: str, size: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]
         at, tail = end, words
 
 
-def _rows(docs: dict[tuple[int, int], list[tuple[int, int]]]) -> pa.RecordBatch:
-    keys = list(docs)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
-            pa.array([[s for s, _ in docs[k]] for k in keys], pa.list_(pa.int32())), pa.array([[n for _, n in docs[k]] for k in keys], pa.list_(pa.int32())),
-        ],
-        schema=RUNS,
-    )
+def _sharded(known: np.ndarray | list, shards: int) -> Iterator[tuple[int, bytes]]:
+    """Runs (doc_id, text_hash, start, windows) as packed tables, by shard of doc_id."""
+    if not len(known):
+        return
+    d, h, s, k = np.ascontiguousarray(np.asarray(known, np.int64).T)
+    shard = (mixed(d.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+    order = np.lexsort((s, h, d, shard))
+    cut = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    for i, j in zip(cut, np.append(cut[1:], len(order)), strict=True):
+        o = order[i:j]
+        yield int(shard[o[0]]), to_bytes(pa.table({"d": d[o], "h": h[o], "s": s[o], "k": k[o]}))
+
+
+def gather(tables: list[pa.Table]) -> pa.RecordBatch:
+    """Runs of a shard, by document."""
+    t = pa.concat_tables(tables)
+    d, h, s, k = (t.column(c).to_numpy() for c in "dhsk")
+    order = np.lexsort((s, h, d))
+    d, h, s, k = d[order], h[order], s[order], k[order]
+    first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])]))
+    offsets = pa.array(np.append(first, len(d)), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (s, k)]
+    return pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(h[first]), *lists], schema=RUNS)
 
 
-def pack(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text_hash, text) to rows (bucket, packed): super-k-mers by bucket; and those known at once, in bucket -1."""
-    schema = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
+BLOBS = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
+
+
+def _blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], schema=BLOBS)
+
+
+def pack(batches: Iterator[pa.RecordBatch], buckets: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text_hash, text) to rows (bucket, packed): super-k-mers by bucket; and runs known at once, by shard (bucket -1 - shard)."""
 
     def emit(todo: list[tuple[int, int, int, list[str]]]) -> pa.RecordBatch:
         words = [w for x in todo for w in x[3]]
         codes, distinct = codes_of(words)
-        h = word_hashes(distinct)[codes]
-        strings: dict[str, int] = {}
-        sent: list[tuple[int, int, int, int, int, str]] = []
-        known: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        ends = np.cumsum([len(x[3]) for x in todo]).tolist()
-        for i in sorted(range(len(todo)), key=lambda i: todo[i][0]):  # smallest documents first
-            doc, text_hash, before, ws = todo[i]
-            starts, n, low = super_kmers(h[ends[i] - len(ws) : ends[i]])
-            for s, k, b in zip(starts.tolist(), n.tolist(), (low % np.uint64(buckets)).tolist(), strict=True):
-                string = " ".join(ws[s : s + k + WINDOW - 1])
-                if strings.setdefault(string, doc) < doc:
-                    known.setdefault((doc, text_hash), []).append((before + s, k))
-                else:
-                    sent.append((b, doc, text_hash, before + s, k, string))
-        sent.sort(key=lambda x: x[0])
-        out_bucket, out = [], []
-        i = 0
-        while i < len(sent):
-            j = i
-            while j < len(sent) and sent[j][0] == sent[i][0]:
-                j += 1
-            table = pa.table(
-                {
-                    "d": pa.array([x[1] for x in sent[i:j]], pa.int64()), "h": pa.array([x[2] for x in sent[i:j]], pa.int64()),
-                    "s": pa.array([x[3] for x in sent[i:j]], pa.int32()), "k": pa.array([x[4] for x in sent[i:j]], pa.int32()), "t": pa.array([x[5] for x in sent[i:j]], pa.string()),
-                }
-            )
-            out_bucket.append(sent[i][0])
-            out.append(to_bytes(table))
-            i = j
-        if known:
-            out_bucket.append(-1)
-            out.append(to_bytes(pa.Table.from_batches([_rows(known)])))
-        return pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out, pa.binary())], schema=schema)
+        lengths = np.array([len(x[3]) for x in todo])
+        starts, k, low, own = super_kmers(word_hashes(distinct)[codes], lengths)
+        doc, text_hash, before = (np.array([x[i] for x in todo], np.int64) for i in range(3))
+        doc, text_hash, at = doc[own], text_hash[own], before[own] + starts - (np.cumsum(lengths) - lengths)[own]
+        joined = " ".join(words).encode()
+        offsets = np.concatenate([[0], np.cumsum(np.array([len(w.encode()) for w in distinct], np.int64)[codes] + 1)])
+        cuts = zip(offsets[starts].tolist(), (offsets[starts + k + WINDOW - 1] - 1).tolist(), strict=True)
+        string = pa.array([joined[i:j] for i, j in cuts], pa.binary()).cast(pa.string())
+        code = string.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        least = np.full(code.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, code, doc)
+        later = doc > least[code]
+        known = np.stack([doc[later], text_hash[later], at[later], k[later]], axis=1)
+        bucket = np.where(later, buckets, (low % np.uint64(buckets)).astype(np.int64))
+        order = np.argsort(bucket, kind="stable")[: len(bucket) - int(later.sum())]
+        out = [(-1 - shard, data) for shard, data in _sharded(known, shards)]
+        cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        for i, j in zip(cut, np.append(cut[1:], len(order)), strict=True):
+            o = order[i:j]
+            out.append((int(bucket[o[0]]), to_bytes(pa.table({"d": doc[o], "h": text_hash[o], "s": at[o].astype(np.int32), "k": k[o].astype(np.int32), "t": string.take(pa.array(o))}))))
+        return _blobs(out)
 
     todo: list[tuple[int, int, int, list[str]]] = []
     size = 0
-    for batch in batches:
+    for batch in (b.slice(at, 128) for b in batches for at in range(0, b.num_rows, 128)):
         for doc, text_hash, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             for before, ws in slices(text):
                 todo.append((doc, text_hash, before, ws))
@@ -169,8 +192,16 @@ def from_bytes(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
-def judge(table: pa.Table) -> pa.RecordBatch:
-    """Of a bucket's super-k-mers, those runs of windows that a smaller document has too."""
+def _equal(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether windows that begin at a and at b have the same words."""
+    same = np.ones(len(a), bool)
+    for i in range(WINDOW):
+        same &= words[a + i] == words[b + i]
+    return same
+
+
+def judge(table: pa.Table) -> list[tuple[int, int, int, int]]:
+    """Of a bucket's super-k-mers, those runs of windows that a smaller document has too: doc_id, text_hash, start, windows."""
     # the same string comes from many batches: its smallest document stands for all, the rest are known at once
     doc, text_hash, start = (table.column(c).to_numpy() for c in "dhs")
     k = table.column("k").to_numpy().astype(np.int64)
@@ -188,32 +219,23 @@ def judge(table: pa.Table) -> pa.RecordBatch:
     owner = np.repeat(np.arange(len(distinct)), kk)
     offset = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(kk)[:-1]]), kk)
     place = begin[owner] + offset
-    h = np.zeros(len(place), np.uint64)
-    base = mixed(words.astype(np.uint64))
-    for i in range(WINDOW):
-        h = mixed(h * np.uint64(3) + base[place + i])
+    h = rolled(words.astype(np.uint64), WINDOW)[place]
     order = np.argsort(h, kind="stable")
-    while True:  # sorted by hash; where neighbours of one hash differ in words, sort by words instead
-        p = place[order]
-        same_hash = h[order][1:] == h[order][:-1]
-        same = same_hash.copy()
-        for i in range(WINDOW):
-            same &= words[p[1:] + i] == words[p[:-1] + i]
-        if (same == same_hash).all():
-            break
-        order = np.lexsort([words[place + i] for i in range(WINDOW)][::-1] + [h])
-        p = place[order]
+    same = h[order][1:] == h[order][:-1]
+    at = np.flatnonzero(same)
+    if not _equal(words, place[order[at]], place[order[at + 1]]).all():
+        # one hash for different words: sort by the words too
+        order = np.lexsort([*(words[place + i] for i in reversed(range(WINDOW))), h])
         same = h[order][1:] == h[order][:-1]
-        for i in range(WINDOW):
-            same &= words[p[1:] + i] == words[p[:-1] + i]
-        break
+        at = np.flatnonzero(same)
+        same[at] = _equal(words, place[order[at]], place[order[at + 1]])
     group = np.concatenate([[0], np.cumsum(~same)]) if len(order) else np.zeros(0, np.int64)
     smallest = np.full(group[-1] + 1 if len(group) else 0, np.iinfo(np.int64).max)
     np.minimum.at(smallest, group, least[owner[order]])
     first = np.empty(len(order), np.int64)
     first[order] = smallest[group]  # smallest document of each window
     begin_w = np.concatenate([[0], np.cumsum(kk)[:-1]])
-    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    found: list[tuple[int, int, int, int]] = []
     # a row of a larger document than its string's smallest is known whole; others window by window
     high = np.maximum.reduceat(first, begin_w) if len(first) else first
     low = np.minimum.reduceat(first, begin_w) if len(first) else first
@@ -225,8 +247,8 @@ def judge(table: pa.Table) -> pa.RecordBatch:
             flags = first[begin_w[g] : begin_w[g] + kk[g]] < doc[r]
             edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
             runs = [(int(start[r] + a), int(b - a)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-        found.setdefault((int(doc[r]), int(text_hash[r])), []).extend(runs)
-    return _rows(found)
+        found += [(int(doc[r]), int(text_hash[r]), a, n) for a, n in runs]
+    return found
 
 
 def dedupe_text(text: str | None, starts: list[int], counts: list[int]) -> tuple[int, int, str]:
@@ -245,24 +267,35 @@ def known_runs(docs: DataFrame, buckets: int) -> DataFrame:
     """doc_id, text_hash, starts, counts: runs of windows that a smaller document has. docs: doc_id, text_hash, text."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return pack(batches, buckets)
+        return pack(batches, buckets, buckets)
 
-    sent = docs.filter("doc_id is not null and text is not null").mapInArrow(packed, "bucket int, packed binary")
-    # blobs known at once go round the buckets: a seed deals them out evenly
-    deal = F.when(F.col("bucket") < 0, F.abs(F.hash("packed")) % buckets).otherwise(F.col("bucket"))
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_bucket: dict[int, list[bytes]] = {}
+    def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+        found: dict[int, list[bytes]] = {}
         for b in batches:
             for bucket, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if bucket < 0:
-                    yield from from_bytes(data).to_batches()
+                    yield bucket, [data]
                 else:
-                    by_bucket.setdefault(bucket, []).append(data)
-        for bucket in list(by_bucket):
-            yield judge(pa.concat_tables(map(from_bytes, by_bucket.pop(bucket))))
+                    found.setdefault(bucket, []).append(data)
+        for bucket in list(found):
+            yield bucket, found.pop(bucket)
 
-    return sent.repartition(buckets, deal).mapInArrow(judged, RUNS_DDL)
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, packs in by_bucket(batches):
+            if bucket < 0:
+                yield _blobs([(-1 - bucket, packs[0])])
+            elif known := judge(pa.concat_tables(map(from_bytes, packs))):
+                yield _blobs(list(_sharded(known, buckets)))
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, packs in by_bucket(batches):
+            yield gather(list(map(from_bytes, packs)))
+
+    ddl = "bucket int, packed binary"
+    sent = docs.filter("doc_id is not null and text is not null").mapInArrow(packed, ddl)
+    # what is known at once only passes through; its hash deals it out evenly
+    deal = F.when(F.col("bucket") < 0, F.abs(F.hash("packed")) % buckets).otherwise(F.col("bucket"))
+    return sent.repartition(buckets, deal).mapInArrow(judged, ddl).repartition(buckets, "bucket").mapInArrow(gathered, RUNS_DDL)
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -285,7 +318,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", bu
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
     if buckets is None:
         buckets = max(12, -(-input_bytes(slim) // BUCKET_BYTES))
-    runs = known_runs(slim, buckets).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("counts")).alias("counts"))
+    runs = known_runs(slim, buckets)
 
     @F.arrow_udf(RESULT)
     def cut(texts: pa.Array, starts: pa.Array, counts: pa.Array) -> pa.Array:
