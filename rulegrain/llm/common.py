@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -14,8 +17,14 @@ ROOT = str(Path(__file__).resolve().parents[2])
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that go to a Python worker at once, where the session still has Spark's 10000: texts may be long.
+BATCH_ROWS = 512
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, wherever the session was made."""
+    """Let Python workers import this package, wherever the session was made, and bound what they get at once."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
@@ -23,6 +32,13 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def trim() -> None:
+    """Give memory that this worker no longer uses back to the system: idle workers stay alive between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, else one of our own."""
     told = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,7 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = shared_dir(spark).rstrip("/")
+    path = f"{base}/rulegrain-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

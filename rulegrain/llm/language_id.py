@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import ready, trim
 
 ORDERS = (1, 2, 3)
 #: Hashed features; a power of two.
@@ -31,7 +31,7 @@ FIT_ROWS = 4000
 CALIBRATE_EVERY = 5
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.02, 0.02, 3
 #: Characters that are hashed at once.
-STRIP = 1 << 20
+STRIP = 1 << 19
 UNKNOWN = "und"
 #: Stands between texts that are hashed together; n-grams with it are dropped.
 BORDER = "\x01"
@@ -217,6 +217,7 @@ def frequencies(learn: DataFrame, text: str = "text") -> DataFrame:
                         seen[f] = True
                 n += seen
                 docs += 1
+        trim()
         f = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(f, FEATURES), pa.int32()), pa.array(np.append(n[f], docs), pa.int64())], names=["feature", "n"])
 
@@ -258,6 +259,7 @@ def predicted(text: Column | str, model: Model) -> Column:
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def run(batch: pa.Array) -> pa.Array:
         names, scores = model.predict(batch.to_pylist())
+        trim()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
     return run(text)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, ready
+from .common import WORD_PATTERN, ready, trim
 
 WINDOW, MINIMISER = 13, 3
 WORD = re.compile(WORD_PATTERN)
@@ -32,7 +32,7 @@ BLANK = re.compile(r"[\x20\x09-\x0D]")
 #: Input bytes for which there is one bucket.
 BUCKET_BYTES = 4 << 20
 #: Words of documents that a map task packs at once.
-BATCH_WORDS = 400_000
+BATCH_WORDS = 250_000
 #: Characters of a text that are split into words at once.
 SLICE_CHARS = 4 << 20
 
@@ -179,11 +179,13 @@ def pack(batches: Iterator[pa.RecordBatch], buckets: int, shards: int) -> Iterat
                     todo, size = [], 0
     if todo:
         yield emit(todo)
+    del todo
+    trim()
 
 
 def to_bytes(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as w:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
         w.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -286,6 +288,7 @@ def known_runs(docs: DataFrame, buckets: int) -> DataFrame:
                 yield _blobs([(-1 - bucket, packs[0])])
             elif known := judge(pa.concat_tables(map(from_bytes, packs))):
                 yield _blobs(list(_sharded(known, buckets)))
+        trim()
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, packs in by_bucket(batches):
