@@ -6,7 +6,7 @@ each has at least 3/4 of its shingles in the other. The join goes through ever f
 1. Every document's set, as 64-bit hashes, is made where its text lies. Hashes under a threshold go to
    buckets, which tell in how many of them a document isn't alone. Documents with too many lonely ones have
    no partner. Equal sets become one class.
-2. Classes that share a minimum hash with another are compared with the smallest of that group, in rounds.
+2. Classes that share a minimum hash with another are compared with the most typical of that group, in rounds.
    So a group of near copies, however large, hangs on one class without pairs inside the group.
 3. What can still link are classes of different clusters. A shingle that only one cluster has can't help,
    so each class keeps those of several. It needs T of them; by DivideSkip its T - 1 longest inverted lists
@@ -23,6 +23,7 @@ import heapq
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, drop_table, ready, table
+from .common import WORD_PATTERN, ready, table, trim
 from .components import components
 from .substring_dedup import codes_of, from_bytes, input_bytes, mixed, rolled, to_bytes
 
@@ -45,7 +46,7 @@ SAMPLED = 0.4
 #: Input bytes for which the first filter has a bucket; tokens of classes for which later steps have one.
 BUCKET_BYTES, BUCKET_TOKENS = 16 << 20, 4_000_000
 #: Words that a map task turns into sets at once, and tokens of one block of classes.
-BATCH_WORDS, BLOCK_TOKENS = 1_000_000, 200_000
+BATCH_WORDS, BLOCK_TOKENS = 500_000, 200_000
 ROUNDS = 4
 ALONE = 0xFFFF
 
@@ -60,11 +61,11 @@ def pair_overlap(n: int, m: int) -> int:
     return -(-(n + m) * PERCENT // (100 + PERCENT))
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets are similar enough; the smaller one probes the larger in blocks, while it may still reach T."""
+def alike(a: np.ndarray, b: np.ndarray, need: int | None = None) -> bool:
+    """Whether two sorted sets share need (T of their sizes) values; the smaller one probes the larger in blocks, while it may still reach that."""
     if len(a) > len(b):
         a, b = b, a
-    need = pair_overlap(len(a), len(b))
+    need = pair_overlap(len(a), len(b)) if need is None else need
     if not len(a) or need > len(a):
         return False
     have, step = 0, max(64, len(a) // 8)
@@ -106,6 +107,8 @@ def _batched(batches: Iterator[pa.RecordBatch], text: int, chars: int = BATCH_WO
                 todo, size = [], 0
     if todo:
         yield todo
+    del todo
+    trim()
 
 
 BLOBS = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
@@ -127,6 +130,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa
                 found.setdefault(bucket, []).append(data)
     for bucket in list(found):
         yield bucket, [from_bytes(x) for x in found.pop(bucket)]
+    trim()
 
 
 def _dealt(df: DataFrame, buckets: int) -> DataFrame:
@@ -215,17 +219,17 @@ def figures(slim: DataFrame, buckets: int) -> DataFrame:
 
 # ---- 2: classes and clusters
 
-CLASSES = "id bigint, n bigint, tokens binary, " + ", ".join(f"k{i} bigint" for i in range(ROUNDS))
+CLASSES = "id bigint, lonely double, n bigint, tokens binary, " + ", ".join(f"k{i} bigint" for i in range(ROUNDS))
 
 
 def make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text) to classes: size, tokens, and a minimum hash for each round."""
-    for rows in _batched(batches, 1):
-        sets = sets_of([r[1] or "" for r in rows])
+    """Rows (id, lonely, text) to classes: size, tokens, and a minimum hash for each round."""
+    for rows in _batched(batches, 2):
+        sets = sets_of([r[2] or "" for r in rows])
         keys = [[int(mixed(s ^ np.uint64(0x5851F42D4C957F2D * (i + 1) % 2**64)).min().view(np.int64)) for s in sets] for i in range(ROUNDS)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), *(pa.array(k, pa.int64()) for k in keys)],
-            names=["id", "n", "tokens", *(f"k{i}" for i in range(ROUNDS))],
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), *(pa.array(k, pa.int64()) for k in keys)],
+            names=["id", "lonely", "n", "tokens", *(f"k{i}" for i in range(ROUNDS))],
         )
 
 
@@ -243,11 +247,15 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def stars(classes: DataFrame) -> DataFrame:
-    """id, cluster: in each round, centers of clusters that share a minimum hash are compared with the smallest of them."""
-    heads = classes.select("id", *(f"k{i}" for i in range(ROUNDS)))
+    """id, cluster: in each round, centers of clusters that share a minimum hash are compared with one of them.
+
+    That one has the smallest share of shingles that nobody else has: of near copies it is the one closest to
+    what they were copied from, and so to all others.
+    """
+    heads = classes.select("id", "lonely", *(f"k{i}" for i in range(ROUNDS)))
     found = None
     for i in range(ROUNDS):
-        groups = heads.groupBy(f"k{i}").agg(F.min("id").alias("b"), F.count("*").alias("m")).filter("m > 1").drop("m")
+        groups = heads.groupBy(f"k{i}").agg(F.min(F.struct("lonely", "id")).alias("center"), F.count("*").alias("m")).filter("m > 1").select(f"k{i}", F.col("center.id").alias("b"))
         pairs = heads.select(F.col("id").alias("a"), f"k{i}").join(groups, f"k{i}").filter("a <> b").select("a", "b")
         links = table(verified(pairs, classes), "stars")
         heads = heads.join(links.select(F.col("a").alias("id")), "id", "left_anti")
@@ -309,7 +317,7 @@ def ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBa
 
 
 def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Questions to (block, tokens of several clusters, their lists' lengths)."""
+    """Questions to (block, tokens of several clusters, their lists' lengths, the smallest cluster of each list)."""
     for _, tables in _by_bucket(batches):
         t = pa.concat_tables(tables)
         token, n, cluster, several, block = (t.column(c).to_numpy() for c in ("token", "n", "cluster", "several", "block"))
@@ -317,99 +325,136 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, c = token[order], cluster[order]
         at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.append(at, len(h)))
-        mixed_ = (np.minimum.reduceat(c, at) != np.maximum.reduceat(c, at)) | np.logical_or.reduceat(several[order], at)
+        first = np.minimum.reduceat(c, at)
+        mixed_ = (first != np.maximum.reduceat(c, at)) | np.logical_or.reduceat(several[order], at)
         total = np.add.reduceat(n[order], at)
         keep = np.repeat(mixed_, size)
-        h, total, who = h[keep], np.repeat(total, size)[keep], block[order][keep]
+        h, total, label, who = h[keep], np.repeat(total, size)[keep], np.repeat(first, size)[keep], block[order][keep]
         by = np.argsort(who, kind="stable")
         ids, begin = np.unique(who[by], return_index=True)
         ends = np.append(begin[1:], len(by))
-        tokens, lengths = h[by], total[by]
+        told = [x[by] for x in (h, total.astype(np.int64), label)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([tokens[i:j].tobytes() for i, j in zip(begin, ends, strict=True)], pa.binary()), pa.array([lengths[i:j].astype(np.int64).tobytes() for i, j in zip(begin, ends, strict=True)], pa.binary())],
-            names=["block", "told", "lengths"],
+            [pa.array(ids, pa.int64()), *(pa.array([x[i:j].tobytes() for i, j in zip(begin, ends, strict=True)], pa.binary()) for x in told)], names=["block", "told", "lengths", "labels"]
         )
 
 
-def short_lists(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (block data, told, lengths) to postings by bucket: of each class that can reach T, its shortest lists."""
+#: Classes of one label that meet in a task; more are dealt into parts, and each pair of parts meets.
+TOGETHER = 4096
+#: Members of merged lists up to which they are merged by a heap; more are sorted.
+HEAP_MEMBERS = 2048
+
+LISTED = "label bigint, classes int, packed binary"
+
+
+def short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block data, told, lengths, labels) to the classes that can reach T, by the labels of their short lists.
+
+    A list's label is its smallest cluster. Partners are both on a short list, so they meet under its label;
+    lists of one family of texts have few labels, so a class goes to few places. It takes its tokens along,
+    those of short lists first.
+    """
     for b in batches:
-        for data, told, lengths in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+        for data, told, lengths, labels in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             ids, cluster, sets = unblock(data)
-            token, size = np.frombuffer(b"".join(told), np.uint64), np.frombuffer(b"".join(lengths), np.int64)
+            token, size, label = np.frombuffer(b"".join(told), np.uint64), np.frombuffer(b"".join(lengths), np.int64), np.frombuffer(b"".join(labels), np.int64)
             order = np.argsort(token, kind="stable")
-            token, size = token[order], size[order]
-            out = []
+            token, size, label = token[order], size[order], label[order]
+            out: dict[int, list[dict]] = {}
             for i, s in enumerate(sets):
                 at = np.searchsorted(token, s).clip(max=len(token) - 1)
                 hit = token[at] == s
                 m, need = int(hit.sum()), least_overlap(len(s))
                 if m < need:
                     continue
-                own, its = s[hit], size[at[hit]]
-                short = own[np.lexsort((own, its))][: m - need + 1]
-                out.append((np.sort(short), np.full(len(short), ids[i]), np.full(len(short), cluster[i]), np.full(len(short), len(s)), np.full(len(short), m)))
-            if not out:
+                own, at = s[hit], at[hit]
+                rank = np.lexsort((own, size[at]))
+                short = m - need + 1
+                row = {"id": int(ids[i]), "cluster": int(cluster[i]), "n": len(s), "short": short, "tokens": own[rank].tobytes()}
+                for x in np.unique(label[at[rank[:short]]]).tolist():
+                    out.setdefault(x, []).append(row)
+            rows = [(x, len(r), to_bytes(pa.Table.from_pylist(r))) for x, r in out.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["label", "classes", "packed"])
+
+
+def search(rows: list[dict], sides: list[int]) -> Iterator[tuple[int, int]]:
+    """Links that join clusters, by T-occurrence: pairs of different sides, or of any if there is one side only.
+
+    Each class merges its short lists, keeps the partners on enough of them, and probes their tokens for its
+    long lists. Clusters that a link has joined aren't compared again.
+    """
+    order = sorted(range(len(rows)), key=lambda i: (rows[i]["n"], rows[i]["id"]))
+    rows, sides = [rows[i] for i in order], [sides[i] for i in order]
+    apart = len(set(sides)) > 1
+    n, short = [r["n"] for r in rows], [r["short"] for r in rows]
+    ranked = [np.frombuffer(r["tokens"], np.uint64) for r in rows]
+    whole = [np.sort(t) for t in ranked]
+    need = [least_overlap(x) for x in n]
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    lists: dict[int, list[int]] = {}
+    for i, t in enumerate(ranked):
+        for x in t[: short[i]].tolist():
+            lists.setdefault(x, []).append(i)
+    for p, t in enumerate(ranked):
+        # partners come after p in order of size, and need at most the shingles that p has among several clusters
+        most = min(len(t) * (100 + PERCENT) // PERCENT - n[p], n[p] * 100 // PERCENT)
+        last = bisect_right(n, most)
+        parts = [x[bisect_right(x, p) : bisect_left(x, last)] for x in (lists[k] for k in t[: short[p]].tolist())]
+        if sum(map(len, parts)) <= HEAP_MEMBERS:
+            hits = [(q, sum(1 for _ in same)) for q, same in groupby(heapq.merge(*[x for x in parts if x]))]
+        else:
+            hits = list(zip(*(x.tolist() for x in np.unique(np.concatenate([np.array(x, np.int64) for x in parts]), return_counts=True)), strict=True))
+        for q, same in hits:
+            overlap = pair_overlap(n[p], n[q])
+            # of T shared tokens in order of lists' lengths, the first T - max(need) + 1 are on both sides' short lists
+            if same <= overlap - max(need[p], need[q]) or overlap > min(len(t), len(ranked[q])) or (apart and sides[p] == sides[q]):
                 continue
-            h, *rest = (np.concatenate([x[k] for x in out]) for k in range(5))
-            order = np.argsort(h, kind="stable")
-            h, rest = h[order], [x[order] for x in rest]
-            yield _blobs([(k, pa.table(dict(zip(("token", "id", "cluster", "n", "m"), [h[i:j], *(x[i:j] for x in rest)], strict=True)))) for k, i, j in _cut(h, buckets)])
+            a, b = find(rows[p]["cluster"]), find(rows[q]["cluster"])
+            if a != b and alike(whole[p], whole[q], overlap):
+                root[a] = b
+                yield rows[p]["id"], rows[q]["id"]
 
 
-def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings to candidate pairs (a, b): each class heap-merges its short lists, cut to sizes that can reach T."""
-    for _, tables in _by_bucket(batches):
-        t = pa.concat_tables(tables)
-        token, ids, cluster, n, m = (t.column(c).to_numpy() for c in ("token", "id", "cluster", "n", "m"))
-        # classes by size; a list holds their places, so its sizes are in order
-        every, first = np.unique(ids, return_index=True)
-        rank = np.lexsort((every, n[first]))
-        place = np.empty(len(every), np.int64)
-        place[rank] = np.arange(len(every))
-        own = place[np.searchsorted(every, ids)]
-        n_, m_, c_, id_ = (x[first][rank].tolist() for x in (n, m, cluster, ids))
-        order = np.lexsort((own, token))
-        h, own, c = token[order], own[order], cluster[order]
-        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        ends = np.append(at[1:], len(h))
-        lists: list[list[int]] = []
-        short: dict[int, list[int]] = {}
-        for i, j in zip(at.tolist(), ends.tolist(), strict=True):
-            if j - i > 1 and c[i:j].min() != c[i:j].max():
-                for p in (members := own[i:j].tolist()):
-                    short.setdefault(p, []).append(len(lists))
-                lists.append(members)
-        found_a, found_b = [], []
-        for p, mine in short.items():
-            # partners come after p in order of size, and need at most the shingles that p has among several clusters
-            most = m_[p] * (100 + PERCENT) // PERCENT - n_[p]
-            last = bisect_right(n_, min(most, n_[p] * 100 // PERCENT))
-            parts = [x[bisect_right(x, p) : bisect_left(x, last)] for x in (lists[k] for k in mine)]
-            before = -1
-            for q in heapq.merge(*[x for x in parts if x]):
-                if q != before and c_[q] != c_[p] and pair_overlap(n_[p], n_[q]) <= min(m_[p], m_[q]):
-                    found_a.append(id_[p])
-                    found_b.append(id_[q])
-                before = q
-            if len(found_a) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
-                found_a, found_b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+def meet_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (label, i, j, side, packed) to links, label by label and pair of parts by pair of parts."""
+    found: dict[tuple[int, int, int], list[tuple[int, bytes]]] = {}
+    for b in batches:
+        for label, i, j, side, data in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+            found.setdefault((label, i, j), []).append((side, data))
+    for key in list(found):
+        rows, sides = [], []
+        for side, data in found.pop(key):
+            more = from_bytes(data).to_pylist()
+            rows += more
+            sides += [side] * len(more)
+        links = list(search(rows, sides))
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
+    trim()
 
 
 def across(classes: DataFrame, clusters: DataFrame) -> DataFrame:
-    """All similar pairs (a, b) of classes in different clusters."""
+    """Similar pairs (a, b) of classes in different clusters: enough of them to join all clusters that links join."""
     tokens = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     buckets = max(12, -(-tokens // BUCKET_TOKENS))
     with_cluster = classes.select("id", "n", "tokens").join(clusters, "id").select("id", "cluster", "n", "tokens")
     in_order = with_cluster.repartitionByRange(buckets, "cluster", "id").sortWithinPartitions("cluster", "id")
     blocks = table(in_order.mapInArrow(to_blocks, "block bigint, packed binary"), "blocks")
     asked = _dealt(blocks.mapInArrow(lambda it: ask(it, buckets), BLOBS_DDL), buckets)
-    told = asked.mapInArrow(answer, "block bigint, told binary, lengths binary").groupBy("block").agg(F.collect_list("told").alias("told"), F.collect_list("lengths").alias("lengths"))
-    posted = blocks.join(told, "block").select("packed", "told", "lengths").mapInArrow(lambda it: short_lists(it, buckets), BLOBS_DDL)
-    pairs = table(_dealt(posted, buckets).mapInArrow(merge, "a bigint, b bigint").distinct(), "pairs")
-    return verified(pairs, classes)
+    kept = ["told", "lengths", "labels"]
+    told = asked.mapInArrow(answer, "block bigint, told binary, lengths binary, labels binary").groupBy("block").agg(*[F.collect_list(c).alias(c) for c in kept])
+    listed = table(blocks.join(told, "block").select("packed", *kept).mapInArrow(short_lists, LISTED), "lists")
+    parts = listed.groupBy("label").agg(F.ceil(F.sum("classes") / TOGETHER).cast("int").alias("parts")).filter("parts > 1")
+    own = listed.join(parts, "label", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.hash("packed"), "parts"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "packed"
+    )
+    return dealt.repartition(buckets, "label", "i", "j").mapInArrow(meet_labels, "a bigint, b bigint")
 
 
 def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -430,9 +475,9 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     )
     sets = sets.select("set_id", F.xxhash64("set_id").alias("id"), F.col("rep.doc_id").alias("least"), F.col("rep.node").alias("node"), "n", "sampled", "shared")
     lonely = F.col("sampled") - F.col("shared")
-    able = sets.filter(lonely <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100)).select("id", "node")
+    able = sets.filter(lonely <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100)).select("id", "node", (lonely / F.greatest("sampled", F.lit(1))).alias("lonely"))
     # rows of equal key and text are one node; any of them will do
-    classes = table(slim.select("node", "text").join(able, "node").dropDuplicates(["id"]).select("id", "text").mapInArrow(make_sets, CLASSES), "classes")
+    classes = table(slim.select("node", "text").join(able, "node").dropDuplicates(["id"]).select("id", "lonely", "text").mapInArrow(make_sets, CLASSES), "classes")
     clusters = stars(classes)
     links = across(classes, clusters)
     ends = links.join(clusters.select(F.col("id").alias("a"), F.col("cluster").alias("ca")), "a").join(clusters.select(F.col("id").alias("b"), F.col("cluster").alias("cb")), "b")
