@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, ready, table, trim
 from .components import components
-from .substring_dedup import codes_of, from_bytes, input_bytes, mixed, rolled, to_bytes
+from .substring_dedup import MOST_PARTS, codes_of, from_bytes, input_bytes, mixed, rolled, to_bytes
 
 SHINGLE = 5
 #: Similarity, in hundredths.
@@ -120,21 +120,27 @@ def _blobs(rows: list[tuple[int, pa.Table]]) -> pa.RecordBatch:
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Table]]]:
-    """Buckets of a task with their tables; tables of no bucket (-1) come one by one."""
-    found: dict[int, list[bytes]] = {}
+    """Buckets of a task, in order, with their tables; tables of no bucket (-1) come one by one."""
+    now, held = None, []
     for b in batches:
         for bucket, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if held and bucket != now:
+                yield now, list(map(from_bytes, held))
+                held = []
             if bucket < 0:
                 yield -1, [from_bytes(data)]
             else:
-                found.setdefault(bucket, []).append(data)
-    for bucket in list(found):
-        yield bucket, [from_bytes(x) for x in found.pop(bucket)]
+                now = bucket
+                held.append(data)
+    if held:
+        yield now, list(map(from_bytes, held))
     trim()
 
 
 def _dealt(df: DataFrame, buckets: int) -> DataFrame:
-    return df.repartition(buckets, F.when(F.col("bucket") < 0, F.abs(F.hash("packed")) % buckets).otherwise(F.col("bucket")))
+    """Blobs by bucket, each task's buckets in order; those of no bucket anywhere."""
+    deal = F.when(F.col("bucket") < 0, F.abs(F.hash("packed")) % buckets).otherwise(F.col("bucket"))
+    return df.repartition(min(buckets, MOST_PARTS), deal).sortWithinPartitions("bucket")
 
 
 # ---- 1: which documents can have a partner
@@ -329,6 +335,8 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixed_ = (first != np.maximum.reduceat(c, at)) | np.logical_or.reduceat(several[order], at)
         total = np.add.reduceat(n[order], at)
         keep = np.repeat(mixed_, size)
+        if not keep.any():
+            continue
         h, total, label, who = h[keep], np.repeat(total, size)[keep], np.repeat(first, size)[keep], block[order][keep]
         by = np.argsort(who, kind="stable")
         ids, begin = np.unique(who[by], return_index=True)
@@ -515,3 +523,14 @@ def brute(docs: pd.DataFrame) -> dict[int, tuple[int, int]]:
                 a, b = find(d), find(o)
                 root[max(a, b)] = min(a, b)
     return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+# The same over all pairs that share a shingle, for DuckDB.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS s FROM w),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) USING (doc_id)
+"""

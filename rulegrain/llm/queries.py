@@ -12,12 +12,14 @@ from .ann import nearest
 from .bpe_codec import bpe_round_trip
 from .common import documents, ready
 from .html_extract import html_extract
+from .jaccard_join import SQL as JACCARD_SQL
 from .jaccard_join import jaccard_join
 from .language_id import language_id
 from .media import text_media
 from .mixing import SQL as MIXING_SQL
 from .mixing import mix
 from .secret_scan import secret_scan
+from .substring_dedup import SQL as DEDUP_SQL
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 
@@ -82,4 +84,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op7_mixing": MIXING_SQL}
+ORACLES: dict[str, str] = {"op4_jaccard_join": JACCARD_SQL, "op5_substring_dedup": DEDUP_SQL, "op7_mixing": MIXING_SQL}

@@ -31,6 +31,8 @@ WORD = re.compile(WORD_PATTERN)
 BLANK = re.compile(r"[\x20\x09-\x0D]")
 #: Input bytes for which there is one bucket.
 BUCKET_BYTES = 4 << 20
+#: Tasks that buckets are dealt to, at most.
+MOST_PARTS = 20_000
 #: Words of documents that a map task packs at once.
 BATCH_WORDS = 250_000
 #: Characters of a text that are split into words at once.
@@ -272,15 +274,19 @@ def known_runs(docs: DataFrame, buckets: int) -> DataFrame:
         return pack(batches, buckets, buckets)
 
     def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
-        found: dict[int, list[bytes]] = {}
+        now, held = None, []
         for b in batches:
             for bucket, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if held and bucket != now:
+                    yield now, held
+                    held = []
                 if bucket < 0:
                     yield bucket, [data]
                 else:
-                    found.setdefault(bucket, []).append(data)
-        for bucket in list(found):
-            yield bucket, found.pop(bucket)
+                    now = bucket
+                    held.append(data)
+        if held:
+            yield now, held
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, packs in by_bucket(batches):
@@ -298,12 +304,21 @@ def known_runs(docs: DataFrame, buckets: int) -> DataFrame:
     sent = docs.filter("doc_id is not null and text is not null").mapInArrow(packed, ddl)
     # what is known at once only passes through; its hash deals it out evenly
     deal = F.when(F.col("bucket") < 0, F.abs(F.hash("packed")) % buckets).otherwise(F.col("bucket"))
-    return sent.repartition(buckets, deal).mapInArrow(judged, ddl).repartition(buckets, "bucket").mapInArrow(gathered, RUNS_DDL)
+    parts = min(buckets, MOST_PARTS)  # a task goes through its buckets in turn
+    met = sent.repartition(parts, deal).sortWithinPartitions("bucket").mapInArrow(judged, ddl)
+    return met.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(gathered, RUNS_DDL)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of a frame's bytes, from its files' sizes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+#: Estimates from here on aren't ones: Spark doesn't know the size of what isn't read from files.
+UNKNOWN_BYTES = 1 << 55
+
+
+def input_bytes(df: DataFrame, text: str = "text") -> int:
+    """Spark's own estimate of a frame's bytes, from its files' sizes; measured where there is none."""
+    told = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if told < UNKNOWN_BYTES:
+        return told
+    return df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
 
 
 RESULT = "struct<n_words: bigint, n_removed: bigint, kept: string>"
@@ -350,3 +365,15 @@ def brute(docs: pd.DataFrame) -> dict[int, tuple[int, int, str]]:
         kept = " ".join(w for w, g in zip(ws, gone, strict=True) if not g)
         out[d] = len(ws), sum(gone), hashlib.sha256(kept.encode()).hexdigest()
     return out
+
+
+# The same window by window, for DuckDB.
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+grams AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+firsts AS (SELECT gram, min(doc_id) AS first FROM grams GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, i + o AS pos FROM grams JOIN firsts USING (gram), (SELECT unnest(range(0, 13)) AS o) WHERE first < doc_id),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""

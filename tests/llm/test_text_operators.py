@@ -1,0 +1,177 @@
+"""Tokenizer, secret, language, media and HTML operators against plain versions and round trips."""
+
+import base64
+import gzip
+import hashlib
+import random
+import urllib.parse
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from rulegrain.llm import bpe_codec, html_extract, language_id, media, secret_scan, token_counts
+
+WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+ODD = [
+    "", "  ", "a  b", "x́ ́e", "İstanbul don't <|endoftext|>foo <|startoftext|> bar", "日本語 テキスト　です", "a\x1cb\x85c d", "aaa" * 5000, "👩‍👩‍👧 fam", "ſ K", "it's   \n\n  <|endoftext|>  x\n", "\n\n a\t\tb \n", "'s's 've", " " * 5000 + "x", "!" * 9000 + "a" * 9000 + "1" * 9000, "日本語" * 4000,
+]
+
+
+def texts(n=400):
+    rng = random.Random(3)
+    return ODD + ["".join(rng.choice("ab '\n\t 1é日　\x85.,!s<|endoftext|>́") for _ in range(rng.randint(1, 60))) for _ in range(n)]
+
+
+def test_counts_are_the_librarys():
+    lib = Tokenizer.from_file(WORD)
+    assert token_counts.count_texts(texts(), WORD) == [len(e) for e in lib.encode_batch(texts(), add_special_tokens=False)]
+    assert token_counts.count_texts([None, ""], WORD) == [0, 0]
+
+
+def test_segments_keep_tokens(monkeypatch):
+    text = " ".join(texts(50)).replace("<|", "")
+    whole = token_counts.count_texts([text], WORD)
+    words = [w for part in token_counts.segments(text, 100) for w in part]
+    assert sum(token_counts.count_texts(words, WORD)) == whole[0]
+
+
+def test_codec_is_the_librarys():
+    lib, own = Tokenizer.from_file(BYTE), bpe_codec.Codec(BYTE)
+    for t in texts():
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert (own.encode(t) if t else []) == ids
+        assert own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
+        out = lib.decode(ids, skip_special_tokens=False)
+        assert own.digest(t) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(out.encode()).hexdigest())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abcdeé日!'", min_size=1, max_size=400), st.integers(2, 16))
+def test_tree_joins_exactly(text, leaf):
+    lib, own = Tokenizer.from_file(BYTE), bpe_codec.Codec(BYTE, leaf)
+    assert own.encode(text) == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_token_operators(spark):
+    rows = spark.createDataFrame([(1, "Hello there", "x"), (2, None, "y"), (None, "Hello there", "z"), (1, "Hello there", "x")], "doc_id bigint, text string, n_tokens string")
+    got = token_counts.token_counts(rows, WORD, limit=1).collect()
+    assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got) == [(0, 11, 2, True), (1, 11, 2, True), (1, 11, 2, True), (2, 0, 0, False)]
+    coded = bpe_codec.bpe_round_trip(rows, BYTE).collect()
+    assert len(coded) == 4 and {r["n_tokens"] for r in coded} == {0, 2}
+    assert bpe_codec.bpe_round_trip(rows.limit(0), BYTE).count() == 0
+    back = rows.filter("doc_id = 2 or doc_id is null").select(bpe_codec.decode(bpe_codec.encode("text", BYTE), BYTE).alias("t")).collect()
+    assert {r["t"] for r in back} == {None, "Hello there"}
+
+
+SECRET = "password=hunter2hunter2"
+B64 = base64.b64encode(f"the {SECRET} end".encode()).decode()
+
+
+@pytest.mark.parametrize("hidden", [
+    SECRET, "password%3Dhunter2hunter2", "".join(f"%{c:02x}" for c in SECRET.encode()), "".join(f"\\u{c:04x}" for c in SECRET.encode()), B64, base64.b64encode(B64.encode()).decode(),
+    urllib.parse.quote(base64.b64encode(gzip.compress(B64.encode())).decode()), "".join(f"%{c:02x}" for c in zlib.compress(SECRET.encode())), base64.b64encode(SECRET.encode("utf-16-le")).decode(),
+    base64.encodebytes(("a" * 100 + SECRET + " b" * 40).encode()).decode(), base64.b64encode(gzip.compress(b"\0" * 20_000_000 + SECRET.encode())).decode(),
+])
+def test_hidden_secrets(hidden):
+    text = f"é日 before {hidden} after"
+    _, spans, _ = secret_scan.scan(text)
+    assert any(k == "assign" for k, _, _ in spans)
+    clean = secret_scan.redact(text, spans)
+    assert clean.startswith("é日 before ") and clean.endswith(" after") and not secret_scan.scan(clean)[1]
+
+
+def test_base_spans():
+    text = "tokentoken=ab secret=:passwd = 12345678 AKIAAKIA AKIA012345678901234 " + "0123456789abcdef" * 2 + "g ſecret=12345678"
+    base, spans, opened = secret_scan.scan(text)
+    assert [(k, text[s:e]) for k, s, e in base] == [("assign", "passwd = 12345678"), ("access", "AKIA012345678901234"), ("hex", "0123456789abcdef" * 2)]
+    assert base == spans and opened == 0
+    cycle = gzip.compress(b"plain")
+    assert secret_scan.scan(base64.b64encode(cycle).decode())[1] == []
+
+
+def test_secret_operator(spark):
+    rows = spark.createDataFrame([(1, SECRET, "s"), (2, None, "s"), (3, "", "s"), (3, "", "s")], "doc_id bigint, text string, spans string")
+    got = {(r["doc_id"], r["n_assign"], r["spans"]) for r in secret_scan.secret_scan(rows).collect()}
+    assert got == {(1, 1, f"assign:0:{len(SECRET)}"), (2, 0, ""), (3, 0, "")}
+
+
+LANGUAGES = {"en": "the of and with this that from house water", "de": "der die und nicht mit schön größe straße", "fr": "le la été être où garçon français"}
+
+
+def language_rows(spark, n=240):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(LANGUAGES[l].split(), k=12)), l) for i in range(n) for l in [list(LANGUAGES)[i % 3]]]
+    return spark.createDataFrame([*rows, (n, None, "en"), (n + 1, "123 --- !", "en"), (n + 2, "the house", None), (n + 2, "the house", None)], "doc_id bigint, text string, lang string")
+
+
+def test_language_id(spark):
+    rows = language_rows(spark)
+    got = language_id.language_id(rows).join(rows.select("doc_id", "lang").distinct(), "doc_id").collect()
+    assert len(got) == 246 or len(got) == 244
+    told = [r for r in got if r["doc_id"] < 240]
+    assert {r["held_out"] for r in told} == {True, False} and {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in told} == {r["doc_id"]: r["held_out"] for r in told}
+    held = [r for r in told if r["held_out"]]
+    assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.98 * len(held) and all(0 <= r["score"] <= 1 for r in got)
+    assert {r["lang_pred"] for r in got if r["doc_id"] in (240, 241)} == {"und"}
+    assert {r["lang_pred"] for r in language_id.language_id(rows.withColumn("lang", rows["lang"].substr(1, 0)).filter("doc_id > 239")).collect()} <= {"und", ""}
+    assert language_id.language_id(rows.limit(0)).count() == 0
+
+
+def test_predictions_dont_depend_on_neighbours():
+    rng = np.random.default_rng(1)
+    model = language_id.Model(("a", "b"), rng.normal(size=(2, language_id.FEATURES)).astype(np.float32), np.zeros(2), 1.0)
+    some = ["one two three", "", None, "étre à la", "x" * 3000, "日本 語"]
+    together = model.predict(some)
+    alone = [model.predict([t]) for t in some]
+    assert together[0] == [a[0][0] for a in alone] and np.allclose(together[1], [a[1][0] for a in alone])
+
+
+def test_pictures():
+    rng = np.random.default_rng(1)
+    g, c = rng.integers(0, 256, (37, 24)).astype(np.uint8), rng.integers(0, 256, (7, 5, 3)).astype(np.uint8)
+    assert (media.decode(media.encode_pgm(g)) == g).all() and (media.decode(media.encode_bmp(c)) == c).all()
+    assert (media.decode(b"P6\n# note\n5 7\n255\n" + c.tobytes()) == c).all()
+    assert media.decode(b"P1\n2 2\n0 1\n1 0\n").tolist() == [[255, 0], [0, 255]] and media.decode(b"P4\n2 1\n\x40").tolist() == [[255, 0]]
+    assert media.decode(b"P2 2 1 15 3 15").tolist() == [[3, 15]]
+    for h, w in ((8, 9), (16, 16), (50, 3), (1, 1)):
+        big = np.kron(g.astype(float), np.ones((h, w)))
+        assert np.allclose(media.area_resize(g, h, w), big.reshape(h, 37, w, 24).mean(axis=(1, 3)))
+    assert media.features_of(b"nope")["error"] and media.features_of(None) == {}
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.text(max_size=900))
+def test_payloads(text):
+    payload, n = media.payload_of(text)
+    assert len(payload) % 576 == 0 and len(payload) >= 576 and payload[:n] == text.encode() and set(payload[n:]) <= {255}
+    told = media.features_of(media.encode_pgm(np.frombuffer(payload, np.uint8).reshape(-1, media.WIDTH)))
+    assert told["payload_sha256"] == hashlib.sha256(payload).hexdigest() and told["tail_crc32"] == zlib.crc32(payload[-32:])
+
+
+def test_media_operator(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "b" * 577)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in media.text_media(rows).collect()}
+    assert got[1]["media_sha256"] == got[2]["media_sha256"] and got[3]["n_bytes"] == 0 and got[3]["payload_bytes"] == 576 and got[4]["payload_bytes"] == 1152
+
+
+PAGE = """<html><body class="has-sidebar"><header><h1>Site</h1></header><div id=wrap><div class="sidebar">Side text</div><div class="post-{n} content"><h2>T &amp; x&nbsp;y</h2><p>One<p>Two <a href="x">link</a> more words here.<ul><li>a<li>b</ul>
+<div class="comments"><p>bad</p></div><!-- c --> tail<br>end</div><div class="cookie-notice">We use</div></div><script>if (a < b) "</p>"</script><footer>f</footer></body></html>"""
+
+
+def test_html(spark):
+    want = "T & x y\nOne\nTwo link more words here.\na\nb\ntail end"
+    assert html_extract.extract(PAGE.format(n=1), None) == want
+    assert html_extract.vote(PAGE.format(n=12))[0] == html_extract.vote(PAGE.format(n=3))[0] == "body.has-sidebar>div>div.content.post-N"
+    rows = [(i, f"https://h{i % 2}.example.com/{i}", PAGE.format(n=i)) for i in range(6)] + [(6, None, PAGE.format(n=6)), (7, "https://h0.example.com", None), (8, "x", "")]
+    got = {r["page_id"]: r for r in html_extract.html_extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i]["text"] == want and got[i]["n_chars"] == len(want) for i in range(7)) and got[7]["text"] == got[8]["text"] == ""
+
+
+def test_consensus_wins():
+    odd = '<body><div class="text"><p>' + "main words " * 10 + '</p></div><div class="x"><p>' + "longer aside words " * 12 + "</p></div></body>"
+    assert html_extract.extract(odd, "body>div.text").startswith("main words")
