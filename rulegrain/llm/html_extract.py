@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import ready, table
 
 # Elements of HTML by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,6 +44,9 @@ CLOSES = {
 #: An end tag or a new item doesn't close elements beyond one of these.
 WALLS = frozenset("table td th ul ol dl body article section main div aside nav footer header form blockquote".split())
 
+#: Hosts up to which their paths are broadcast (some 10 MB), and parts of a host's pages beyond it.
+FEW_HOSTS, SALTS = 50_000, 64
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
@@ -252,6 +255,15 @@ def host_of(url: str = "url"):
     return F.when(host != "", host)
 
 
+def _with_winner(slim: DataFrame, winners: DataFrame) -> DataFrame:
+    """Pages with their host's path. Few hosts are sent to all tasks; of many, each is sent to SALTS tasks, so no host's pages meet in one."""
+    if winners.count() <= FEW_HOSTS:
+        return slim.join(F.broadcast(winners), "host", "left")
+    salted = slim.withColumn("salt", F.pmod(F.xxhash64("key", "url"), F.lit(SALTS)))
+    dealt = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return salted.join(dealt, ["host", "salt"], "left")
+
+
 def html_extract(pages: DataFrame, source: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
     """key, url, text, n_chars for each row of pages.
 
@@ -275,5 +287,5 @@ def html_extract(pages: DataFrame, source: str = "html", url: str = "url", key:
     votes = slim.filter("host is not null and html is not null").select("host", voted("html").alias("v")).select("host", "v.path", "v.score").filter("path is not null")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.round("score", 3).cast("decimal(30,3)")).alias("s"))
     winners = counted.groupBy("host").agg(F.max(F.struct("n", "s", "path")).alias("w")).select("host", F.col("w.path").alias("winner"))
-    done = slim.join(winners, "host", "left").select("key", "url", extracted("html", "winner").alias("text"))
+    done = _with_winner(slim, table(winners, "winners")).select("key", "url", extracted("html", "winner").alias("text"))
     return done.select(F.col("key").alias(key), F.col("url").alias("url"), "text", F.length("text").cast("long").alias("n_chars"))

@@ -163,7 +163,9 @@ PAGE = """<html><body class="has-sidebar"><header><h1>Site</h1></header><div id=
 <div class="comments"><p>bad</p></div><!-- c --> tail<br>end</div><div class="cookie-notice">We use</div></div><script>if (a < b) "</p>"</script><footer>f</footer></body></html>"""
 
 
-def test_html(spark):
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_html(spark, few, monkeypatch):
+    monkeypatch.setattr(html_extract, "FEW_HOSTS", few)
     want = "T & x y\nOne\nTwo link more words here.\na\nb\ntail end"
     assert html_extract.extract(PAGE.format(n=1), None) == want
     assert html_extract.vote(PAGE.format(n=12))[0] == html_extract.vote(PAGE.format(n=3))[0] == "body.has-sidebar>div>div.content.post-N"
