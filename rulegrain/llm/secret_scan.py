@@ -15,7 +15,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -34,8 +34,16 @@ WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+|%u[0-9A-Fa-f]{4}")
 ESCAPE = re.compile(r"(?:\\x[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
-BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{76}\r?\n)+[A-Za-z0-9+/]{2,76}={0,2}|(?:[A-Za-z0-9+/]{64}\r?\n)+[A-Za-z0-9+/]{2,64}={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}")
+# Lines of 76 or 64 characters are one run, whose first line may have more in front; else a run is within a line.
+BASE64 = re.compile(
+    r"[A-Za-z0-9+/_-]++(?<=[A-Za-z0-9+/]{76})\r?\n(?:[A-Za-z0-9+/]{76}\r?\n)*[A-Za-z0-9+/]{2,76}={0,2}|[A-Za-z0-9+/_-]++(?<=[A-Za-z0-9+/]{64})\r?\n(?:[A-Za-z0-9+/]{64}\r?\n)*[A-Za-z0-9+/]{2,64}={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}"
+)
+#: A run has this many characters at least.
+LEAST_RUN = 16
 LONG_RUN = re.compile(r"[A-Za-z0-9+/_-]{16}")
+#: Beginnings of compressed forms, and ASCII as UTF-16, anywhere in bytes.
+PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\0|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
+WIDE = re.compile(rb"(?:[\t\n\r -~]\0){8,}")
 #: Decompressed text is scanned in windows of this many bytes, which overlap.
 WINDOW, OVERLAP = 8 << 20, 1 << 16
 
@@ -213,36 +221,77 @@ def _in_place(parent: Layer, pattern: re.Pattern) -> Iterator[Layer]:
         yield layer
 
 
-def _decoded64(run: str) -> bytes:
-    import base64
+class Encoded(Layer):
+    """A layer whose character i is width bytes of a base64 run, the first of them at byte; places are the parent's places of the run's characters."""
+
+    def __init__(self, text: str, parent: Layer, places: Sequence[int], byte: int, width: int):
+        super().__init__(text, parent)
+        self.places, self.byte, self.width = places, byte, width
+
+    def up(self, start: int, end: int) -> tuple[int, int, bool]:
+        first, last = self.byte + start * self.width, self.byte + end * self.width
+        return self.places[8 * first // 6], self.places[(8 * last - 1) // 6] + 1, True
+
 
-    body = run.replace("\r", "").replace("\n", "").rstrip("=")
-    if len(body) % 4 == 1 or ("-" in body or "_" in body) and ("+" in body or "/" in body):
-        return b""
-    return base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
+def promising(text: str) -> bool:
+    """Whether a text has a match, or something encoded."""
+    return next(matches(text), None) is not None or any(x.search(text) for x in (PERCENT, ESCAPE, LONG_RUN))
 
 
 def _base64(parent: Layer) -> Iterator[Layer]:
+    """Layers of base64 runs. What stands next to a run may be of its alphabet and part of it, so it is decoded at all four alignments.
+
+    Of the first alignment, all text is a layer. Of the others, and of bytes that aren't UTF-8, what is promising is.
+    """
+    import base64
+
     text = parent.text
     for m in BASE64.finditer(text):
-        data = _decoded64(m[0])
-        if not data:
-            continue
-        if packed(data):
-            yield from _block(parent, data, m.start(), m.end())
-            continue
-        wide = len(data) % 2 == 0 and data[1::2].count(0) * 10 >= len(data[1::2]) * 9
-        try:
-            inner = data.decode("utf-16-le" if wide else "utf-8")
-        except UnicodeDecodeError:
-            continue
-        places = [m.start() + i for i, c in enumerate(m[0]) if c not in "\r\n"]
-        layer, byte = Layer(inner, parent), 0
-        for i, c in enumerate(inner):
-            n = len(c.encode("utf-16-le" if wide else "utf-8"))
-            layer.add(i, places[8 * byte // 6], places[(8 * (byte + n) - 1) // 6] + 1, True)
-            byte += n
-        yield layer
+        run = m[0].rstrip("=")
+        body = run.replace("\r", "").replace("\n", "")
+        places = range(m.start(), m.start() + len(run)) if body == run else [m.start() + i for i, c in enumerate(run) if c not in "\r\n"]
+        body = body.replace("-", "+").replace("_", "/")
+        for skip in range(min(4, len(body) - LEAST_RUN + 1)):
+            n = len(body) - skip
+            n -= n % 4 == 1  # one character is no byte
+            data = base64.b64decode(body[skip : skip + n] + "=" * (-n % 4))
+            here = places[skip:]
+            opened = False
+            for at in [0] * packed(data) + [p.start() for p in PACKED.finditer(data) if p.start() or not packed(data)]:
+                for layer in _block(parent, data[at:], here[8 * at // 6], m.end()):
+                    if at == skip == 0:
+                        opened = True
+                        yield layer
+                    elif promising(layer.text):
+                        yield layer
+            if opened:
+                continue
+            wide = skip == 0 and len(data) % 2 == 0 and data[1::2].count(0) * 10 >= len(data[1::2]) * 9
+            code = "utf-16-le" if wide and _text(data, "utf-16-le") is not None else "utf-8"
+            if code == "utf-8" and b"\0" in data:
+                for w in WIDE.finditer(data):
+                    if promising(inner := w[0].decode("utf-16-le")):
+                        yield Encoded(inner, parent, here, w.start(), 2)
+            inner = _text(data, code)
+            shown = data.decode("latin-1") if inner is None else inner
+            if (skip or inner is None) and not promising(shown):
+                continue
+            if code == "utf-8" and len(shown) == len(data):
+                yield Encoded(shown, parent, here, 0, 1)
+                continue
+            layer, byte = Layer(shown, parent), 0
+            for i, c in enumerate(shown):
+                k = len(c.encode(code))
+                layer.add(i, here[8 * byte // 6], here[(8 * (byte + k) - 1) // 6] + 1, True)
+                byte += k
+            yield layer
+
+
+def _text(data: bytes, code: str) -> str | None:
+    try:
+        return data.decode(code)
+    except UnicodeDecodeError:
+        return None
 
 
 def layers(parent: Layer) -> Iterator[Layer]:

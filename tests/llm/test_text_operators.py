@@ -85,6 +85,36 @@ def test_hidden_secrets(hidden):
     assert clean.startswith("é日 before ") and clean.endswith(" after") and not secret_scan.scan(clean)[1]
 
 
+PLAIN = base64.b64encode(SECRET.encode()).decode()
+SLASHED = base64.b64encode(b"\xff\xfe?>" + f"~~?>{SECRET}".encode() + b"?\xff\xff").decode()
+
+
+@pytest.mark.parametrize("around", [
+    "https://h.org/cb/{}", "id_{}", "a-{}", "xy-{}_tail", *("abc"[:n] + "{}" for n in range(4)),
+])
+@pytest.mark.parametrize("inner", [PLAIN, SLASHED, base64.b64encode(gzip.compress(SECRET.encode(), mtime=0)).decode(), base64.b64encode(SECRET.encode("utf-16-le")).decode(), base64.b64encode(PLAIN.encode()).decode()])
+def test_base64_among_its_alphabet(around, inner):
+    assert {"+", "/"} <= set(SLASHED)
+    text = f"see {around.format(inner.rstrip('='))} now"
+    _, spans, _ = secret_scan.scan(text)
+    assert any(k == "assign" for k, _, _ in spans)
+    clean = secret_scan.redact(text, spans)
+    assert clean.startswith("see ") and clean.endswith(" now") and not secret_scan.scan(clean)[1]
+
+
+def test_base64_of_bytes_and_lines():
+    for data in (b"\x89PNG\xff\x00\x80" + SECRET.encode() + b" \xc3", "é".encode()[1:] + b" " + SECRET.encode() + b" \xe6\x97"):
+        text = base64.b64encode(data).decode()
+        (span,) = secret_scan.scan(text)[1]
+        at = data.index(SECRET.encode())
+        assert span == ("assign", 8 * at // 6, (8 * (at + len(SECRET)) - 1) // 6 + 1)
+    line = base64.b64encode(f"{'a ' * 10}{SECRET}{' b' * 7}".encode()).decode()
+    assert len(line) == 76 and secret_scan.scan(f"{line}\nHello world")[1] == [("assign", 26, 58)]
+    # a secret over the line's end, the first line after other characters
+    lines = base64.encodebytes(("a " * 22 + SECRET + " b" * 20).encode()).decode()
+    assert any(k == "assign" for k, _, _ in secret_scan.scan("id_" + lines)[1])
+
+
 def test_base_spans():
     text = "tokentoken=ab secret=:passwd = 12345678 AKIAAKIA AKIA012345678901234 " + "0123456789abcdef" * 2 + "g ſecret=12345678"
     base, spans, opened = secret_scan.scan(text)
