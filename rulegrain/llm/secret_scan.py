@@ -15,8 +15,9 @@ import re
 import zlib
 from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,8 @@ PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\0|\x28\xb5\x2f\xfd|\
 WIDE = re.compile(rb"(?:[\t\n\r -~]\0){8,}")
 #: Decompressed text is scanned in windows of this many bytes, which overlap.
 WINDOW, OVERLAP = 8 << 20, 1 << 16
+#: Bytes that show a compressed form, that a decompressor is fed at once, and that it gives at once.
+HEAD, FED, PIECE = 6, 4096, 1 << 20
 
 
 @dataclass
@@ -101,48 +104,109 @@ def packed(data: bytes) -> bool:
     return data[:2] == b"\x1f\x8b" or data[:3] == b"BZh" or data[:6] == b"\xfd7zXZ\0" or data[:4] == b"\x28\xb5\x2f\xfd" or (data[:1] == b"\x78" and len(data) > 5 and (data[0] * 256 + data[1]) % 31 == 0)
 
 
-def unpacked(data: bytes) -> Iterator[bytes]:
-    """Decompressed bytes in overlapping windows; what was decompressed before an error counts."""
-    if data[:4] == b"\x28\xb5\x2f\xfd":
+def _opener(head: bytes):
+    """A decompressor for what begins with head."""
+    if head[:4] == b"\x28\xb5\x2f\xfd":
         import zstandard
 
-        opened = zstandard.ZstdDecompressor().decompressobj()
-        pieces = (opened.decompress(data[i : i + 4096]) for i in range(0, len(data), 4096))
+        return zstandard.ZstdDecompressor().decompressobj()
+    return bz2.BZ2Decompressor() if head[:3] == b"BZh" else lzma.LZMADecompressor() if head[:1] == b"\xfd" else zlib.decompressobj(47)
+
+
+def _begun(stream: Iterator[bytes], now: bytes = b"", padding: bytes = b"") -> bytes:
+    """now without padding in front, and as much of the stream as shows what it is."""
+    now = now.lstrip(padding) if padding else now
+    while len(now) < HEAD and (piece := next(stream, None)) is not None:
+        now += piece
+        now = now.lstrip(padding) if padding else now
+    return now
+
+
+def _made(opened, data: bytes) -> Iterator[bytes]:
+    """What a decompressor makes of a small piece of data; at most PIECE at once where its library can be told."""
+    if isinstance(opened, bz2.BZ2Decompressor | lzma.LZMADecompressor):
+        yield opened.decompress(data, PIECE)
+        while not opened.eof and not opened.needs_input:
+            yield opened.decompress(b"", PIECE)
+    elif isinstance(opened, type(zlib.decompressobj())):
+        full = True
+        while not opened.eof and (data or full):
+            made = opened.decompress(data, PIECE)
+            data, full = opened.unconsumed_tail, len(made) == PIECE
+            yield made
     else:
-        opened = bz2.BZ2Decompressor() if data[:3] == b"BZh" else lzma.LZMADecompressor() if data[:1] == b"\xfd" else zlib.decompressobj(47)
-
-        def read() -> Iterator[bytes]:
-            rest = data
-            while not opened.eof:
-                piece = opened.decompress(rest, 1 << 20)
-                rest = opened.unconsumed_tail if hasattr(opened, "unconsumed_tail") else b""
-                yield piece
-                if not piece and (not rest or getattr(opened, "needs_input", False)):
-                    return
-
-        pieces = read()
+        yield opened.decompress(data)
+
+
+def unpacked(stream: Iterator[bytes]) -> Iterator[bytes]:
+    """Decompressed bytes of all members of a stream, one after the other; what was decompressed before an error counts.
+
+    What follows the last member, or begins like one more but gives nothing, is told as it stands, after a
+    line's end, as no pattern goes over one.
+    """
+    stream = (piece[i : i + FED] for piece in stream for i in range(0, len(piece), FED))
+    now, first = _begun(stream), True
+    while packed(now):
+        opened, fed, given = _opener(now), b"", False
+        try:
+            while now and not opened.eof:
+                fed = b"" if given else fed + now
+                for made in _made(opened, now):
+                    if made:
+                        given = True
+                        yield made
+                if not opened.eof:
+                    now = next(stream, b"")
+        except Exception:  # noqa: BLE001  each library has errors of its own; broken data ends here
+            if given or first:
+                return
+        if not opened.eof:
+            if given or first:
+                return
+            now = fed
+            break
+        now, first = _begun(stream, opened.unused_data, b"\0"), False
+    if now:
+        yield b"\n" + now
+        yield from stream
+
+
+def _opened(source: Callable[[], Iterator[bytes]]) -> Iterator[bytes]:
+    return unpacked(source())
+
+
+def _digest(stream: Iterator[bytes]) -> bytes:
+    mark = hashlib.sha256()
+    for piece in stream:
+        mark.update(piece)
+    return mark.digest()
+
+
+def _windows(stream: Iterator[bytes]) -> Iterator[bytes]:
+    """A stream in overlapping windows."""
     window = b""
-    try:
-        for piece in pieces:
-            window += piece
-            while len(window) >= WINDOW:
-                yield window[:WINDOW]
-                window = window[WINDOW - OVERLAP :]
-    except Exception:  # noqa: BLE001  each library has errors of its own; broken data ends here
-        pass
+    for piece in stream:
+        window += piece
+        while len(window) >= WINDOW:
+            yield window[:WINDOW]
+            window = window[WINDOW - OVERLAP :]
     if window:
         yield window
 
 
 def _texts(data: bytes) -> Iterator[str]:
-    """Texts in bytes of a compressed form, nested forms opened."""
-    todo = deque([(data, frozenset())])
+    """Texts in bytes of a compressed form, nested forms opened. These are read anew from the outermost bytes each time, never held whole."""
+    todo: deque[tuple[Callable[[], Iterator[bytes]], frozenset[bytes]]] = deque([(lambda: iter([data]), frozenset())])
     while todo:
-        now, seen = todo.popleft()
-        if packed(now) and (mark := hashlib.sha256(now).digest()) not in seen:
-            todo.extend((w, seen | {mark}) for w in unpacked(now))
-        else:
-            yield now.decode("utf-8", "replace")
+        source, seen = todo.popleft()
+        if packed(_begun(source())) and (mark := _digest(source())) not in seen:
+            if next(_opened(source), None) is not None:
+                todo.append((partial(_opened, source), seen | {mark}))
+                continue
+            if not seen:
+                return
+        for window in _windows(source()):
+            yield window.decode("utf-8", "replace")
 
 
 def _block(parent: Layer, data: bytes, start: int, end: int) -> Iterator[Layer]:

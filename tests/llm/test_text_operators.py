@@ -1,8 +1,10 @@
 """Tokenizer, secret, language, media and HTML operators against plain versions and round trips."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import urllib.parse
 import zlib
@@ -115,6 +117,28 @@ def test_base64_of_bytes_and_lines():
     assert any(k == "assign" for k, _, _ in secret_scan.scan("id_" + lines)[1])
 
 
+def zstd(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor().compress(data)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zlib.compress, zstd])
+def test_members_and_nesting(pack):
+    spread = random.Random(3).randbytes(5000)
+    secret = SECRET.encode()
+    for data in (pack(b"a") + pack(secret), pack(spread) + bytes(8) + pack(b"b") + pack(secret), pack(b"a") + secret, pack(b"a") + gzip.compress(secret), pack(b"a") + b"x\x9c" + secret):
+        assert any("hunter2hunter2" in t for t in secret_scan._texts(data))
+    assert list(secret_scan._texts(pack(b"tok") + pack(b"en=") + pack(b"12345678"))) == ["token=12345678"]
+    assert list(secret_scan._texts(pack(b"x\x9c is no stream"))) == ["x\ufffd is no stream"]
+
+
+def test_large_nested_layer():
+    inner = gzip.compress(random.Random(4).randbytes(10 << 20).translate(bytes(i & 127 for i in range(256))) + b" " + SECRET.encode(), 1)
+    assert len(inner) > secret_scan.WINDOW and SECRET.encode() not in inner
+    assert any(SECRET in t for t in secret_scan._texts(gzip.compress(inner, 1)))
+
+
 def test_base_spans():
     text = "tokentoken=ab secret=:passwd = 12345678 AKIAAKIA AKIA012345678901234 " + "0123456789abcdef" * 2 + "g ſecret=12345678"
     base, spans, opened = secret_scan.scan(text)
