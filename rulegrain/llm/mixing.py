@@ -50,13 +50,13 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = SEED, range_digits: int = RANGE_DIGITS) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = SEED, range_digits: int = RANGE_DIGITS, row: str | None = None) -> DataFrame:
     """key, size, source_size, target, taken and source_key for each row of docs.
 
     size is the text's number of words; taken is the words that the mix takes, a multiple of size. Nulls: a
     null text has size 0 and is never taken; null sources are one source, after all others; null keys are
     shuffled like one key. Ties in the shuffle go by size; repeated rows are queued one by one, and which of
-    equal rows is taken can't be told apart. Other columns are not read. An empty table gives an empty
+    equal rows is taken can't be told apart, except by the column row, which is passed on. Other columns are not read. An empty table gives an empty
     result. If all sizes are 0 nothing is taken.
     """
     ready(docs.sparkSession)
@@ -65,7 +65,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     rows = table(
         docs.select(
             F.col(key).alias("key"), F.col(source).alias("source"), source_key.alias("source_key"), shuffled.alias("h"),
-            F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
+            F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"), *([F.col(row).alias("row")] if row else []),
         ),
         "mix",
     )
@@ -104,7 +104,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
         return (f < last[0]) | ((f == last[0]) & (F.col("source_key") <= last[1]))
 
     times = sum(F.when(taken(f), 1).otherwise(0) for f in finishes)
-    return queued.select(F.col("key").alias(key), "size", "source_size", "target", F.when(F.col("size") > 0, F.col("size") * times).otherwise(0).cast("long").alias("taken"), "source_key")
+    return queued.select(F.col("key").alias(key), "size", "source_size", "target", F.when(F.col("size") > 0, F.col("size") * times).otherwise(0).cast("long").alias("taken"), "source_key", *([F.col("row").alias(row)] if row else []))
 
 
 def finish(epoch: int) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import bpe_round_trip
-from .common import ready
+from .common import ready, table
 from .jaccard_join import jaccard_join
 from .language_id import UNKNOWN, fit, held_out, predicted
 from .mixing import mix
@@ -55,13 +55,12 @@ def without_secrets(docs: DataFrame) -> DataFrame:
 
 
 def mixed_sources(docs: DataFrame) -> DataFrame:
-    """The mix: each document as often as it is taken, up to three times. Rows of one doc_id share what is taken of them."""
-    taken = mix(docs).filter("taken > 0").groupBy("doc_id", "source_key", "size").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("times"))
-    d, k, n, t = (fresh(docs, x) for x in ("_d", "_k", "_n", "_t"))
-    right = taken.select(F.col("doc_id").alias(d), F.col("source_key").alias(k), F.col("times").alias(n))
-    here = docs.withColumn(t, F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("z")))
-    joined = here.join(right, here["doc_id"].eqNullSafe(right[d]) & (here[t] == right[k]))
-    e = fresh(docs, "_e")
+    """The mix: each row as often as it is taken, up to three times."""
+    r, n, e = (fresh(docs, x) for x in ("_r", "_n", "_e"))
+    # keys may be null or repeated, so rows are told by numbers, which are written for both sides of the join to agree
+    numbered = table(docs.withColumn(r, F.monotonically_increasing_id()), "numbered")
+    taken = mix(numbered, row=r).filter("taken > 0").select(r, (F.col("taken") / F.col("size")).cast("int").alias(n))
+    joined = numbered.join(taken, r)
     return joined.withColumn(e, F.explode(F.array_repeat(F.lit(0), F.col(n)))).select(docs.columns)
 
 

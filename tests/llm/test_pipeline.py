@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from rulegrain.llm import jaccard_join, secret_scan
+from rulegrain.llm import jaccard_join, mixing, secret_scan, stages
 from rulegrain.llm.common import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -56,3 +56,12 @@ def test_clashing_columns(spark, docs):
     out = corpus_pipeline.STAGES[0][1](spark, more, "")
     assert out.columns == more.columns and isinstance(out.limit(1).toPandas(), pd.DataFrame)
     assert corpus_pipeline.STAGES[1][1](spark, docs.limit(0), "").count() == 0
+
+
+def test_mix_of_rows_without_key(spark):
+    rows = [(None if i % 4 else i, f"r{i} " + "w " * (i % 7), "s" if i % 3 else None) for i in range(120)] + [(8, "r1 w w", "s"), (8, "r1 w w", "s")]
+    docs = spark.createDataFrame([(d, t, "en", s, len(t)) for d, t, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    mixed = stages.mixed_sources(docs).toPandas()
+    words = lambda texts: sum(len(t.split()) for t in texts)
+    assert words(mixed.text) == mixing.mix(docs).toPandas().taken.sum() <= words(t for _, t, _ in rows)
+    assert mixed[mixed.text != "r1 w w"].groupby("text").size().max() <= 3
