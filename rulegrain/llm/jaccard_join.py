@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, ready, table, trim
@@ -465,7 +465,12 @@ def across(classes: DataFrame, clusters: DataFrame) -> DataFrame:
     return dealt.repartition(buckets, "label", "i", "j").mapInArrow(meet_labels, "a bigint, b bigint")
 
 
-def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def node_of(key: str, text: str) -> Column:
+    """What tells rows of different keys or texts apart."""
+    return F.xxhash64(F.col(key).cast("long"), F.col(text))
+
+
+def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", nodes_only: bool = False) -> DataFrame:
     """key, n_shingles, component_id for each row of docs, by links of similarity 0.75 or more between sets of five words.
 
     component_id is the smallest key that links reach. Nulls: a null text, or one without words, has an empty
@@ -473,15 +478,18 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     no links and a null component. Repeated rows give equal results; rows of one key with different texts are
     joined as different documents. Other columns are not read. An empty table gives an empty result. Texts
     are taken whole, and there is no limit on partners, candidates or lists.
+
+    With nodes_only: doc_id, node, first for each distinct key and text with links or words, by node_of(); first
+    is the node of its component with the smallest key.
     """
     ready(docs.sparkSession)
-    slim = docs.select(F.xxhash64(F.col(key).cast("long"), F.col(text)).alias("node"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    slim = docs.select(node_of(key, text).alias("node"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     buckets = max(12, -(-input_bytes(slim) // BUCKET_BYTES))
     nodes = table(figures(slim, buckets), "figures")
     sets = nodes.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(
         F.min(F.struct("doc_id", "node")).alias("rep"), F.max("n").alias("n"), F.max("sampled").alias("sampled"), F.max("shared").alias("shared")
     )
-    sets = sets.select("set_id", F.xxhash64("set_id").alias("id"), F.col("rep.doc_id").alias("least"), F.col("rep.node").alias("node"), "n", "sampled", "shared")
+    sets = sets.select("set_id", F.xxhash64("set_id").alias("id"), F.col("rep" if nodes_only else "rep.doc_id").alias("least"), F.col("rep.node").alias("node"), "n", "sampled", "shared")
     lonely = F.col("sampled") - F.col("shared")
     able = sets.filter(lonely <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100)).select("id", "node", (lonely / F.greatest("sampled", F.lit(1))).alias("lonely"))
     # rows of equal key and text are one node; any of them will do
@@ -493,6 +501,9 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     roots = clusters.join(joined.withColumnRenamed("node", "cluster"), "cluster", "left").select("id", F.coalesce("root", "cluster").alias("root"))
     least = roots.join(sets.select("id", "least"), "id").groupBy("root").agg(F.min("least").alias("component_id"))
     by_set = sets.select("set_id", "id", "least").join(roots, "id", "left").join(least, "root", "left").select("set_id", F.coalesce("component_id", "least").alias("component_id"))
+    if nodes_only:
+        told = nodes.filter("set_id is not null and doc_id is not null").join(by_set, "set_id")
+        return told.select("doc_id", "node", F.col("component_id.node").alias("first"))
     done = nodes.join(by_set, "set_id", "left").withColumn("row", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return done.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe_codec import bpe_round_trip
 from .common import ready, table
-from .jaccard_join import jaccard_join
+from .jaccard_join import jaccard_join, node_of
 from .language_id import UNKNOWN, fit, held_out, predicted
 from .mixing import mix
 from .secret_scan import secrets
@@ -34,12 +34,15 @@ def known_language(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The smallest document of each component of near duplicates; of its repeated rows, one. Documents without words, or with a null doc_id, stay."""
-    joined = jaccard_join(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.max("n_shingles").alias("n"))
-    gone = joined.filter("component_id <> doc_id").select("doc_id")
-    u = fresh(docs, "_u")
-    left = docs.join(gone, "doc_id", "left_anti").withColumn(u, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    return left.dropDuplicates(["doc_id", u]).select(docs.columns)
+    """The smallest document of each component of near duplicates; of its repeated rows, one. Documents without words, or with a null doc_id, stay.
+
+    Rows of one doc_id with different texts are different documents.
+    """
+    h, u = fresh(docs, "_h"), fresh(docs, "_u")
+    gone = jaccard_join(docs, nodes_only=True).filter("first <> node").select("doc_id", F.col("node").alias(h))
+    left = docs.withColumn(h, node_of("doc_id", "text")).join(gone, ["doc_id", h], "left_anti")
+    numbered = left.withColumn(u, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    return numbered.dropDuplicates(["doc_id", h, u]).select(docs.columns)
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:

@@ -65,3 +65,11 @@ def test_mix_of_rows_without_key(spark):
     words = lambda texts: sum(len(t.split()) for t in texts)
     assert words(mixed.text) == mixing.mix(docs).toPandas().taken.sum() <= words(t for _, t, _ in rows)
     assert mixed[mixed.text != "r1 w w"].groupby("text").size().max() <= 3
+
+
+def test_one_of_each_with_namesakes(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (2, a + " more"), (2, b), (3, b), (2, c), (2, c), (4, a), (1, c + " more"), (5, "--"), (5, "..."), (5, "--"), (None, a), (None, a)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in stages.one_of_each(docs).collect())
+    assert kept == sorted([(0, a), (0, a), (1, a), (1, c + " more"), (2, b), (5, "--"), (5, "...")])
