@@ -241,7 +241,7 @@ def extract(source: str | None, winner: str | None) -> str:
     if own is None:
         return "\n".join(blocks(root))
     chosen = [own]
-    if winner and path_of(own) != winner:
+    if winner:
         last = winner.rpartition(">")[2].partition(".")[0]
         on_path = [n for n, _ in containers(root) if n.tag == last and path_of(n) == winner]
         if 2 * sum(n.text for n in on_path) >= own.text:

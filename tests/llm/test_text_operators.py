@@ -231,3 +231,10 @@ def test_html(spark, few, monkeypatch):
 def test_consensus_wins():
     odd = '<body><div class="text"><p>' + "main words " * 10 + '</p></div><div class="x"><p>' + "longer aside words " * 12 + "</p></div></body>"
     assert html_extract.extract(odd, "body>div.text").startswith("main words")
+
+
+def test_all_containers_of_the_path():
+    page = "<body><article><p>" + "first words " * 60 + "</p></article><article><p>" + "second part " * 25 + "</p></article></body>"
+    path, _ = html_extract.vote(page)
+    assert path == "body>article"
+    assert "second part" not in html_extract.extract(page, None) and html_extract.extract(page, path).count("second part") == 25
