@@ -11,7 +11,8 @@ each has at least 3/4 of its shingles in the other. The join goes through ever f
 3. What can still link are classes of different clusters. A shingle that only one cluster has can't help,
    so each class keeps those of several. It needs T of them; by DivideSkip its T - 1 longest inverted lists
    are left aside, and the short ones are merged with a heap: a partner must be in one of those. Candidates
-   then probe the long lists by binary search, until T is reached or out of reach.
+   are then verified by comparing both whole sets, the smaller one probing the larger in blocks, until T is
+   reached or out of reach; the long lists themselves aren't probed.
 
 All links between classes of different clusters are found, so the components are exact (up to equal 64-bit
 hashes of different shingles).
