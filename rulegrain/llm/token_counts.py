@@ -28,7 +28,7 @@ STORE_WORDS = 400_000
 #: Longer words are not kept.
 STORE_CHARS = 64
 
-#: Texts with nothing beyond this range have letters and digits that no Unicode version moves.
+#: Texts with nothing beyond this range, lower-cased too, have letters and digits that no Unicode version moves.
 BEYOND_LATIN = re.compile("[\u0250-\U0010ffff]")
 #: There, what the vocabulary's splitting rule keeps together (after lower-casing).
 LETTERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
@@ -70,7 +70,7 @@ def balanced(words: list[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
 
 def segments(text: str, limit: int = SEGMENT_CHARS) -> Iterator[list[str]]:
     """The words of a text (in Latin texts the pieces of words), cut at white space, about limit characters at a time."""
-    plain = "<|" not in text and not BEYOND_LATIN.search(text)
+    special = "<|" in text
     at = 0
     while at < len(text):
         end = at + limit
@@ -80,8 +80,9 @@ def segments(text: str, limit: int = SEGMENT_CHARS) -> Iterator[list[str]]:
                 nexts = [x for x in (text.find(" ", end), text.find("\n", end)) if x >= 0]
                 end = min(nexts, default=len(text))
         part = text[at:end]
-        if plain:
-            yield PIECES.findall(part.lower())
+        low = part.lower()
+        if not special and (part.isascii() or not (BEYOND_LATIN.search(part) or BEYOND_LATIN.search(low))):
+            yield PIECES.findall(low)
             at = end
             continue
         if "\n" in part or "\t" in part or "\r" in part:
