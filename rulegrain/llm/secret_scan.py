@@ -2,19 +2,23 @@
 
 Every text is scanned as it stands; then each encoded stretch in it (percent escapes, Unicode escapes,
 base64, compressed bytes in any of these) opens a layer, which is scanned and searched for layers in turn,
-until nothing new appears. A layer equal to one of those it came from is a cycle and is left. Each layer
+until nothing new appears. Escapes of all kinds in a text are decoded in one layer. A layer whose text was
+opened before from the same stretch, by whatever way, isn't opened again: that ends cycles too. Each layer
 knows which of its parent's characters every character came from, so spans are told in the outer text.
+
+Layers are opened depth first, and decompressed bytes are read as streams: in windows, and what is encoded
+beyond a window's end is read on from the stream. So memory holds a window for each layer of a nest.
 """
 
 from __future__ import annotations
 
+import base64
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
 from bisect import bisect_right
-from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import partial
@@ -33,30 +37,46 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # a run of 32 and more, as runs are longest
 LEAST = {"assign": 8, "access": 16}
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+|%u[0-9A-Fa-f]{4}")
-ESCAPE = re.compile(r"(?:\\x[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
+ESCAPE = re.compile(
+    r"(?:%[0-9A-Fa-f]{2})+|%u[0-9A-Fa-f]{4}|(?:\\x[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
+)
+ESCAPED_BYTES = re.compile(ESCAPE.pattern.encode())
+#: One escape of a run.
+UNIT = re.compile(r"%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|.+", re.DOTALL)
+#: What begins an escape, and an escape's longest form: one that gives a beginning again, as in %2525252541, is decoded on at once.
+BEGINNINGS, LONGEST = "%\\&", 11
 # Lines of 76 or 64 characters are one run, whose first line may have more in front; else a run is within a line.
 BASE64 = re.compile(
     r"[A-Za-z0-9+/_-]++(?<=[A-Za-z0-9+/]{76})\r?\n(?:[A-Za-z0-9+/]{76}\r?\n)*[A-Za-z0-9+/]{2,76}={0,2}|[A-Za-z0-9+/_-]++(?<=[A-Za-z0-9+/]{64})\r?\n(?:[A-Za-z0-9+/]{64}\r?\n)*[A-Za-z0-9+/]{2,64}={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}"
 )
 #: A run has this many characters at least.
 LEAST_RUN = 16
+OTHER = re.compile(rb"[^A-Za-z0-9+/]")
 LONG_RUN = re.compile(r"[A-Za-z0-9+/_-]{16}")
 #: Beginnings of compressed forms, and ASCII as UTF-16, anywhere in bytes.
 PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\0|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
 WIDE = re.compile(rb"(?:[\t\n\r -~]\0){8,}")
 #: Decompressed text is scanned in windows of this many bytes, which overlap.
-WINDOW, OVERLAP = 8 << 20, 1 << 16
+WINDOW, OVERLAP = 2 << 20, 1 << 16
 #: Bytes that show a compressed form, that a decompressor is fed at once, and that it gives at once.
 HEAD, FED, PIECE = 6, 4096, 1 << 20
 
 
+Source = Callable[[], Iterator[bytes]]
+
+
 @dataclass
 class Layer:
-    """text, and for runs of its characters (from at[i]) the parent's stretch (start[i], end[i]); a run of the same length is verbatim."""
+    """text, and for runs of its characters (from at[i]) the parent's stretch (start[i], end[i]); a run of the same length is verbatim.
+
+    A text that goes on beyond its end has the stream that it is cut from: it is size bytes of it, from begin.
+    """
 
     text: str
     parent: Layer | None = None
+    source: Source | None = None
+    begin: int = 0
+    size: int = 0
     at: list[int] = field(default_factory=list)
     start: list[int] = field(default_factory=list)
     end: list[int] = field(default_factory=list)
@@ -171,7 +191,7 @@ def unpacked(stream: Iterator[bytes]) -> Iterator[bytes]:
         yield from stream
 
 
-def _opened(source: Callable[[], Iterator[bytes]]) -> Iterator[bytes]:
+def _opened(source: Source) -> Iterator[bytes]:
     return unpacked(source())
 
 
@@ -182,42 +202,115 @@ def _digest(stream: Iterator[bytes]) -> bytes:
     return mark.digest()
 
 
-def _windows(stream: Iterator[bytes]) -> Iterator[bytes]:
-    """A stream in overlapping windows."""
-    window = b""
+def _from(source: Source, begin: int) -> Iterator[bytes]:
+    """A stream's bytes from begin on."""
+    for piece in source():
+        if begin < len(piece):
+            yield piece[begin:] if begin else piece
+        begin = max(0, begin - len(piece))
+
+
+def _windows(stream: Iterator[bytes]) -> Iterator[tuple[int, bytes, bool]]:
+    """A stream in overlapping windows: where each begins, its bytes, and whether it is the last."""
+    begin, held = 0, bytearray()
     for piece in stream:
-        window += piece
-        while len(window) >= WINDOW:
-            yield window[:WINDOW]
-            window = window[WINDOW - OVERLAP :]
-    if window:
-        yield window
+        held += piece
+        while len(held) > WINDOW:
+            yield begin, bytes(held[:WINDOW]), False
+            del held[: WINDOW - OVERLAP]
+            begin += WINDOW - OVERLAP
+    if held:
+        yield begin, bytes(held), True
 
 
-def _texts(data: bytes) -> Iterator[str]:
-    """Texts in bytes of a compressed form, nested forms opened. These are read anew from the outermost bytes each time, never held whole."""
-    todo: deque[tuple[Callable[[], Iterator[bytes]], frozenset[bytes]]] = deque([(lambda: iter([data]), frozenset())])
+def _inside(window: bytes, last: bool) -> Iterator[int]:
+    """Where compressed forms that give anything begin, beyond a window's first byte; those of its overlap are left to the next."""
+    for m in PACKED.finditer(window, 1):
+        if (last or m.start() <= WINDOW - OVERLAP) and any(unpacked(iter([window[m.start() : m.start() + FED]]))):
+            yield m.start()
+
+
+def _pieces(source: Source) -> Iterator[tuple[str, Source, int, int, bool]]:
+    """Texts in a stream that begins with a compressed form, in windows, forms in it opened: text, and the stream, begin, size and end it is cut from.
+
+    Nested forms are read anew from the outermost bytes each time, never held whole.
+    """
+    todo: list[tuple[Source, frozenset[bytes]]] = [(source, frozenset())]
     while todo:
-        source, seen = todo.popleft()
+        source, seen = todo.pop()
         if packed(_begun(source())) and (mark := _digest(source())) not in seen:
             if next(_opened(source), None) is not None:
                 todo.append((partial(_opened, source), seen | {mark}))
                 continue
             if not seen:
                 return
-        for window in _windows(source()):
-            yield window.decode("utf-8", "replace")
+        for begin, window, last in _windows(source()):
+            yield window.decode("utf-8", "replace"), source, begin, len(window), last
+            for at in _inside(window, last):
+                todo.append((partial(_from, source, begin + at), seen | {b"inside"}))
 
 
-def _block(parent: Layer, data: bytes, start: int, end: int) -> Iterator[Layer]:
+def _texts(data: bytes) -> Iterator[str]:
+    """Texts in bytes of a compressed form, window by window."""
+    return (text for text, *_ in _pieces(lambda: iter([data])))
+
+
+def _block(parent: Layer, source: Source, start: int, end: int) -> Iterator[Layer]:
     """Layers of compressed bytes; all their characters come from the whole stretch."""
-    for text in _texts(data):
+    for text, stream, begin, size, last in _pieces(source):
         if text:
-            layer = Layer(text, parent)
+            layer = Layer(text, parent, None if last else stream, begin, size)
             layer.add(0, start, end, True)
             yield layer
 
 
+def _rest(parent: Layer, start: int, decoded: Callable[[Source, int], Iterator[bytes]], data: bytes) -> Source:
+    """The bytes that an encoded run up to the end of parent's text gives, read on from its stream; data is what its text gives."""
+    if parent.source is None:
+        return lambda: iter([data])
+    source = partial(decoded, parent.source, parent.begin + parent.size - (len(parent.text) - start))
+    return source if _begun(source())[:HEAD] == data[:HEAD] else lambda: iter([data])
+
+
+def _unescaped(source: Source, begin: int) -> Iterator[bytes]:
+    """A stream from begin with its escapes decoded."""
+    rest = b""
+    for piece in _from(source, begin):
+        rest += piece
+        cut = max(rest.rfind(c.encode(), len(rest) - LONGEST) for c in BEGINNINGS)
+        cut = len(rest) if cut < 0 else cut
+        yield ESCAPED_BYTES.sub(_escaped_bytes, rest[:cut])
+        rest = rest[cut:]
+    yield ESCAPED_BYTES.sub(_escaped_bytes, rest)
+
+
+def _escaped_bytes(m: re.Match) -> bytes:
+    run = m[0].decode()
+    return _raw(run) or "".join(c for c, _ in _escaped(run)).encode()
+
+
+def _raw(run: str) -> bytes:
+    """The bytes of a run of escapes of bytes; none of another run."""
+    return bytes.fromhex(run.replace("%", "").replace("\\x", "")) if run[0] == "%" and run[1] != "u" or run[:2] == "\\x" else b""
+
+
+def _unbased(source: Source, begin: int, skip: int) -> Iterator[bytes]:
+    """The bytes of a stream's base64 run from begin, without its first skip characters."""
+    held = b""
+    for piece in _from(source, begin):
+        held += piece.replace(b"\r", b"").replace(b"\n", b"").replace(b"-", b"+").replace(b"_", b"/")
+        drop, skip = min(skip, len(held)), skip - min(skip, len(held))
+        end = OTHER.search(held, drop)
+        held = held[drop : end.start() if end else len(held)]
+        if end:
+            break
+        whole = len(held) // 4 * 4
+        yield base64.b64decode(held[:whole])
+        held = held[whole:]
+    held = held[: len(held) - (len(held) % 4 == 1)]
+    yield base64.b64decode(held + b"=" * (-len(held) % 4))
+
+
 def _chars(data: bytes) -> Iterator[tuple[str, int]]:
     """Characters of bytes as UTF-8, with their bytes' number; a byte that isn't UTF-8 stands for its code point."""
     i = 0
@@ -258,38 +351,51 @@ def _escaped(run: str) -> Iterator[tuple[str, int]]:
         yield _point(int(run[2:].strip("{}"), 16)), len(run)
 
 
-def _in_place(parent: Layer, pattern: re.Pattern) -> Iterator[Layer]:
-    """The text with all matches of an escape pattern decoded; and layers of compressed bytes among them."""
+def _beginning(run: str) -> str:
+    """The one character that an escape stands for, if it begins an escape; else nothing."""
+    c = next(_escaped(run))[0] if run else ""
+    return c if c in BEGINNINGS else ""
+
+
+def _in_place(parent: Layer) -> Iterator[Layer]:
+    """The text with all its escapes decoded; and layers of compressed bytes among them.
+
+    An escape that gives the beginning of another one, which plain characters after it complete, is decoded
+    on until it doesn't: a chain of them is one layer, however long. No pattern has their characters.
+    """
     text, layer, out, size, last = parent.text, Layer("", parent), [], 0, 0
-    for m in pattern.finditer(text):
-        run = m[0]
-        if run[0] == "%" and run[1] != "u" or run[:2] == "\\x":
-            data = bytes.fromhex(run.replace("%", "").replace("\\x", ""))
-            if packed(data):
-                yield from _block(parent, data, m.start(), m.end())
-        if m.start() > last:
-            layer.add(size, last, m.start(), False)
-            out.append(text[last : m.start()])
-            size += m.start() - last
-        at = m.start()
+    while m := ESCAPE.search(text, last):
+        run, at, end = m[0], m.start(), m.end()
+        if packed(data := _raw(run)):
+            whole = _rest(parent, at, _unescaped, data) if end == len(text) else partial(iter, [data])
+            yield from _block(parent, whole, at, end)
+        if at > last:
+            layer.add(size, last, at, False)
+            out.append(text[last:at])
+            size += at - last
         for c, n in _escaped(run):
+            if c in BEGINNINGS and at + n == end:
+                while (more := ESCAPE.match(c + text[end : end + LONGEST])) and (new := _beginning(unit := UNIT.match(more[0])[0])):
+                    c, n, end = new, n + len(unit) - 1, end + len(unit) - 1
             layer.add(size, at, at + n, True)
             out.append(c)
             size, at = size + 1, at + n
-        last = m.end()
+        last = end
     if out:
         if last < len(text):
             layer.add(size, last, len(text), False)
             out.append(text[last:])
         layer.text = "".join(out)
+        if parent.source is not None:
+            layer.source, layer.size = partial(_unescaped, parent.source, parent.begin), len(layer.text.encode("utf-8", "replace"))
         yield layer
 
 
 class Encoded(Layer):
     """A layer whose character i is width bytes of a base64 run, the first of them at byte; places are the parent's places of the run's characters."""
 
-    def __init__(self, text: str, parent: Layer, places: Sequence[int], byte: int, width: int):
-        super().__init__(text, parent)
+    def __init__(self, text: str, parent: Layer, places: Sequence[int], byte: int, width: int, source: Source | None = None):
+        super().__init__(text, parent, source, 0, len(text))
         self.places, self.byte, self.width = places, byte, width
 
     def up(self, start: int, end: int) -> tuple[int, int, bool]:
@@ -299,7 +405,7 @@ class Encoded(Layer):
 
 def promising(text: str) -> bool:
     """Whether a text has a match, or something encoded."""
-    return next(matches(text), None) is not None or any(x.search(text) for x in (PERCENT, ESCAPE, LONG_RUN))
+    return next(matches(text), None) is not None or any(x.search(text) for x in (ESCAPE, LONG_RUN))
 
 
 def _base64(parent: Layer) -> Iterator[Layer]:
@@ -307,8 +413,6 @@ def _base64(parent: Layer) -> Iterator[Layer]:
 
     Of the first alignment, all text is a layer. Of the others, and of bytes that aren't UTF-8, what is promising is.
     """
-    import base64
-
     text = parent.text
     for m in BASE64.finditer(text):
         run = m[0].rstrip("=")
@@ -321,8 +425,11 @@ def _base64(parent: Layer) -> Iterator[Layer]:
             data = base64.b64decode(body[skip : skip + n] + "=" * (-n % 4))
             here = places[skip:]
             opened = False
+            goes_on = parent.source is not None and m.end() == len(text)
+            stream = _rest(parent, m.start(), partial(_unbased, skip=skip), data) if goes_on else None
             for at in [0] * packed(data) + [p.start() for p in PACKED.finditer(data) if p.start() or not packed(data)]:
-                for layer in _block(parent, data[at:], here[8 * at // 6], m.end()):
+                whole = partial(_from, stream, at) if goes_on else partial(iter, [data[at:]])
+                for layer in _block(parent, whole, here[8 * at // 6], m.end()):
                     if at == skip == 0:
                         opened = True
                         yield layer
@@ -341,9 +448,9 @@ def _base64(parent: Layer) -> Iterator[Layer]:
             if (skip or inner is None) and not promising(shown):
                 continue
             if code == "utf-8" and len(shown) == len(data):
-                yield Encoded(shown, parent, here, 0, 1)
+                yield Encoded(shown, parent, here, 0, 1, stream)
                 continue
-            layer, byte = Layer(shown, parent), 0
+            layer, byte = Layer(shown, parent, stream if code == "utf-8" else None, 0, len(data)), 0
             for i, c in enumerate(shown):
                 k = len(c.encode(code))
                 layer.add(i, here[8 * byte // 6], here[(8 * (byte + k) - 1) // 6] + 1, True)
@@ -361,34 +468,38 @@ def _text(data: bytes, code: str) -> str | None:
 def layers(parent: Layer) -> Iterator[Layer]:
     """What is encoded in a layer, one step down."""
     text = parent.text
-    if "%" in text and PERCENT.search(text):
-        yield from _in_place(parent, PERCENT)
-    if ("\\" in text or "&#" in text) and ESCAPE.search(text):
-        yield from _in_place(parent, ESCAPE)
+    if ("%" in text or "\\" in text or "&#" in text) and ESCAPE.search(text):
+        yield from _in_place(parent)
     if LONG_RUN.search(text):
         yield from _base64(parent)
 
 
+def _mark(layer: Layer) -> tuple[bytes, int, int]:
+    """What tells whether a layer was opened before: its text, and the stretch that it came from."""
+    begin, end, _ = layer.root(0, len(layer.text))
+    return hashlib.sha256(layer.text.encode("utf-8", "replace")).digest(), begin, end
+
+
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
     """Base spans, all spans (both sorted by start, kind, end), and the number of layers that were opened."""
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     base = sorted(matches(text or ""), key=order)
     found, opened = set(base), 0
-    todo = deque([(Layer(text or ""), frozenset())])
+    seen: set[tuple[bytes, int, int]] = set()
+    todo = [layers(Layer(text or ""))]  # the way down to the layer that is scanned now
     while todo:
-        parent, seen = todo.popleft()
-        for layer in layers(parent):
-            if not seen:
-                seen = frozenset([hashlib.sha256(parent.text.encode("utf-8", "replace")).digest()])
-            mark = hashlib.sha256(layer.text.encode("utf-8", "replace")).digest()
-            if mark in seen:
-                continue
-            opened += 1
-            for kind, start, end in matches(layer.text):
-                start, end, decoded = layer.root(start, end)
-                if decoded:
-                    found.add((kind, start, end))
-            todo.append((layer, seen | {mark}))
+        if (layer := next(todo[-1], None)) is None:
+            todo.pop()
+            continue
+        if not layer.text or (mark := _mark(layer)) in seen:
+            continue
+        seen.add(mark)
+        opened += 1
+        for kind, start, end in matches(layer.text):
+            start, end, decoded = layer.root(start, end)
+            if decoded:
+                found.add((kind, start, end))
+        todo.append(layers(layer))
     return base, sorted(found, key=order), opened
 
 
@@ -432,7 +543,7 @@ def secret_scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
     Nulls: a null text counts as empty, a null key is passed on. Repeated rows give equal results. Other
     columns are not read. An empty table gives an empty result. Texts are scanned whole; decompressed layers
-    are scanned in overlapping windows, so memory stays bounded. spans holds the base spans and those of all
+    are read as streams, a window at a time, so memory doesn't grow with what they unpack to. spans holds the base spans and those of all
     layers, told once each, by start, kind and end in code points of the text.
     """
     ready(docs.sparkSession)
