@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -47,11 +48,20 @@ WALLS = frozenset("table td th ul ol dl body article section main div aside nav
 #: Hosts up to which their paths are broadcast (some 10 MB), and parts of a host's pages beyond it.
 FEW_HOSTS, SALTS = 50_000, 64
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>", re.DOTALL)
-ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+COMMENT_END = re.compile(r"--!?>")
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+GAP, EQUALS = re.compile(r"[\s/]*"), re.compile(r"\s*=\s*")
+ATTRIBUTE, UNQUOTED = re.compile(r"=?[^\s/>=]*"), re.compile(r"[^\s>]*")
 SPACE = re.compile(r"\s+")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 DIGITS = re.compile(r"\d+|[0-9a-f]{8,}")
+#: Names of what readers wrote: it is left out even where it is most of a page.
+READERS = frozenset("comment comments disqus reply replies respond".split())
+#: Elements that an element closes when it begins.
+CLOSED_BY: dict[str, list[str]] = {}
+for _open, _by in CLOSES.items():
+    for _tag in _by:
+        CLOSED_BY.setdefault(_tag, []).append(_open)
 
 
 @dataclass(eq=False)
@@ -66,66 +76,137 @@ class Node:
     linked: int = 0
 
 
+class Tree:
+    """Open elements while a page is read. Where elements of a tag stand among them is kept, so nothing walks up a deep nest in vain."""
+
+    def __init__(self) -> None:
+        self.open = [Node("html")]
+        self.places: dict[str, list[int]] = {}
+        self.walls: list[int] = []
+
+    def text(self, text: str) -> None:
+        self.open[-1].children.append(text)
+
+    def cut(self, place: int) -> None:
+        """Close all from place on."""
+        while len(self.open) > place:
+            self.places[self.open.pop().tag].pop()
+        while self.walls and self.walls[-1] >= place:
+            self.walls.pop()
+
+    def begin(self, tag: str, attributes: dict[str, str], stays: bool) -> None:
+        # a new item closes the outermost element of its kind on this side of a wall; cells are no walls for rows
+        wall = next((w for w in reversed(self.walls) if self.open[w].tag not in ("td", "th")), 0) if tag in CLOSED_BY else 0
+        found = [p[i] for t in CLOSED_BY.get(tag, ()) if (p := self.places.get(t)) and (i := bisect_right(p, wall)) < len(p)]
+        if found:
+            self.cut(min(found))
+        node = Node(tag, attributes, self.open[-1])
+        self.open[-1].children.append(node)
+        if stays:
+            self.places.setdefault(tag, []).append(len(self.open))
+            if tag in WALLS:
+                self.walls.append(len(self.open))
+            self.open.append(node)
+
+    def end(self, tag: str) -> None:
+        places = self.places.get(tag)
+        if places and (tag in WALLS or not self.walls or places[-1] > self.walls[-1]):
+            self.cut(places[-1])
+
+
+def _attributes(source: str, at: int, unclosed: set[str]) -> tuple[dict[str, str], bool, int]:
+    """A begin tag's attributes from behind its name, whether it ends with a slash, and where it ends (-1 if it doesn't).
+
+    A quote that nothing closes is a character like others; unclosed remembers that, so it is looked for once.
+    """
+    found: dict[str, str] = {}
+    while True:
+        gap = GAP.match(source, at)
+        at = gap.end()
+        if at >= len(source):
+            return found, False, -1
+        if source[at] == ">":
+            return found, gap[0].endswith("/"), at + 1
+        name = ATTRIBUTE.match(source, at)
+        at, value = name.end(), ""
+        if equals := EQUALS.match(source, at):
+            at = equals.end()
+            quote = source[at : at + 1]
+            close = source.find(quote, at + 1) if quote and quote in "\"'" and quote not in unclosed else -1
+            if close >= 0:
+                at, value = close + 1, source[at + 1 : close]
+            else:
+                if quote and quote in "\"'":
+                    unclosed.add(quote)
+                plain = UNQUOTED.match(source, at)
+                at, value = plain.end(), plain[0]
+        found.setdefault(name[0].lower(), html.unescape(value))
+
+
+def _end(at: int, size: int, length: int) -> int:
+    return length if at < 0 else at + size
+
+
 def parse(source: str) -> Node:
-    """A tree of elements and decoded texts; comments go, open elements are closed as browsers roughly do."""
-    root = now = Node("html")
-    at = 0
-    while at < len(source):
-        m = TOKEN.search(source, at)
-        end = m.start() if m else len(source)
-        if end > at:
-            now.children.append(html.unescape(source[at:end]))
-        if not m:
-            break
-        at = m.end()
-        if m[0].startswith("<![CDATA["):
-            now.children.append(m[0][9:-3])
-        if not m[2]:
+    """A tree of elements and decoded texts, in one pass; comments go, open elements are closed as browsers roughly do.
+
+    What begins like a tag but doesn't end is text.
+    """
+    tree, length = Tree(), len(source)
+    at = begin = 0
+    unclosed: set[str] = set()
+    tags_end = False
+
+    def told(until: int) -> None:
+        if until > begin:
+            tree.text(html.unescape(source[begin:until]))
+
+    while (lt := source.find("<", at)) >= 0:
+        at = lt + 1
+        after = source[at : at + 1]
+        if after == "!" or after == "?":
+            told(lt)
+            if source.startswith("<!--", lt):
+                short = 5 if source.startswith("<!-->", lt) else 6 if source.startswith("<!--->", lt) else 0
+                close = None if short else COMMENT_END.search(source, lt + 4)
+                at = lt + short if short else close.end() if close else length
+            elif source.startswith("<![CDATA[", lt):
+                close = source.find("]]>", lt + 9)
+                tree.text(source[lt + 9 : close if close >= 0 else length])
+                at = _end(close, 3, length)
+            else:
+                at = _end(source.find(">", at), 1, length)
+            begin = at
             continue
-        tag = m[2].lower()
-        if m[1]:
-            now = _closed(now, tag)
+        ends = after == "/"
+        name = TAG_NAME.match(source, at + ends)
+        if not name or tags_end:
             continue
-        attributes = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in ATTRIBUTE.finditer(m[3])} if m[3] else {}
-        if tag == "html":
-            root.attributes |= attributes
+        attributes, slash, end = _attributes(source, name.end(), unclosed)
+        if end < 0:  # so no tag after it ends either
+            tags_end = True
             continue
-        now = _room(now, tag)
-        node = Node(tag, attributes, now)
-        now.children.append(node)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|</{tag}\Z", re.IGNORECASE).search(source, at)
-            at = end.end() if end else len(source)
-        elif tag not in VOID and not m[3].rstrip().endswith("/") or tag in CONTAINERS:
-            now = node
-    return root
-
-
-def _closed(now: Node, tag: str) -> Node:
-    node = now
-    while node.parent is not None and node.tag != tag:
-        if node.tag in WALLS and tag not in WALLS:
-            return now
-        node = node.parent
-    return node.parent if node.tag == tag and node.parent is not None else now
-
-
-def _room(now: Node, tag: str) -> Node:
-    """The open element that a new one goes into."""
-    node = now
-    while node.parent is not None:
-        if tag in CLOSES.get(node.tag, ()):
-            now = node.parent
-        if node.tag in WALLS and node.tag not in ("td", "th"):
-            break
-        node = node.parent
-    return now
-
-
-def _named(node: Node) -> bool:
+        told(lt)
+        at = begin = end
+        tag = name[0].lower()
+        if ends:
+            tree.end(tag)
+        elif tag == "html":
+            tree.open[0].attributes |= attributes
+        elif tag in RAW:
+            tree.begin(tag, attributes, False)
+            close = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.IGNORECASE).search(source, at)
+            at = begin = _end(source.find(">", close.end()), 1, length) if close else length
+        else:
+            tree.begin(tag, attributes, tag not in VOID and (not slash or tag in CONTAINERS))
+    told(length)
+    return tree.open[0]
+
+
+def _named(node: Node, names: frozenset[str] = NAMES) -> bool:
     for name in f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}".split():
         parts = [p.lower() for p in PARTS.findall(name)]
-        if parts and parts[0] not in KEEP_NAMES and not NAMES.isdisjoint(parts):
+        if parts and parts[0] not in KEEP_NAMES and not names.isdisjoint(parts):
             return True
     return False
 
@@ -134,40 +215,71 @@ def _boilerplate(node: Node) -> bool:
     a = node.attributes
     if node.tag in BOILERPLATE or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
         return True
-    if "style" in a and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a["style"], re.IGNORECASE):
-        return True
+    return "style" in a and bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a["style"], re.IGNORECASE))
+
+
+def _by_name(node: Node) -> bool:
+    a = node.attributes
     return node.tag not in ("body", "html", "main", "article") and bool(a.get("class") or a.get("id")) and _named(node)
 
 
 def measure(root: Node) -> None:
-    """Mark boilerplate and count text, bottom up. What holds an article or most of the text isn't boilerplate by its name alone."""
+    """Mark boilerplate and count text, bottom up.
+
+    What holds an article isn't boilerplate by its name alone; nor, on a page without one, what has most of its text, few links and
+    nothing that readers wrote.
+    """
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo += [c for c in node.children if isinstance(c, Node)]
+    _count(order, frozenset())
+    if not any(n.tag in ("article", "main") for n in order):
+        named = [n for n in order if n.dropped and n.text and not _boilerplate(n)]
+        most = max(named, key=lambda n: n.text - n.linked, default=None)
+        if most is not None and most.text > root.text and most.linked * 3 < most.text and not _named(most, READERS):
+            _count(order, frozenset([most]))
+
+
+def _count(order: list[Node], spared: frozenset[Node]) -> None:
     holds = set()
     for node in reversed(order):
         inner = [c for c in node.children if isinstance(c, Node)]
-        if node.tag in ("article", "main") or any(c in holds for c in inner):
+        if node.tag in ("article", "main") or node in spared or any(c in holds for c in inner):
             holds.add(node)
-        node.dropped = _boilerplate(node) and not (node in holds and node.tag not in BOILERPLATE)
-        if node.dropped:
+        kept = node in holds and node.tag not in BOILERPLATE
+        never = _boilerplate(node) and not kept
+        node.dropped = never or (_by_name(node) and not kept)
+        if never:
             continue
-        node.text = sum(len(SPACE.sub(" ", c).strip()) if isinstance(c, str) else c.text for c in node.children)
-        node.linked = node.text if node.tag == "a" else sum(c.linked for c in inner)
+        node.text = sum(len(SPACE.sub(" ", c).strip()) if isinstance(c, str) else 0 if c.dropped else c.text for c in node.children)
+        node.linked = node.text if node.tag == "a" else sum(c.linked for c in inner if not c.dropped)
+
+
+def step_of(node: Node) -> str:
+    """A tag with its classes, digits blanked."""
+    names = sorted({DIGITS.sub("N", c).replace(">", "_") for c in node.attributes.get("class", "").split()})
+    return ".".join([node.tag.replace(">", "_"), *names])
 
 
 def path_of(node: Node) -> str:
-    """Tags with classes from the body down, digits blanked."""
+    """Steps from the body down."""
     steps = []
     while node is not None and node.tag != "html":
-        names = sorted({DIGITS.sub("N", c) for c in node.attributes.get("class", "").split()})
-        steps.append(".".join([node.tag, *names]))
+        steps.append(step_of(node))
         node = node.parent
     return ">".join(reversed(steps))
 
 
+def on_path(root: Node, path: str) -> list[Node]:
+    """Elements on a path, in page order, outside boilerplate."""
+    level = [root]
+    for step in path.split(">"):
+        level = [c for n in level for c in n.children if isinstance(c, Node) and not c.dropped and step_of(c) == step]
+    return level
+
+
 def containers(root: Node) -> Iterator[tuple[Node, int]]:
     todo = [(root, 0)]
     while todo:
@@ -242,10 +354,9 @@ def extract(source: str | None, winner: str | None) -> str:
         return "\n".join(blocks(root))
     chosen = [own]
     if winner:
-        last = winner.rpartition(">")[2].partition(".")[0]
-        on_path = [n for n, _ in containers(root) if n.tag == last and path_of(n) == winner]
-        if 2 * sum(n.text for n in on_path) >= own.text:
-            chosen = on_path
+        found = on_path(root, winner)
+        if 2 * sum(n.text for n in found) >= own.text:
+            chosen = found
     return "\n".join(b for n in chosen for b in blocks(n))
 
 
