@@ -39,7 +39,7 @@ BORDER = "\x01"
 
 @cache
 def letters() -> np.ndarray:
-    """For each code point its lower-case letter's code point, or 0 if it is no letter."""
+    """For each code point its lower-case letter's code point, or 0 if it is no letter; marks on letters stand for themselves."""
     table = np.zeros(0x110000, np.uint32)
     table[ord(BORDER)] = ord(BORDER)
     for c in range(2, 0x110000):
@@ -52,18 +52,30 @@ def letters() -> np.ndarray:
     return table
 
 
+@cache
+def real_letters() -> np.ndarray:
+    """For each code point that letters() gives whether it is a letter, not a mark."""
+    table = letters()
+    return np.array([c > 1 and chr(c).isalpha() for c in range(len(table))])
+
+
 def _points(text: str) -> np.ndarray:
     return letters()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
 
 
-def grams(points: np.ndarray, orders: tuple[int, ...] = ORDERS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order the features of the n-grams and where they begin; single blanks and those over a border are left out."""
+def _single(points: np.ndarray) -> np.ndarray:
+    """Where points are that stay when blanks between words are made one."""
     keep = np.ones(len(points), bool)
-    keep[1:] = (points[1:] != 0) | (points[:-1] != 0)  # one blank between words
-    where = np.flatnonzero(keep)
+    keep[1:] = (points[1:] != 0) | (points[:-1] != 0)
+    return np.flatnonzero(keep)
+
+
+def grams(points: np.ndarray, known: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order the features of the n-grams and where they begin; single blanks, those over a border and those within the first known points are left out."""
+    where = _single(points)
     p = points[where].astype(np.uint64)
     borders = np.flatnonzero(p == ord(BORDER))
-    for n in orders:
+    for n in ORDERS:
         if len(p) < n:
             continue
         h = np.full(len(p) - n + 1, n, np.uint64)
@@ -75,20 +87,25 @@ def grams(points: np.ndarray, orders: tuple[int, ...] = ORDERS) -> Iterator[tupl
         for i in range(n):
             over = borders - i
             full[over[(over >= 0) & (over < len(h))]] = False
+        full[: max(0, known - n + 1)] = False
         yield (h[full] >> np.uint64(48)).astype(np.int64) & (FEATURES - 1), where[: len(h)][full]
 
 
-def strips(text: str, size: int = STRIP) -> Iterator[np.ndarray]:
-    """A text's code points with a blank on either side, in strips that share their n-grams' ends once."""
-    reach = max(ORDERS) - 1
+def strips(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """A text's points with a blank on either side, a strip at a time: each begins with the last points of the one before, and their number."""
+    reach, size = max(ORDERS) - 1, STRIP
+    before, known = np.zeros(1, np.uint32), 0
     for at in range(0, len(text), size):
-        part = text[max(0, at - reach) : at + size]
-        yield _points((" " if at == 0 else "") + part + (" " if at + size >= len(text) else ""))
+        now = np.concatenate([before, _points(text[at : at + size]), np.zeros(int(at + size >= len(text)), np.uint32)])
+        now = now[_single(now)]
+        yield now, known
+        before = now[-reach:]
+        known = len(before)
 
 
 def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Features of a text and how often each occurs."""
-    found = np.concatenate([f for s in strips(text) for f, _ in grams(s)] or [np.zeros(0, np.int64)])
+    found = np.concatenate([f for s, known in strips(text) for f, _ in grams(s, known)] or [np.zeros(0, np.int64)])
     return np.unique(found, return_counts=True)
 
 
@@ -121,7 +138,7 @@ class Model:
             lengths = np.array([len(t) + 3 for t in batch])
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             for i, o in enumerate(owners):
-                any_letter[o] |= bool((joined[starts[i] : starts[i] + lengths[i]] > 1).any())
+                any_letter[o] = bool(real_letters()[joined[starts[i] : starts[i] + lengths[i]]].any())
             for f, at in grams(joined):
                 cut = np.searchsorted(at, np.append(starts, len(joined)))
                 filled = np.flatnonzero(np.diff(cut))
@@ -136,10 +153,16 @@ class Model:
 
         size = 0
         for i, t in enumerate(texts):
-            for at in range(0, len(t or ""), STRIP):
-                batch.append(t[at : at + STRIP])
+            if t and len(t) > STRIP:
+                for s, known in strips(t):
+                    any_letter[i] |= bool(real_letters()[s].any())
+                    for f, _ in grams(s, known):
+                        sums[i] += self.weights[:, f].sum(axis=1, dtype=np.float64)
+                        n[i] += len(f)
+            elif t:
+                batch.append(t)
                 owners.append(i)
-                size += len(batch[-1])
+                size += len(t)
                 if size >= STRIP:
                     flush()
                     size = 0
@@ -212,8 +235,8 @@ def frequencies(learn: DataFrame, text: str = "text") -> DataFrame:
         for b in batches:
             for t in b.column(0).to_pylist():
                 seen = np.zeros(FEATURES, bool)
-                for s in strips(t or ""):
-                    for f, _ in grams(s):
+                for s, known in strips(t or ""):
+                    for f, _ in grams(s, known):
                         seen[f] = True
                 n += seen
                 docs += 1
