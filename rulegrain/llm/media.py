@@ -47,8 +47,15 @@ def _netpbm_header(data: bytes, n: int) -> tuple[list[int], int]:
     return found, at + 1
 
 
-def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 as an array of height x width (x 3). Bitmaps give 0 for black and 255 for white."""
+def _samples(data: bytes, kind: type | str, n: int, at: int) -> np.ndarray:
+    """n samples from at on, if there are as many."""
+    if at + n * np.dtype(kind).itemsize > len(data):
+        raise ValueError("too few samples")
+    return np.frombuffer(data, kind, n, at)
+
+
+def decode_netpbm(data: bytes) -> tuple[np.ndarray, int]:
+    """P1 to P6 as an array of height x width (x 3), and the largest value. Bitmaps give 0 for black and 255 for white."""
     kind = data[:2]
     if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
         raise ValueError("not Netpbm")
@@ -60,19 +67,26 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     n = width * height * depth
     if kind == b"P4":
         row = (width + 7) // 8
-        packed = np.frombuffer(data, np.uint8, row * height, at).reshape(height, row)
-        return (1 - np.unpackbits(packed, axis=1)[:, :width]) * np.uint8(255)
+        packed = _samples(data, np.uint8, row * height, at).reshape(height, row)
+        return (1 - np.unpackbits(packed, axis=1)[:, :width]) * np.uint8(255), 255
     if kind == b"P1":
-        digits = np.frombuffer(bytes(c for c in data[at - 1 :] if c in b"01"), np.uint8, n) - 48
-        return ((1 - digits) * np.uint8(255)).reshape(height, width)
+        digits = _samples(bytes(c for c in data[at - 1 :] if c in b"01"), np.uint8, n, 0) - 48
+        return ((1 - digits) * np.uint8(255)).reshape(height, width), 255
     if kind in (b"P2", b"P3"):
-        flat = np.array(data[at:].split()[:n], dtype=np.uint16)
-        if flat.size < n:
+        words = data[at - 1 :].split(None, n)[:n] if n <= len(data) else []
+        if len(words) < n:
             raise ValueError("too few samples")
-        flat = flat.astype(np.uint8) if top < 256 else flat
+        if not all(w.isdigit() and len(w) < 9 for w in words):
+            raise ValueError("a sample that is no number of 8 digits at most")
+        flat = np.array(words).astype(np.int64)
+        if flat.max() > top:
+            raise ValueError("a sample above the largest value")
+        flat = flat.astype(np.uint8 if top < 256 else np.uint16)
     else:
-        flat = np.frombuffer(data, np.uint8 if top < 256 else ">u2", n, at)
-    return flat.reshape((height, width, 3) if depth == 3 else (height, width))
+        flat = _samples(data, np.uint8 if top < 256 else ">u2", n, at)
+        if top not in (255, 65535) and flat.max() > top:
+            raise ValueError("a sample above the largest value")
+    return flat.reshape((height, width, 3) if depth == 3 else (height, width)), top
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
@@ -84,17 +98,22 @@ def decode_bmp(data: bytes) -> np.ndarray:
         raise ValueError("a kind of BMP that isn't read")
     up, height = height > 0, abs(height)
     row = (width * bits // 8 + 3) // 4 * 4
-    rows = np.frombuffer(data, np.uint8, row * height, at).reshape(height, row)
+    rows = _samples(data, np.uint8, row * height, at).reshape(height, row)
     rows = rows[::-1] if up else rows
     if bits == 8:
         colors = (struct.unpack_from("<I", data, 46)[0] or 256) if head >= 40 else 256
-        palette = np.frombuffer(data, np.uint8, colors * 4, 14 + head).reshape(colors, 4)[:, 2::-1]
+        palette = _samples(data, np.uint8, colors * 4, 14 + head).reshape(colors, 4)[:, 2::-1]
         return palette[rows[:, :width]]
     return rows[:, : width * bits // 8].reshape(height, width, bits // 8)[:, :, 2::-1]
 
 
 def decode(data: bytes) -> np.ndarray:
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)[0]
+
+
+def shown(picture: np.ndarray, top: int) -> np.ndarray:
+    """Samples of 0 to top as those of 0 to 255."""
+    return picture if top == 255 else (picture.astype(np.int64) * 510 + top) // (2 * top)
 
 
 def encode_pgm(samples: np.ndarray) -> bytes:
@@ -185,18 +204,18 @@ def store_text(text: Column | str) -> Column:
 
 
 def features_of(data: bytes | None) -> dict:
-    """Decoded samples' size and digests, NPY tile and difference hash of media bytes; error if they can't be read."""
+    """Decoded samples' size and digests, NPY tile and difference hash of media bytes; error if they can't be read. Tile and hash see samples of 0 to 255."""
     if data is None:
         return {}
     own = {"media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}
     try:
-        picture = decode(data)
+        picture, top = (decode_bmp(data), 255) if data[:2] == b"BM" else decode_netpbm(data)
     except (ValueError, IndexError, struct.error) as e:
         return own | {"error": str(e)}
     samples = np.ascontiguousarray(picture).tobytes()
     return own | {
         "payload_bytes": len(samples), "payload_sha256": hashlib.sha256(samples).hexdigest(), "tail_crc32": zlib.crc32(samples[-32:]),
-        "tile": npy_tile(picture), "dhash": difference_hash(picture),
+        "tile": npy_tile(visible := shown(picture, top)), "dhash": difference_hash(visible),
     }
 
 
