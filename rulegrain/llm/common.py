@@ -10,6 +10,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -67,3 +68,21 @@ def drop_table(df: DataFrame) -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: A key with more rows than this, and than the MOST_HOT-th part of all, is dealt over SALTS tasks by join_hot().
+HOT_ROWS, MOST_HOT, SALTS = 1000, 50_000, 64
+
+
+def join_hot(big: DataFrame, small: DataFrame, key: str, total: int, salt: str) -> DataFrame:
+    """big left-joined with small, which has one row for each key and in _rows how many rows of big it has at least.
+
+    Hot keys' rows are dealt over SALTS tasks by their column salt, and small's row goes to each. Only the
+    hot keys are broadcast: MOST_HOT at most, as each has more than that part of big's total rows.
+    """
+    least = max(HOT_ROWS, total // MOST_HOT)
+    hot = small.filter(F.col("_rows") > least).select(key, F.lit(True).alias("_hot"))
+    marked = big.join(F.broadcast(hot), key, "left")
+    salted = marked.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    every = F.when(F.col("_rows") > least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(small.withColumn("_salt", F.explode(every)).drop("_rows"), [key, "_salt"], "left").drop("_salt")

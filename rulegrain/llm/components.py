@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, table
+from .common import drop_table, join_hot, table
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,10 +19,10 @@ def components(links: DataFrame) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(low, "a")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("_rows"))
+        large = join_hot(both.filter("b > a"), least, "a", 2 * mark[0], "b").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_rows"))
+        hung = join_hot(large, low, "a", 2 * mark[0], "b")
         small = hung.filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         new = table(small, "links")
         drop_table(now)

@@ -1,18 +1,19 @@
 """N-gram Jaccard join by T-occurrence search with DivideSkip, and its components.
 
 Two sets of sizes n and m with Jaccard similarity of 3/4 or more share T = ceil(3 (n + m) / 7) shingles, and
-each has at least 3/4 of its shingles in the other. The join goes through ever fewer documents:
+each has at least 3/4 of its shingles in the other. Whatever links two sets is found by one search,
+occurrences(): of a set's inverted lists the longest are left aside, the short ones are merged with a heap, and
+the candidates on enough of them are looked up in the long lists by binary search, until T is reached or out
+of reach. The join goes through ever fewer documents:
 
 1. Every document's set, as 64-bit hashes, is made where its text lies. Hashes under a threshold go to
    buckets, which tell in how many of them a document isn't alone. Documents with too many lonely ones have
    no partner. Equal sets become one class.
-2. Classes that share a minimum hash with another are compared with the most typical of that group, in rounds.
-   So a group of near copies, however large, hangs on one class without pairs inside the group.
+2. In rounds, classes with a common minimum hash meet in parts of bounded size. There each class searches the
+   lists of the leaders so far; it joins those that it finds, or becomes a leader. Only leaders go on to the
+   next round. So a group of near copies, however large, becomes one cluster without pairs inside the group.
 3. What can still link are classes of different clusters. A shingle that only one cluster has can't help,
-   so each class keeps those of several. It needs T of them; by DivideSkip its T - 1 longest inverted lists
-   are left aside, and the short ones are merged with a heap: a partner must be in one of those. Candidates
-   are then verified by comparing both whole sets, the smaller one probing the larger in blocks, until T is
-   reached or out of reach; the long lists themselves aren't probed.
+   so each class keeps those of several, and classes that have enough of them left search each other's lists.
 
 All links between classes of different clusters are found, so the components are exact (up to equal 64-bit
 hashes of different shingles).
@@ -23,7 +24,7 @@ from __future__ import annotations
 import heapq
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import groupby
 
 import numpy as np
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, ready, table, trim
+from .common import WORD_PATTERN, join_hot, ready, table, trim
 from .components import components
 from .substring_dedup import MOST_PARTS, codes_of, from_bytes, input_bytes, mixed, rolled, to_bytes
 
@@ -48,7 +49,7 @@ SAMPLED = 0.4
 BUCKET_BYTES, BUCKET_TOKENS = 16 << 20, 4_000_000
 #: Words that a map task turns into sets at once, and tokens of one block of classes.
 BATCH_WORDS, BLOCK_TOKENS = 500_000, 200_000
-ROUNDS = 4
+ROUNDS = 3
 ALONE = 0xFFFF
 
 
@@ -62,22 +63,47 @@ def pair_overlap(n: int, m: int) -> int:
     return -(-(n + m) * PERCENT // (100 + PERCENT))
 
 
-def alike(a: np.ndarray, b: np.ndarray, need: int | None = None) -> bool:
-    """Whether two sorted sets share need (T of their sizes) values; the smaller one probes the larger in blocks, while it may still reach that."""
-    if len(a) > len(b):
-        a, b = b, a
-    need = pair_overlap(len(a), len(b)) if need is None else need
-    if not len(a) or need > len(a):
-        return False
-    have, step = 0, max(64, len(a) // 8)
-    for at in range(0, len(a), step):
-        some = a[at : at + step]
-        have += int((b[np.searchsorted(b, some).clip(max=len(b) - 1)] == some).sum())
+#: Members of merged lists up to which they are merged by a heap; more are sorted.
+HEAP_MEMBERS = 512
+
+
+def occurrences(n: int, lists: list[Sequence[int]], sizes: Sequence[int], wanted: Callable[[int], bool], begin: int = 0, end: int | None = None) -> Iterator[int]:
+    """T-occurrence search by DivideSkip: positions from begin to end on T of a set's inverted lists, T by the set's size n and theirs.
+
+    lists are those of the set's tokens that others have, each in order. Any partner is on least_overlap(n)
+    of them, so on one of the short lists if one fewer are left aside.
+    """
+    aside = least_overlap(n) - 1
+    if len(lists) <= aside:
+        return
+    lists.sort(key=len)
+    cut = len(lists) - aside
+    short = [x if not begin and end is None else x[bisect_left(x, begin) : len(x) if end is None else bisect_left(x, end)] for x in lists[:cut]]
+    if sum(map(len, short)) <= HEAP_MEMBERS:
+        merged = ((q, sum(1 for _ in same)) for q, same in groupby(heapq.merge(*[x for x in short if x])))
+    else:
+        merged = zip(*(x.tolist() for x in np.unique(np.concatenate([np.array(x, np.int64) for x in short]), return_counts=True)), strict=True)
+    for q, have in merged:
+        need, left = pair_overlap(n, sizes[q]), aside
+        if have + left < need or need > min(n, sizes[q]) or not wanted(q):
+            continue
+        for x in lists[cut:]:
+            if have >= need or have + left < need:
+                break
+            at = bisect_left(x, q)
+            have += at < len(x) and x[at] == q
+            left -= 1
         if have >= need:
-            return True
-        if have + len(a) - at - len(some) < need:
-            return False
-    return False
+            yield q
+
+
+def shared_tokens(sets: list[np.ndarray]) -> list[list[int]]:
+    """Of each set the tokens that another one has too."""
+    every = np.sort(np.concatenate(sets))
+    twice = np.unique(every[1:][every[1:] == every[:-1]])
+    if not len(twice):
+        return [[] for _ in sets]
+    return [s[twice[np.searchsorted(twice, s).clip(max=len(twice) - 1)] == s].tolist() for s in sets]
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
@@ -240,37 +266,90 @@ def make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def similar(a: pa.Array, b: pa.Array) -> pa.Array:
-    pairs = zip(a.to_pylist(), b.to_pylist(), strict=True)
-    return pa.array([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in pairs], pa.bool_())
+#: Tokens of classes that meet in a task; classes of one key that have more are dealt into parts. Keys that are told to all tasks, at most:
+#: fewer have more than that part of all tokens, and keys with less than that aren't dealt.
+TOGETHER, MOST_LARGE = 500_000, 1_000_000
 
 
-def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those whose sets are similar."""
-    sets = classes.select("id", "tokens")
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    return both.filter(F.arrow_udf(similar, "boolean")("ta", "tb")).select("a", "b")
+def large_keys(df: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """key, parts of the keys whose classes are too many to meet at once."""
+    least = max(TOGETHER, total // MOST_LARGE)
+    return F.broadcast(df.groupBy(key).agg(F.sum(n).alias("parts")).filter(F.col("parts") > least).withColumn("parts", F.ceil(F.col("parts") / TOGETHER).cast("int")))
 
 
-def stars(classes: DataFrame) -> DataFrame:
-    """id, cluster: in each round, centers of clusters that share a minimum hash are compared with one of them.
+def led(rows: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+    """Pairs (id, leader's id) of the classes that aren't leaders. Each class searches the lists of the leaders before it; it leads itself if it finds none."""
+    sizes: list[int] = []
+    leaders: list[int] = []
+    to: list[int] = []
+    lists: dict[int, list[int]] = {}
 
-    That one has the smallest share of shingles that nobody else has: of near copies it is the one closest to
-    what they were copied from, and so to all others.
+    def top(i: int) -> int:
+        while to[i] != i:
+            to[i] = i = to[to[i]]
+        return i
+
+    joined: list[tuple[int, int]] = []
+    for (own, tokens), shared in zip(rows, shared_tokens([t for _, t in rows]), strict=True):
+        first: int | None = None
+        # one of each group of joined leaders is enough
+        for q in occurrences(len(tokens), [lists[x] for x in shared if x in lists], sizes, lambda q: first is None or top(q) != top(first)):
+            if first is None:
+                first = q
+            else:
+                a, b = top(first), top(q)
+                to[max(a, b)] = min(a, b)
+        if first is not None:
+            joined.append((own, first))
+            continue
+        for x in shared:
+            lists.setdefault(x, []).append(len(leaders))
+        to.append(len(leaders))
+        leaders.append(own)
+        sizes.append(len(tokens))
+    yield from ((own, leaders[top(q)]) for own, q in joined)
+    yield from ((own, leaders[top(i)]) for i, own in enumerate(leaders) if to[i] != i)
+
+
+def meet_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, part, id, tokens), key by key and part by part, to pairs (id, leader's id)."""
+    now, rows = None, []
+
+    def done() -> pa.RecordBatch:
+        found = list(led(rows)) if len(rows) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        for key, part, own, tokens in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if (key, part) != now:
+                if len(rows) > 1:
+                    yield done()
+                now, rows = (key, part), []
+            rows.append((own, np.frombuffer(tokens, np.uint64)))
+    yield done()
+    trim()
+
+
+def clustered(classes: DataFrame, total: int, tokens: int, buckets: int) -> DataFrame:
+    """id, cluster, by rounds of searches among classes with a common minimum hash.
+
+    In a part, classes with the smallest share of shingles that nobody else has come first, and lead: of near
+    copies they are closest to what the others were copied from, and so to all others.
     """
-    heads = classes.select("id", "lonely", *(f"k{i}" for i in range(ROUNDS)))
+    heads = classes.select("id", "lonely", "n", *(f"k{i}" for i in range(ROUNDS)))
     found = None
     for i in range(ROUNDS):
-        groups = heads.groupBy(f"k{i}").agg(F.min(F.struct("lonely", "id")).alias("center"), F.count("*").alias("m")).filter("m > 1").select(f"k{i}", F.col("center.id").alias("b"))
-        pairs = heads.select(F.col("id").alias("a"), f"k{i}").join(groups, f"k{i}").filter("a <> b").select("a", "b")
-        links = table(verified(pairs, classes), "stars")
+        key = f"k{i}"
+        dealt = heads.select("id", "lonely", key).join(large_keys(heads, key, "n", tokens), key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), "parts"), F.lit(0)))
+        rows = dealt.join(classes.select("id", "tokens"), "id").repartition(buckets, key, "part").sortWithinPartitions(key, "part", "lonely", "id")
+        links = table(rows.select(key, "part", "id", "tokens").mapInArrow(meet_leaders, "a bigint, b bigint"), "led")
         heads = heads.join(links.select(F.col("a").alias("id")), "id", "left_anti")
         step = links.select(F.col("a").alias("cluster"), F.col("b").alias("to"))
         if found is None:
             found = links.select(F.col("a").alias("id"), F.col("b").alias("cluster"))
         else:
-            moved = found.join(step, "cluster", "left").select("id", F.coalesce("to", "cluster").alias("cluster"))
+            sizes = found.groupBy("cluster").agg(F.count("*").alias("_rows"))
+            moved = join_hot(found, step.join(sizes, "cluster"), "cluster", total, "id").select("id", F.coalesce("to", "cluster").alias("cluster"))
             found = moved.unionByName(step.select(F.col("cluster").alias("id"), F.col("to").alias("cluster")))
     return table(classes.select("id").join(found, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster")), "clusters")
 
@@ -348,20 +427,14 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-#: Classes of one label that meet in a task; more are dealt into parts, and each pair of parts meets.
-TOGETHER = 4096
-#: Members of merged lists up to which they are merged by a heap; more are sorted.
-HEAP_MEMBERS = 2048
-
-LISTED = "label bigint, classes int, packed binary"
+LISTED = "label bigint, tokens bigint, packed binary"
 
 
 def short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block data, told, lengths, labels) to the classes that can reach T, by the labels of their short lists.
 
     A list's label is its smallest cluster. Partners are both on a short list, so they meet under its label;
-    lists of one family of texts have few labels, so a class goes to few places. It takes its tokens along,
-    those of short lists first.
+    lists of one family of texts have few labels, so a class goes to few places. It takes its tokens along.
     """
     for b in batches:
         for data, told, lengths, labels in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
@@ -379,26 +452,20 @@ def short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own, at = s[hit], at[hit]
                 rank = np.lexsort((own, size[at]))
                 short = m - need + 1
-                row = {"id": int(ids[i]), "cluster": int(cluster[i]), "n": len(s), "short": short, "tokens": own[rank].tobytes()}
+                row = {"id": int(ids[i]), "cluster": int(cluster[i]), "n": len(s), "tokens": own.tobytes()}
                 for x in np.unique(label[at[rank[:short]]]).tolist():
                     out.setdefault(x, []).append(row)
-            rows = [(x, len(r), to_bytes(pa.Table.from_pylist(r))) for x, r in out.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["label", "classes", "packed"])
+            rows = [(x, sum(len(y["tokens"]) // 8 for y in r), to_bytes(pa.Table.from_pylist(r))) for x, r in out.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["label", "tokens", "packed"])
 
 
 def search(rows: list[dict], sides: list[int]) -> Iterator[tuple[int, int]]:
-    """Links that join clusters, by T-occurrence: pairs of different sides, or of any if there is one side only.
-
-    Each class merges its short lists, keeps the partners on enough of them, and probes their tokens for its
-    long lists. Clusters that a link has joined aren't compared again.
-    """
+    """Links that join clusters: pairs of different sides, or of any if there is one side only. Clusters that a link has joined aren't compared again."""
     order = sorted(range(len(rows)), key=lambda i: (rows[i]["n"], rows[i]["id"]))
     rows, sides = [rows[i] for i in order], [sides[i] for i in order]
     apart = len(set(sides)) > 1
-    n, short = [r["n"] for r in rows], [r["short"] for r in rows]
-    ranked = [np.frombuffer(r["tokens"], np.uint64) for r in rows]
-    whole = [np.sort(t) for t in ranked]
-    need = [least_overlap(x) for x in n]
+    n = [r["n"] for r in rows]
+    tokens = shared_tokens([np.frombuffer(r["tokens"], np.uint64) for r in rows])
     root: dict[int, int] = {}
 
     def find(c: int) -> int:
@@ -407,50 +474,44 @@ def search(rows: list[dict], sides: list[int]) -> Iterator[tuple[int, int]]:
         return c
 
     lists: dict[int, list[int]] = {}
-    for i, t in enumerate(ranked):
-        for x in t[: short[i]].tolist():
+    for i, t in enumerate(tokens):
+        for x in t:
             lists.setdefault(x, []).append(i)
-    for p, t in enumerate(ranked):
+    for p, t in enumerate(tokens):
         # partners come after p in order of size, and need at most the shingles that p has among several clusters
-        most = min(len(t) * (100 + PERCENT) // PERCENT - n[p], n[p] * 100 // PERCENT)
-        last = bisect_right(n, most)
-        parts = [x[bisect_right(x, p) : bisect_left(x, last)] for x in (lists[k] for k in t[: short[p]].tolist())]
-        if sum(map(len, parts)) <= HEAP_MEMBERS:
-            hits = [(q, sum(1 for _ in same)) for q, same in groupby(heapq.merge(*[x for x in parts if x]))]
-        else:
-            hits = list(zip(*(x.tolist() for x in np.unique(np.concatenate([np.array(x, np.int64) for x in parts]), return_counts=True)), strict=True))
-        for q, same in hits:
-            overlap = pair_overlap(n[p], n[q])
-            # of T shared tokens in order of lists' lengths, the first T - max(need) + 1 are on both sides' short lists
-            if same <= overlap - max(need[p], need[q]) or overlap > min(len(t), len(ranked[q])) or (apart and sides[p] == sides[q]):
-                continue
-            a, b = find(rows[p]["cluster"]), find(rows[q]["cluster"])
-            if a != b and alike(whole[p], whole[q], overlap):
-                root[a] = b
-                yield rows[p]["id"], rows[q]["id"]
+        last = bisect_right(n, min(len(t) * (100 + PERCENT) // PERCENT - n[p], n[p] * 100 // PERCENT))
+        own = rows[p]["cluster"]
+        for q in occurrences(n[p], [lists[x] for x in t], n, lambda q: not (apart and sides[p] == sides[q]) and find(own) != find(rows[q]["cluster"]), p + 1, last):
+            root[find(own)] = find(rows[q]["cluster"])
+            yield rows[p]["id"], rows[q]["id"]
 
 
 def meet_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (label, i, j, side, packed) to links, label by label and pair of parts by pair of parts."""
-    found: dict[tuple[int, int, int], list[tuple[int, bytes]]] = {}
-    for b in batches:
-        for label, i, j, side, data in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
-            found.setdefault((label, i, j), []).append((side, data))
-    for key in list(found):
+    """Rows (label, i, j, side, packed), in order, to links, label by label and pair of parts by pair of parts."""
+    now, held = None, []
+
+    def done() -> pa.RecordBatch:
         rows, sides = [], []
-        for side, data in found.pop(key):
+        for side, data in held:
             more = from_bytes(data).to_pylist()
             rows += more
             sides += [side] * len(more)
-        links = list(search(rows, sides))
-        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
+        links = list(search(rows, sides)) if len(rows) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    for b in batches:
+        for label, i, j, side, data in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+            if (label, i, j) != now:
+                if held:
+                    yield done()
+                now, held = (label, i, j), []
+            held.append((side, data))
+    yield done()
     trim()
 
 
-def across(classes: DataFrame, clusters: DataFrame) -> DataFrame:
+def across(classes: DataFrame, clusters: DataFrame, buckets: int) -> DataFrame:
     """Similar pairs (a, b) of classes in different clusters: enough of them to join all clusters that links join."""
-    tokens = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(12, -(-tokens // BUCKET_TOKENS))
     with_cluster = classes.select("id", "n", "tokens").join(clusters, "id").select("id", "cluster", "n", "tokens")
     in_order = with_cluster.repartitionByRange(buckets, "cluster", "id").sortWithinPartitions("cluster", "id")
     blocks = table(in_order.mapInArrow(to_blocks, "block bigint, packed binary"), "blocks")
@@ -458,12 +519,12 @@ def across(classes: DataFrame, clusters: DataFrame) -> DataFrame:
     kept = ["told", "lengths", "labels"]
     told = asked.mapInArrow(answer, "block bigint, told binary, lengths binary, labels binary").groupBy("block").agg(*[F.collect_list(c).alias(c) for c in kept])
     listed = table(blocks.join(told, "block").select("packed", *kept).mapInArrow(short_lists, LISTED), "lists")
-    parts = listed.groupBy("label").agg(F.ceil(F.sum("classes") / TOGETHER).cast("int").alias("parts")).filter("parts > 1")
-    own = listed.join(parts, "label", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.hash("packed"), "parts"))
+    total = listed.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
+    own = listed.join(large_keys(listed, "label", "tokens", total), "label", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.hash("packed"), "parts"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "packed"
     )
-    return dealt.repartition(buckets, "label", "i", "j").mapInArrow(meet_labels, "a bigint, b bigint")
+    return dealt.repartition(buckets, "label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(meet_labels, "a bigint, b bigint")
 
 
 def node_of(key: str, text: str) -> Column:
@@ -487,29 +548,43 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", nodes
     slim = docs.select(node_of(key, text).alias("node"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     buckets = max(12, -(-input_bytes(slim) // BUCKET_BYTES))
     nodes = table(figures(slim, buckets), "figures")
-    sets = nodes.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(
-        F.min(F.struct("doc_id", "node")).alias("rep"), F.max("n").alias("n"), F.max("sampled").alias("sampled"), F.max("shared").alias("shared")
-    )
-    sets = sets.select("set_id", F.xxhash64("set_id").alias("id"), F.col("rep" if nodes_only else "rep.doc_id").alias("least"), F.col("rep.node").alias("node"), "n", "sampled", "shared")
+    real = nodes.filter("set_id is not null and doc_id is not null")
+    sets = real.groupBy("set_id").agg(F.min(F.struct("doc_id", "node")).alias("rep"), F.max("n").alias("n"), F.max("sampled").alias("sampled"), F.max("shared").alias("shared"), F.count("*").alias("_rows"))
+    least = F.col("rep" if nodes_only else "rep.doc_id").alias("least")
+    sets = table(sets.select("set_id", F.xxhash64("set_id").alias("id"), least, F.col("rep.node").alias("node"), "n", "sampled", "shared", "_rows"), "sets")
     lonely = F.col("sampled") - F.col("shared")
     able = sets.filter(lonely <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100)).select("id", "node", (lonely / F.greatest("sampled", F.lit(1))).alias("lonely"))
     # rows of equal key and text are one node; any of them will do
     classes = table(slim.select("node", "text").join(able, "node").dropDuplicates(["id"]).select("id", "lonely", "text").mapInArrow(make_sets, CLASSES), "classes")
-    clusters = stars(classes)
-    links = across(classes, clusters)
-    ends = links.join(clusters.select(F.col("id").alias("a"), F.col("cluster").alias("ca")), "a").join(clusters.select(F.col("id").alias("b"), F.col("cluster").alias("cb")), "b")
-    joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    roots = clusters.join(joined.withColumnRenamed("node", "cluster"), "cluster", "left").select("id", F.coalesce("root", "cluster").alias("root"))
-    least = roots.join(sets.select("id", "least"), "id").groupBy("root").agg(F.min("least").alias("component_id"))
-    by_set = sets.select("set_id", "id", "least").join(roots, "id", "left").join(least, "root", "left").select("set_id", F.coalesce("component_id", "least").alias("component_id"))
+    told = classes.agg(F.count("*").alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    parts = max(12, -(-told["n"] // BUCKET_TOKENS))
+    clusters = clustered(classes, told["m"], told["n"], parts)
+    by_set = _components(sets, clusters, across(classes, clusters, parts), told["m"])
     if nodes_only:
-        told = nodes.filter("set_id is not null and doc_id is not null").join(by_set, "set_id")
-        return told.select("doc_id", "node", F.col("component_id.node").alias("first"))
-    done = nodes.join(by_set, "set_id", "left").withColumn("row", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))))
+        found = join_hot(real.drop("n"), by_set, "set_id", nodes.count(), "node")
+        return found.select("doc_id", "node", F.col("component_id.node").alias("first"))
+    done = join_hot(nodes, by_set, "set_id", nodes.count(), "node").withColumn("row", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return done.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _components(sets: DataFrame, clusters: DataFrame, links: DataFrame, total: int) -> DataFrame:
+    """set_id, component_id, _rows of all sets: the smallest document that links and clusters reach."""
+    ends = links.join(clusters.select(F.col("id").alias("a"), F.col("cluster").alias("ca")), "a").join(clusters.select(F.col("id").alias("b"), F.col("cluster").alias("cb")), "b")
+    joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    heads = clusters.join(sets.select("id", "least"), "id").groupBy("cluster").agg(F.min("least").alias("m"), F.count("*").alias("_rows"))
+    roots = table(heads.join(joined.withColumnRenamed("node", "cluster"), "cluster", "left").withColumn("root", F.coalesce("root", "cluster")), "roots")
+    of_root = roots.groupBy("root").agg(F.min("m").alias("component_id"), F.count("*").alias("_rows")).filter("_rows > 1")
+    of_cluster = join_hot(roots, of_root, "root", total, "cluster").select("cluster", F.coalesce("component_id", "m").alias("component_id"), "_rows").filter("_rows > 1 or component_id <> m")
+    of_class = join_hot(clusters, of_cluster, "cluster", total, "id").select("id", "component_id")
+    return sets.join(of_class, "id", "left").select("set_id", F.coalesce("component_id", "least").alias("component_id"), "_rows")
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets link, by intersecting them whole, for tests."""
+    return len(a) > 0 and len(b) > 0 and len(np.intersect1d(a, b)) >= pair_overlap(len(a), len(b))
+
+
 def brute(docs: pd.DataFrame) -> dict[int, tuple[int, int]]:
     """The same over all pairs, for tests: doc_id to size and component."""
     sets = {}

@@ -67,6 +67,47 @@ def test_search_is_exhaustive():
     assert roots([*halves[0], *halves[1], *jaccard_join.search(rows, side)]) == roots(true)
 
 
+def test_leaders_are_real_links(monkeypatch):
+    rng = np.random.default_rng(3)
+    bases = [rng.integers(0, 2**63, 80).astype(np.uint64) for _ in range(4)]
+    rows = [(i, np.unique(np.where(rng.random(80) < 0.04, rng.integers(0, 2**63, 80).astype(np.uint64), bases[i % 4]))) for i in range(200)]
+    for heap in (0, 10**9):
+        monkeypatch.setattr(jaccard_join, "HEAP_MEMBERS", heap)
+        found = list(jaccard_join.led(rows))
+        assert len(found) == 196 and {b for _, b in found} == {0, 1, 2, 3} and all(a % 4 == b for a, b in found)
+    # one that two leaders hang on joins them
+    x, y = (np.arange(k, k + 100, dtype=np.uint64) for k in (0, 20))
+    assert not jaccard_join.alike(x, y) and sorted(jaccard_join.led([(1, x), (2, y), (3, np.arange(10, 110, dtype=np.uint64))])) == [(2, 1), (3, 1)]
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    from rulegrain.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    big = spark.createDataFrame([(i, 1 if i < 50 else i) for i in range(70)], "id bigint, k bigint")
+    small = spark.createDataFrame([(1, "a", 50), (55, "b", 1)], "k bigint, v string, _rows bigint")
+    got = {r["id"]: r["v"] for r in common.join_hot(big, small, "k", 70, "id").collect()}
+    assert got == {i: "a" if i < 50 else "b" if i == 55 else None for i in range(70)}
+
+
+def test_join_of_long_and_many(spark, monkeypatch):
+    """A hot group of near copies and very long texts, in parts of few tokens."""
+    monkeypatch.setattr(jaccard_join, "TOGETHER", 3000)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        ws = list(base)
+        for _ in range(rng.randrange(9)):
+            ws[rng.randrange(len(ws))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(ws)))
+    long = [f"l{i}" for i in range(30_000)]
+    rows += [(400, " ".join(long)), (401, " ".join(long[:-3000])), (402, " ".join(long[9000:]))]
+    want = jaccard_join.brute(pd.DataFrame(rows, columns=["doc_id", "text"]))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want
+
+
 def test_join_edges(spark):
     rows = [(None, "a b c d e f", 1), (5, "a b c d e f", 2), (4, "a b c d e f", 3), (5, "a b c d e f", 2), (6, "x", 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, component_id int")
