@@ -3,18 +3,17 @@
 Vectors get one more component that makes all their lengths equal, so the largest inner product is the
 smallest distance. Each of a few tables hashes a vector by k projections on normal random directions, cut
 into slots of equal width. A query visits, in each table, its own bucket and then those a few slots away, in
-the order of their estimated chance of holding a neighbour; candidates of all tables are merged and ranked
-by their exact inner product.
+the order of their estimated chance of holding a neighbour: by the summed squares of the query's own distances
+to the slots' borders. Candidates of all tables are merged and ranked by their exact inner product.
 
-k and the number of probes are fitted: a bounded sample of queries is answered exactly, and the cheapest
-setting that reaches the wanted recall on it is taken. All rows are indexed, and nothing caps buckets: large
-ones are cut into blocks that are dealt out, and queries go to each block. Queries that find fewer than they
-should are answered exactly.
+The number of tables, k, the slots' width and the number of probes are fitted: a bounded sample of queries is
+answered exactly, and the cheapest setting that reaches the wanted recall on it is taken. All rows are indexed,
+and nothing caps buckets: large ones are cut into blocks that are dealt out, and queries go to each block.
+Queries that find fewer than they should are answered exactly.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,39 +25,33 @@ from pyspark.sql import functions as F
 
 from .common import ready, table
 
-TABLES = 4
-#: Numbers of projections and probes that are tried; 0 projections make one bucket, which is the exact search.
-PROJECTIONS = (16, 14, 12, 10, 8, 6, 4, 2, 0)
-PROBES = (1, 4, 16, 32, 64, 128, 256, 512, 1024)
-#: Slot width, as a multiple of the vectors' common length.
-WIDTH = 2.0
-RECALL = 0.96
-#: Queries and rows of the sample that k and the probes are fitted on.
+#: Numbers of tables, projections, slot widths (of the vectors' common length) and probes a table that are tried.
+TABLES, PROJECTIONS, WIDTHS = (2, 4), (14, 12, 10, 8, 6, 4, 2), (2.0, 2.5)
+PROBES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512)
+RECALL = 0.93
+#: Queries and rows of the sample that these are fitted on.
 FIT_QUERIES, FIT_ROWS = 96, 20_000
 #: What a probe costs, in candidates.
 PROBE_COST = 8
-#: Rows of a bucket that stay together; buckets whose size the driver may know.
-BLOCK_ROWS, KNOWN_BUCKETS = 4096, 100_000
-#: Bytes of index for which there is a partition; queries that are ranked at once.
-PART_BYTES, QUERY_BATCH = 16 << 20, 256
+#: Rows of a bucket that stay together; buckets that are told to all tasks, at most: fewer have more than that part of all rows, and smaller ones stay whole.
+BLOCK_ROWS, KNOWN_BUCKETS = 4096, 1_000_000
+#: Bytes of index for which there is a partition; queries that are ranked at once; rows of small buckets that are ranked at once.
+PART_BYTES, QUERY_BATCH, TOGETHER = 16 << 20, 256, 2048
 SEED = 11
 
 
 @dataclass(frozen=True)
 class Index:
-    """Directions (tables x k x dim + 1), offsets and width of slots, multipliers of slots in keys, common length and the probes' template."""
+    """Directions (tables x k x dim + 1), offsets and width of slots, multipliers of slots in keys, and common length."""
 
     directions: np.ndarray
     offsets: np.ndarray
     width: float
     multipliers: np.ndarray
     length: float
-    template: np.ndarray
 
     def places(self, x: np.ndarray) -> np.ndarray:
         """rows x tables x k: where vectors with their last component fall, in slots."""
-        if not self.directions.shape[1]:
-            return np.zeros((len(x), len(self.directions), 0))
         return np.einsum("nd,tkd->ntk", x, self.directions) / self.width + self.offsets
 
     def keys(self, slots: np.ndarray) -> np.ndarray:
@@ -71,60 +64,41 @@ class Index:
         return self.keys(np.floor(self.places(np.column_stack([v, rest]))))
 
     def of_queries(self, q: np.ndarray, probes: int) -> np.ndarray:
-        """rows x (tables * probes): keys to visit; the likeliest of each table come first."""
+        """rows x tables x probes at most: keys to visit, the likeliest of each table first."""
         scaled = q * (self.length / np.sqrt((q * q).sum(axis=1)))[:, None]
         places = self.places(np.column_stack([scaled, np.zeros(len(q))]))
         slots = np.floor(places)
-        own = self.keys(slots)
-        k = places.shape[2]
-        if not k:
-            return own[:, :, None].reshape(len(q), -1)
-        inside = places - slots
-        # distances to the lower and upper neighbour slot, in order; the template says which of them to cross
-        far = np.concatenate([inside, 1 - inside], axis=2)
-        order = np.argsort(far, axis=2, kind="stable")
-        steps = np.concatenate([-self.multipliers, self.multipliers], axis=1)
+        n, t, k = places.shape
+        moves = likeliest((places - slots).reshape(n * t, k), probes)
+        moves = moves.reshape(n, t, moves.shape[1], k)
         with np.errstate(over="ignore"):
-            moved = np.take_along_axis(np.broadcast_to(steps, (len(q), *steps.shape)), order, axis=2)
-            return (own[:, :, None] + moved @ self.template[:probes].T.astype(np.int64)).reshape(len(q), -1)
+            return self.keys(slots)[:, :, None] + (moves * self.multipliers[None, :, None, :]).sum(axis=3)
 
 
-def template(k: int, probes: int) -> np.ndarray:
-    """probes x 2k of 0 and 1: sets of neighbour slots to cross, by rank of distance, in order of expected squared distance.
+def likeliest(inside: np.ndarray, probes: int) -> np.ndarray:
+    """rows x probes x k: steps of -1, 0 and 1 slots, by ascending sums of squared distances to the borders that they cross.
 
-    Expected squares of the ranked distances of k uniform offsets to both their slots' ends; a set crosses
-    no slot both ways. Sets come from a heap by shifting or extending the largest rank.
+    inside tells how far into its slots each row lies. Sums are extended by one projection at a time, and the
+    smallest are kept: what follows one that isn't among them isn't among the smallest in the end.
     """
-    if not k:
-        return np.zeros((1, 0), np.int8)
-    j = np.arange(1, k + 1)
-    near = j * (j + 1) / (4 * (k + 1) * (k + 2))
-    down = np.arange(k, 0, -1)
-    away = 1 - down / (k + 1) + down * (down + 1) / (4 * (k + 1) * (k + 2))
-    cost = np.concatenate([near, away])
-    sets: list[tuple[int, ...]] = [()]
-    heap = [(cost[0], (0,))]
-    while heap and len(sets) < probes:
-        c, s = heapq.heappop(heap)
-        if all(2 * k - 1 - x not in s for x in s):
-            sets.append(s)
-        last = s[-1]
-        if last + 1 < 2 * k:
-            heapq.heappush(heap, (c - cost[last] + cost[last + 1], (*s[:-1], last + 1)))
-            heapq.heappush(heap, (c + cost[last + 1], (*s, last + 1)))
-    out = np.zeros((len(sets), 2 * k), np.int8)
-    for i, s in enumerate(sets):
-        out[i, list(s)] = 1
-    return out
-
-
-def make_index(dim: int, length: float, k: int, probes: int, tables: int = TABLES) -> Index:
+    rows, k = inside.shape
+    cost, steps = np.zeros((rows, 1)), np.zeros((rows, 1, k), np.int64)
+    for j in range(k):
+        more = np.stack([np.zeros(rows), inside[:, j] ** 2, (1 - inside[:, j]) ** 2], axis=1)
+        every = (cost[:, :, None] + more[:, None, :]).reshape(rows, -1)
+        kept = np.argsort(every, axis=1, kind="stable")[:, :probes]
+        cost, steps = np.take_along_axis(every, kept, axis=1), np.take_along_axis(steps, kept[:, :, None] // 3, axis=1)
+        steps[:, :, j] = np.array([0, -1, 1])[kept % 3]
+    return steps
+
+
+def make_index(dim: int, length: float, tables: int, k: int, width: float) -> Index:
+    """Settings with fewer tables or projections have the first ones of larger settings. One table without projections is one bucket: the exact search."""
     rng = np.random.default_rng(SEED)
-    most = max(PROJECTIONS)
-    directions = rng.normal(size=(tables, most, dim + 1))[:, :k]
-    offsets = rng.uniform(size=(tables, most))[:, :k]
-    multipliers = (rng.integers(1, 2**62, size=(tables, most), dtype=np.int64) * 2 + 1)[:, :k]
-    return Index(directions if k else np.zeros((1, 0, dim + 1)), offsets if k else np.zeros((1, 0)), WIDTH * length, multipliers if k else np.zeros((1, 0), np.int64), length, template(k, probes))
+    directions = rng.normal(size=(max(TABLES), max(PROJECTIONS), dim + 1))[:tables, :k]
+    offsets = rng.uniform(size=(max(TABLES), max(PROJECTIONS)))[:tables, :k]
+    multipliers = (rng.integers(1, 2**62, size=(max(TABLES), max(PROJECTIONS)), dtype=np.int64) * 2 + 1)[:tables, :k]
+    return Index(directions, offsets, width * length, multipliers, length)
 
 
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -132,24 +106,47 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.add.reduce(q * x, axis=-1)
 
 
-def best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, allowed: np.ndarray | None, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of queries and rows, and scores, of each query's top rows (ties to the smaller id)."""
-    s = q @ x.T
-    s[query_ids[:, None] == ids[None, :]] = -np.inf
-    if allowed is not None:
-        s[~allowed] = -np.inf
-    if len(ids) > top:
-        least = -np.partition(-s, top - 1, axis=1)[:, top - 1]
-        least -= 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))  # products differ in their last bits
-    else:
-        least = np.full(len(q), -np.inf)
-    i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
-    score = np.concatenate([exact(q[i[a : a + 65536]], x[j[a : a + 65536]]) for a in range(0, len(i), 65536)] or [np.zeros(0)])
-    order = np.lexsort((ids[j], -score, i))
-    i, j, score = i[order], j[order], score[order]
-    rank = np.arange(len(i)) - np.searchsorted(i, i)
-    keep = rank < top
-    return i[keep], j[keep], score[keep]
+def first_of(i: np.ndarray, ids: np.ndarray, score: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of found rows (query, id, score) each query's top by score (ties to the smaller id), each id once, by its largest score."""
+    order = np.lexsort((-score, ids, i))
+    i, ids, score = i[order], ids[order], score[order]
+    again = np.zeros(len(i), bool)
+    again[1:] = (i[1:] == i[:-1]) & (ids[1:] == ids[:-1])
+    i, ids, score = i[~again], ids[~again], score[~again]
+    order = np.lexsort((ids, -score, i))
+    i, ids, score = i[order], ids[order], score[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < top
+    return i[keep], ids[keep], score[keep]
+
+
+class Ranking:
+    """The top found rows of some queries, as blocks of rows come."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, top: int):
+        self.ids, self.q, self.top = ids, q, top
+        self.small, self.lengths = q.astype(np.float32), np.sqrt((q * q).sum(axis=1))
+        self.found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.full(len(ids), -np.inf)  # each query's worst row, once it has top of them
+
+    def see(self, ids: np.ndarray, x: np.ndarray, asks: np.ndarray, allowed: np.ndarray | None = None) -> None:
+        """Rank rows for the queries that ask (and, of these, only the allowed pairs). Products of 32 bits, with a margin, tell which to rank."""
+        margin = 1e-6 * (len(x.T) + 8) * self.lengths[asks] * np.sqrt((x * x).sum(axis=1).max(initial=0))
+        fine = (self.small[asks] @ x.astype(np.float32).T) >= (self.least[asks] - margin)[:, None]
+        if allowed is not None:
+            fine &= allowed
+        i, j = np.nonzero(fine)
+        i = asks[i]
+        other = self.ids[i] != ids[j]
+        i, j = i[other], j[other]
+        if not len(i):
+            return
+        score = np.concatenate([exact(self.q[i[a : a + 65536]], x[j[a : a + 65536]]) for a in range(0, len(i), 65536)])
+        now = i, ids[j], score
+        self.found = first_of(*(np.concatenate(z) for z in zip(self.found, now, strict=True)), self.top)
+        i, _, score = self.found
+        last = np.flatnonzero(np.append(i[1:] != i[:-1], True))
+        full = np.bincount(i, minlength=len(self.ids))[i[last]] == self.top
+        self.least[i[last[full]]] = score[last[full]]
 
 
 def vectors(column: pa.Array) -> np.ndarray:
@@ -174,15 +171,16 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def brute_force(rows: DataFrame, query_ids: np.ndarray, queries: np.ndarray, top: int) -> DataFrame:
-    """Exact neighbours of a bounded number of queries: each block of rows gives its best, and those are merged."""
+    """Exact neighbours of a bounded number of queries: each task gives its best, and those are merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranking = Ranking(query_ids, queries, top)
         for b in batches:
-            for at in range(0, b.num_rows, BLOCK_ROWS):
-                part = b.slice(at, BLOCK_ROWS)
-                ids, x = part.column(0).to_numpy(), vectors(part.column(1))
-                i, j, s = best(query_ids, queries, ids, x, None, top)
-                yield _found(query_ids[i], ids[j], s)
+            for at in range(0, b.num_rows, TOGETHER):
+                part = b.slice(at, TOGETHER)
+                ranking.see(part.column(0).to_numpy(), vectors(part.column(1)), np.arange(len(query_ids)))
+        i, v, s = ranking.found
+        yield _found(query_ids[i], v, s)
 
     return ranked(rows.mapInArrow(run, FOUND), top)
 
@@ -194,38 +192,49 @@ def ranked(found: DataFrame, top: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
-def fitted(rows: DataFrame, queries: DataFrame, n: int, dim: int, length: float, top: int, recall: float = RECALL) -> tuple[Index, int, float]:
-    """The cheapest setting that reaches the recall on a sample of queries; the number of probes; the recall."""
+@dataclass(frozen=True)
+class Fitted:
+    """A setting, its probes a table, and its recall and share of rows visited on the sample."""
+
+    index: Index
+    probes: int
+    recall: float
+    share: float
+
+
+def fitted(rows: DataFrame, queries: DataFrame, n: int, dim: int, length: float, top: int, recall: float = RECALL) -> Fitted | None:
+    """The cheapest setting that reaches the recall on a sample of queries, if one does."""
     asked = queries.orderBy(F.xxhash64("id"), "id").limit(FIT_QUERIES).toArrow()
     qid, q = asked.column("id").to_numpy(), np.array(asked.column("v").to_pylist(), np.float64).reshape(-1, dim)
     nearest = brute_force(rows, qid, q, top).select("query_id", F.col("vec_id").alias("id"))
-    truth = rows.join(nearest, "id").dropDuplicates(["query_id", "id"]).toArrow()  # FIT_QUERIES * top rows at most
-    owner = np.searchsorted(np.sort(qid), truth.column("query_id").to_numpy())
-    owner = np.argsort(qid)[owner]
+    truth = rows.join(F.broadcast(nearest), "id").groupBy("query_id", "id").agg(F.min("v").alias("v")).toArrow()  # FIT_QUERIES * top rows at most
+    owner = np.argsort(qid)[np.searchsorted(np.sort(qid), truth.column("query_id").to_numpy())] if len(qid) else np.zeros(0, np.int64)
     x = np.array(truth.column("v").to_pylist(), np.float64).reshape(-1, dim)
-    seen = rows.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(FIT_ROWS).select("v").toArrow()
+    seen = rows.orderBy(F.xxhash64("id", F.lit(1)), "id", "v").limit(FIT_ROWS).select("v").toArrow()
     sample = np.array(seen.column("v").to_pylist(), np.float64).reshape(-1, dim)
-    choice: tuple[float, int, int, float] | None = None
-    for k in PROJECTIONS if n > 10 * top else (0,):
-        if not k and choice is not None:  # the exact search is for rows that no setting serves
-            break
-        index = make_index(dim, length, k, max(PROBES))
-        visits = index.of_queries(q, max(PROBES)).reshape(len(q), len(index.directions), -1)
-        hit, held = index.of_rows(x), index.of_rows(sample)
-        for probes in PROBES:
-            if probes > visits.shape[2]:
-                break
-            some = visits[:, :, :probes]
-            got = (some[owner] == hit[:, :, None]).any(axis=(1, 2)).mean() if len(x) else 1.0
-            if got < recall and k:
-                continue
-            share = sum(np.isin(held[:, t], some[i, t]).mean() for i in range(0, len(q), 4) for t in range(held.shape[1])) / len(range(0, len(q), 4))
-            cost = share * n + PROBE_COST * probes * len(index.directions)
-            if choice is None or cost < choice[0]:
-                choice = cost, k, probes, float(got)
-            break
-    _, k, probes, got = choice
-    return make_index(dim, length, k, probes), probes if k else 1, got
+    choice: tuple[float, Fitted] | None = None
+    for tables in TABLES:
+        for k in PROJECTIONS:
+            for width in WIDTHS:
+                index = make_index(dim, length, tables, k, width)
+                visits = index.of_queries(q, max(PROBES))
+                ranks = _ranks(visits, owner, index.of_rows(x))  # by how many probes each true neighbour is reached
+                reached = next((p for p in PROBES if len(x) == 0 or (ranks < p).mean() >= recall), None)
+                if reached is None:
+                    continue
+                held = index.of_rows(sample)
+                shares = [[np.isin(held[:, t], visits[i, t, :reached]) for t in range(tables)] for i in range(0, len(q), 4)]
+                cost = np.mean([np.sum(s) for s in shares]) / max(1, len(sample)) * n + PROBE_COST * reached * tables
+                if choice is None or cost < choice[0]:
+                    share = float(np.mean([np.any(s, axis=0).mean() for s in shares]))
+                    choice = cost, Fitted(index, reached, float((ranks < reached).mean()) if len(x) else 1.0, share)
+    return choice[1] if choice else None
+
+
+def _ranks(visits: np.ndarray, owner: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For rows with an owning query the place of the first probe, in any table, that visits them; the number of probes if none does."""
+    hit = visits[owner] == keys[:, :, None]
+    return np.where(hit.any(axis=2), hit.argmax(axis=2), visits.shape[2]).min(axis=1, initial=visits.shape[2])
 
 
 def search(rows: DataFrame, queries: DataFrame, index: Index, probes: int, n: int, dim: int, top: int) -> DataFrame:
@@ -238,12 +247,11 @@ def search(rows: DataFrame, queries: DataFrame, index: Index, probes: int, n: in
             keys = index.of_rows(vectors(b.column(1))) if b.num_rows else np.zeros((0, tables), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64())], names=["key"])
 
-    sizes = rows.mapInArrow(hashed, "key bigint").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK_ROWS)
-    large = sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS)).select("key", "blocks").limit(KNOWN_BUCKETS + 1).toArrow()
-    if large.num_rows <= KNOWN_BUCKETS:
-        known, every = dict(zip(large.column("key").to_pylist(), large.column("blocks").to_pylist(), strict=True)), 1
-    else:  # too many to tell everyone: all buckets are cut alike
-        known, every = {}, int(sizes.agg(F.max("n")).first()[0]) // BLOCK_ROWS + 1
+    least = max(BLOCK_ROWS, n * tables // KNOWN_BUCKETS)
+    sizes = rows.mapInArrow(hashed, "key bigint").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > least)
+    large = sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS)).select("key", "blocks").toArrow()
+    order = np.argsort(large.column("key").to_numpy())
+    known = rows.sparkSession.sparkContext.broadcast((large.column("key").to_numpy()[order], large.column("blocks").to_numpy()[order]))
 
     def part_of(key: np.ndarray, block: np.ndarray) -> np.ndarray:
         h = key.astype(np.uint64) + block.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -251,10 +259,11 @@ def search(rows: DataFrame, queries: DataFrame, index: Index, probes: int, n: in
         return ((h ^ (h >> np.uint64(29))) % np.uint64(parts)).astype(np.int64)
 
     def blocks_of(key: np.ndarray) -> np.ndarray:
-        out = np.full(key.shape, every)
-        for k, m in known.items():
-            out[key == k] = m
-        return out
+        keys, blocks = known.value
+        if not len(keys):
+            return np.ones(key.shape, np.int64)
+        at = np.searchsorted(keys, key).clip(max=len(keys) - 1)
+        return np.where(keys[at] == key, blocks[at], 1)
 
     schema = pa.schema([("part", pa.int64()), ("asks", pa.bool_()), ("id", pa.int64()), ("v", pa.binary()), ("keys", pa.binary())])
     ddl = "part bigint, asks boolean, id bigint, v binary, keys binary"
@@ -278,7 +287,7 @@ def search(rows: DataFrame, queries: DataFrame, index: Index, probes: int, n: in
             for at in range(0, b.num_rows, QUERY_BATCH):
                 some = b.slice(at, QUERY_BATCH)
                 ids, q = some.column(0).to_numpy(), vectors(some.column(1))
-                visits = index.of_queries(q, probes)
+                visits = index.of_queries(q, probes).reshape(len(q), -1)
                 out = []
                 for i in range(len(ids)):
                     keys = np.unique(visits[i])
@@ -333,50 +342,48 @@ def _ranked_part(built: tuple, waiting: list[tuple[int, bytes, bytes]], dim: int
         k = np.frombuffer(r[2], np.int64)
         at = np.searchsorted(keys, k).clip(max=len(keys) - 1)
         visits[i, at[keys[at] == k]] = True
-    used = np.flatnonzero(visits.any(axis=0))
-    if not len(used):
-        return
     size = np.diff(np.append(begin, n))
-    rows = np.concatenate([np.arange(begin[u], begin[u] + size[u]) for u in used])
-    bucket = np.repeat(np.arange(len(used)), size[used])
-    allowed = visits[:, used]
-    out = []
-    for a in range(0, len(rows), BLOCK_ROWS):
-        some = rows[a : a + BLOCK_ROWS]
-        i, j, s = best(qid, q, ids[some], x[some], allowed[:, bucket[a : a + BLOCK_ROWS]], top)
-        out.append((i, ids[some][j], s))
-    i, v, s = (np.concatenate([o[c] for o in out]) for c in range(3))
-    order = np.lexsort((v, -s, i))
-    i, v, s = i[order], v[order], s[order]
-    again = np.zeros(len(i), bool)
-    again[1:] = (i[1:] == i[:-1]) & (v[1:] == v[:-1])  # a row that several tables hold
-    i, v, s = i[~again], v[~again], s[~again]
-    keep = np.arange(len(i)) - np.searchsorted(i, i) < top
-    yield _found(qid[i[keep]], v[keep], s[keep])
+    ranking, asked = Ranking(qid, q, top), visits.any(axis=0)
+    todo: list[int] = []
+    # large buckets are ranked for the queries that visit them, small ones some at once
+    for u in [*np.flatnonzero(asked).tolist(), -1]:
+        if todo and (u < 0 or size[todo].sum() + size[u] > TOGETHER):
+            rows = np.concatenate([np.arange(begin[t], begin[t] + size[t]) for t in todo])
+            asks = np.flatnonzero(visits[:, todo].any(axis=1))
+            bucket = np.repeat(np.arange(len(todo)), size[todo])
+            for a in range(0, len(rows), TOGETHER):
+                some = rows[a : a + TOGETHER]
+                ranking.see(ids[some], x[some], asks, visits[np.ix_(asks, todo)][:, bucket[a : a + TOGETHER]] if len(todo) > 1 else None)
+            todo = []
+        todo.append(u)
+    i, v, s = ranking.found
+    yield _found(qid[i], v, s)
 
 
 def nearest(rows: DataFrame, top: int = 20, every: int = 20, key: str = "vec_id", vector: str = "embedding", recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: for rows whose key is divisible by every, the top others by inner product.
 
     Nulls: rows with a null key or vector, a null or non-finite component, a zero vector, or a length other
-    than the most common one take no part. Ties in score go to the smaller key. Repeated rows of a key count
-    once, by their largest score. Other columns are not read. An empty table gives an empty result.
+    than the most common one take no part. Ties in score go to the smaller key. Rows of one key count once: as
+    candidates by their largest score, as queries by their smallest vector. Other columns are not read, so
+    they may have any names. An empty table gives an empty result.
     """
     ready(rows.sparkSession)
     used = usable(rows, key, vector)
-    told = used.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m"), F.max(F.size("v")).alias("d")).first()
+    told = used.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m"), F.max(F.size("v")).alias("d"), F.count_distinct("id").alias("ids")).first()
     if not told["n"]:
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     n, dim, length = told["n"], told["d"], float(np.sqrt(told["m"])) * (1 + 1e-12)
-    queries = used.filter(F.col("id") % every == 0).dropDuplicates(["id"])
-    index, probes, _ = fitted(used, queries, n, dim, length, top, recall)
-    found = table(search(used, queries, index, probes, n, dim, top), "neighbours")
+    queries = used.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    setting = fitted(used, queries, n, dim, length, top, recall)
+    one = make_index(dim, length, 1, 0, 1.0)
+    if setting is None:  # no setting serves these rows: one bucket, which is the exact search
+        return search(used, queries, one, 1, n, dim, top)
+    found = table(search(used, queries, setting.index, setting.probes, n, dim, top), "neighbours")
     # buckets may hold too few; such queries are answered by the exact search
-    others = used.select("id").distinct().count() - 1
-    full = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("c")).filter(F.col("c") >= min(top, others)).select("id")
+    full = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("c")).filter(F.col("c") >= min(top, told["ids"] - 1)).select("id")
     short = queries.join(full, "id", "left_anti")
-    if index.directions.shape[1] and not short.isEmpty():
-        one = make_index(dim, length, 0, 1)
+    if not short.isEmpty():
         rest = search(used, short, one, 1, n, dim, top)
         found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
     return found.select("query_id", "rank", "vec_id", "score")

@@ -170,10 +170,39 @@ def test_nearest(spark):
     assert len(few) == 4 and sorted(few.vec_id) == [1, 2, 3, 4]
 
 
-def test_probe_template():
-    t = ann.template(6, 200)
-    assert len(t) == 200 and not t[0].any() and len({tuple(r) for r in t.tolist()}) == 200
-    assert all(not (r[j] and r[11 - j]) for r in t.tolist() for j in range(6))
+def test_probes_come_in_order():
+    from itertools import product
+
+    inside = np.random.default_rng(1).random((5, 6))
+    for row, steps in zip(inside, ann.likeliest(inside, 200), strict=True):
+        cost = lambda s: sum({0: 0, -1: r * r, 1: (1 - r) ** 2}[int(x)] for r, x in zip(row, s, strict=True))  # noqa: B023, E731
+        every = sorted(cost(s) for s in product((-1, 0, 1), repeat=6))
+        assert np.allclose([cost(s) for s in steps], every[:200]) and not steps[0].any() and len({tuple(s) for s in steps.tolist()}) == 200
+
+
+def test_few_rows_are_visited_in_clusters(spark):
+    """Clustered vectors: under a tenth of the rows is visited, at the wanted recall."""
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(100, 16))
+    x = centers[rng.integers(0, 100, 4000)] + rng.normal(size=(4000, 16)) * 0.05
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    used = ann.usable(df, "vec_id", "embedding").withColumnRenamed("v", "v")
+    queries = used.filter("id % 20 = 0")
+    setting = ann.fitted(used, queries, 4000, 16, 1.0 + 1e-9, 20)
+    assert setting.share < 0.1 and setting.recall >= ann.RECALL
+    got = ann.nearest(df).toPandas()
+    truth = [(q, int(v)) for q in range(0, 4000, 20) for s in [np.where(np.arange(4000) == q, -np.inf, x @ x[q])] for v in np.lexsort((np.arange(4000), -s))[:20]]
+    assert ann.measured_recall(got, pd.DataFrame(truth, columns=["query_id", "vec_id"])) >= 0.9
+
+
+def test_rows_of_one_id(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 8))
+    rows = [(i // 2, v.tolist(), 1, "r") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, rank int, score string")
+    runs = [sorted(map(tuple, ann.nearest(d).collect())) for d in (df, df.repartition(5))]
+    assert runs[0] == runs[1] and len(runs[0]) == 60 and len({(r[0], r[2]) for r in runs[0]}) == 60 and all(r[0] != r[2] for r in runs[0])
 
 
 def plain_mix(rows, weights=(1, 2, 3)):
