@@ -1,6 +1,8 @@
 """Substring dedup by super-k-mer partitioning.
 
-A window is 13 consecutive words. The window's minimiser is its run of 3 words with the smallest hash.
+A window is 13 consecutive words. The window's minimiser is its run of 3 words with the smallest hash; runs
+that are the minimiser of very many windows, told from a sample of the documents, come after all others, so no
+bucket holds much more than its share. Which runs these are changes where windows meet, not what is found.
 Consecutive windows that share a minimiser travel as one packed string to the bucket of that minimiser, so
 equal windows of all documents meet in one bucket. There they are sorted, and each one's smallest document
 is found exactly: hashes only bring equal windows together, the words themselves are compared.
@@ -35,6 +37,8 @@ BUCKET_BYTES = 4 << 20
 MOST_PARTS = 20_000
 #: Words of documents that a map task packs at once.
 BATCH_WORDS = 250_000
+#: Frequent minimisers are looked for among this many slots of hashes, in one of SAMPLED documents; one is frequent with more than FREQUENT of a task's mean windows.
+SLOTS, SAMPLED, FREQUENT = 1 << 18, 16, 0.25
 #: Characters of a text that are split into words at once.
 SLICE_CHARS = 4 << 20
 
@@ -69,12 +73,17 @@ def rolled(h: np.ndarray, n: int) -> np.ndarray:
     return mixed(part[:last] * np.uint64(3) + part[n - half : n - half + last] + np.uint64(n))
 
 
-def super_kmers(h: np.ndarray, lengths: np.ndarray, window: int = WINDOW, m: int = MINIMISER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def slot_of(minimiser: np.ndarray) -> np.ndarray:
+    return (minimiser & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def super_kmers(h: np.ndarray, lengths: np.ndarray, frequent: np.ndarray, window: int = WINDOW, m: int = MINIMISER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of documents' word hashes, end to end: where runs of windows with one minimiser begin, how many windows each has, its minimiser's hash and its document.
 
-    Every document has a window's words at least.
+    Every document has a window's words at least. frequent tells of each slot whether its runs of words come last.
     """
     grams = rolled(h, m)
+    grams = grams >> np.uint64(1) | frequent[slot_of(grams >> np.uint64(1))].astype(np.uint64) << np.uint64(63)
     span = window - m + 1
     low = grams[: len(grams) - span + 1].copy()
     for i in range(1, span):
@@ -141,14 +150,42 @@ def _blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], schema=BLOBS)
 
 
-def pack(batches: Iterator[pa.RecordBatch], buckets: int, shards: int) -> Iterator[pa.RecordBatch]:
+def frequent_slots(docs: DataFrame, parts: int) -> np.ndarray:
+    """For each slot whether the minimisers in it have more windows than FREQUENT of what a task has on average, by a sample of documents.
+
+    SLOTS numbers at most come to the driver.
+    """
+    none = np.zeros(SLOTS, bool)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                for _, ws in slices(text):
+                    codes, distinct = codes_of(ws)
+                    h = word_hashes(distinct)[codes]
+                    starts, k, low, _ = super_kmers(h, np.array([len(ws)]), none)
+                    _, once = np.unique(rolled(h, WINDOW)[starts], return_index=True)
+                    np.add.at(n, slot_of(low[once]), k[once])
+        slot = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(n[slot], pa.int64())], names=["slot", "n"])
+
+    sample = docs.filter("doc_id is not null and text is not null").filter(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SAMPLED)) == 0)
+    told = sample.select("text").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    slot, n = told.column("slot").to_numpy(), told.column("n").to_numpy()
+    found = none.copy()
+    found[slot[n * parts > FREQUENT * n.sum()]] = True
+    return found
+
+
+def pack(batches: Iterator[pa.RecordBatch], buckets: int, shards: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text_hash, text) to rows (bucket, packed): super-k-mers by bucket; and runs known at once, by shard (bucket -1 - shard)."""
 
     def emit(todo: list[tuple[int, int, int, list[str]]]) -> pa.RecordBatch:
         words = [w for x in todo for w in x[3]]
         codes, distinct = codes_of(words)
         lengths = np.array([len(x[3]) for x in todo])
-        starts, k, low, own = super_kmers(word_hashes(distinct)[codes], lengths)
+        starts, k, low, own = super_kmers(word_hashes(distinct)[codes], lengths, frequent)
         doc, text_hash, before = (np.array([x[i] for x in todo], np.int64) for i in range(3))
         doc, text_hash, at = doc[own], text_hash[own], before[own] + starts - (np.cumsum(lengths) - lengths)[own]
         joined = " ".join(words).encode()
@@ -270,8 +307,11 @@ def dedupe_text(text: str | None, starts: list[int], counts: list[int]) -> tuple
 def known_runs(docs: DataFrame, buckets: int) -> DataFrame:
     """doc_id, text_hash, starts, counts: runs of windows that a smaller document has. docs: doc_id, text_hash, text."""
 
+    parts = min(buckets, MOST_PARTS)  # a task goes through its buckets in turn
+    frequent = frequent_slots(docs, parts)
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return pack(batches, buckets, buckets)
+        return pack(batches, buckets, buckets, frequent)
 
     def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
         now, held = None, []
@@ -304,9 +344,8 @@ def known_runs(docs: DataFrame, buckets: int) -> DataFrame:
     sent = docs.filter("doc_id is not null and text is not null").mapInArrow(packed, ddl)
     # what is known at once only passes through; its hash deals it out evenly
     deal = F.when(F.col("bucket") < 0, F.abs(F.hash("packed")) % buckets).otherwise(F.col("bucket"))
-    parts = min(buckets, MOST_PARTS)  # a task goes through its buckets in turn
-    met = sent.repartition(parts, deal).sortWithinPartitions("bucket").mapInArrow(judged, ddl)
-    return met.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(gathered, RUNS_DDL)
+    met = sent.repartitionById(parts, deal).sortWithinPartitions("bucket").mapInArrow(judged, ddl)
+    return met.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(gathered, RUNS_DDL)
 
 
 #: Estimates from here on aren't ones: Spark doesn't know the size of what isn't read from files.

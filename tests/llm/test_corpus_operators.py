@@ -134,6 +134,34 @@ def test_substring_dedup(spark, seed, monkeypatch):
     assert got == want and sum(v[1] for v in got.values()) > 500
 
 
+def test_frequent_minimisers_share_buckets(spark, monkeypatch):
+    """Windows that all have one run of words, the smallest of their hashes: few stay in its bucket, and the result is the same."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    hot = min(((a, b, c) for a, b, c in (rng.sample(words, 3) for _ in range(3000))), key=lambda x: int(substring_dedup.rolled(substring_dedup.word_hashes(list(x)), 3)[0]))
+    rows = [(i, " ".join(w for _ in range(12) for w in [*rng.sample(words, 5), *hot, *rng.sample(words, 4)])) for i in range(120)]
+    rows += [(200 + i, rows[i * 7][1][100:]) for i in range(10)]
+    monkeypatch.setattr(substring_dedup, "SAMPLED", 2)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "xxhash64(text) AS text_hash", "text")
+    frequent = substring_dedup.frequent_slots(df, 16)
+    slot = substring_dedup.slot_of(substring_dedup.rolled(substring_dedup.word_hashes(list(hot)), 3) >> np.uint64(1))
+    assert frequent[slot].all() and frequent.sum() < 50
+    load = {}
+    for flags in (frequent, frequent & False):
+        n = np.zeros(16, np.int64)
+        for _, text in rows[:120]:
+            ws = text.split(" ")
+            _, k, low, _ = substring_dedup.super_kmers(substring_dedup.word_hashes(ws), np.array([len(ws)]), flags)
+            np.add.at(n, (low % np.uint64(16)).astype(int), k)
+        load[bool(flags.any())] = n.max() / np.median(n)
+    assert load[True] < 2 < load[False]
+    import hashlib
+
+    want = substring_dedup.brute(pd.DataFrame(rows, columns=["doc_id", "text"]))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in substring_dedup.substring_dedup(df.select("doc_id", "text"), buckets=16).collect()}
+    assert got == want
+
+
 def test_slices_and_edges(spark):
     ws = [f"w{i}" for i in range(500)]
     parts = list(substring_dedup.slices(" ".join(ws), 100))
