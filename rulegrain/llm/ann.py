@@ -329,7 +329,7 @@ def search(rows: DataFrame, queries: DataFrame, index: Index, probes: int, n: in
         yield from flush()
 
     both = rows.mapInArrow(index_rows, ddl).unionByName(queries.mapInArrow(query_rows, ddl))
-    met = both.repartition(parts, "part").sortWithinPartitions("part", "asks").mapInArrow(meet, FOUND)
+    met = both.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "asks").mapInArrow(meet, FOUND)
     return ranked(met, top)
 
 

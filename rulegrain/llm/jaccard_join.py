@@ -167,7 +167,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa
 def _dealt(df: DataFrame, buckets: int) -> DataFrame:
     """Blobs by bucket, each task's buckets in order; those of no bucket anywhere."""
     deal = F.when(F.col("bucket") < 0, F.abs(F.hash("packed")) % buckets).otherwise(F.col("bucket"))
-    return df.repartition(min(buckets, MOST_PARTS), deal).sortWithinPartitions("bucket")
+    return df.repartitionById(min(buckets, MOST_PARTS), deal).sortWithinPartitions("bucket")
 
 
 # ---- 1: which documents can have a partner
