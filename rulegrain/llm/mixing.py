@@ -4,9 +4,9 @@ Each source's documents are shuffled by a hash and queued up to three times over
 finish time is its source's cumulative size divided by the source's target, so sources advance in step with
 their targets. All entries are put in order of finish time, and the mix ends where the budget is reached.
 
-Running totals never gather a source, or everything, in one task: the shuffle's hash is cut into ranges,
-ranges are summed first, and only the totals of ranges (a fixed number for each source) and the rows of a
-single range are ever put in order together. The same goes for finish times and the budget's cut.
+Running totals never gather a source, or everything, in one task: rows are range-sorted (documents by source
+and hash, entries by finish time) into ranges of bounded size, ranges are summed first, and only the totals of
+ranges and the rows of a single range are ever put in order together.
 """
 
 from __future__ import annotations
@@ -22,10 +22,14 @@ SEED = 7
 WEIGHTS = (1, 2, 3)
 #: A document is taken this many times at most.
 EPOCHS = 3
-#: Hex digits of the hash that make the ranges of a source: 16 ** digits of them. One more for each 16 times the documents.
-RANGE_DIGITS = 3
-#: Ranges of finish time from one multiple of the targets to the next; times from FAR multiples on are one range.
-STEPS, FAR = 16384, 2
+#: Rows for which there is a range.
+RANGE_ROWS = 500_000
+
+
+def ranges(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """df, of n rows, range-sorted, with the number of each row's range: written, as ranges are cut by a sample."""
+    parts = max(12, -(-n // RANGE_ROWS))
+    return table(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), "ranges")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -50,14 +54,14 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = SEED, range_digits: int = RANGE_DIGITS, row: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = SEED, row: str | None = None) -> DataFrame:
     """key, size, source_size, target, taken and source_key for each row of docs.
 
     size is the text's number of words; taken is the words that the mix takes, a multiple of size. Nulls: a
     null text has size 0 and is never taken; null sources are one source, after all others; null keys are
-    shuffled like one key. Ties in the shuffle go by size; repeated rows are queued one by one, and which of
-    equal rows is taken can't be told apart, except by the column row, which is passed on. Other columns are not read. An empty table gives an empty
-    result. If all sizes are 0 nothing is taken.
+    shuffled like one key. Ties in the shuffle go by size, then by a hash of the text; repeated rows are queued
+    one by one, and which of equal rows is taken can't be told apart, except by the column row, which is passed
+    on. Other columns are not read. An empty table gives an empty result. If all sizes are 0 nothing is taken.
     """
     ready(docs.sparkSession)
     source_key = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("z"))
@@ -65,43 +69,38 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     rows = table(
         docs.select(
             F.col(key).alias("key"), F.col(source).alias("source"), source_key.alias("source_key"), shuffled.alias("h"),
-            F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"), *([F.col(row).alias("row")] if row else []),
+            F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("id"), *([F.col(row).alias("row")] if row else []),
         ),
         "mix",
     )
-    by_range = rows.withColumn("range", F.substring("h", 1, range_digits))
+    n = rows.count()
+    shuffle = ["h", "size", "tie", "id"]
+    by_range = ranges(rows, n, "source_key", *shuffle)
     sums = by_range.groupBy("source_key", "range").agg(F.sum("size").alias("range_size"), F.first("source").alias("source"))
     goals = targets(sums.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("range_size").alias("source_size")))
-    up_to = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    up_to = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # ranges, not documents
     starts = sums.select("source_key", "range", F.coalesce(F.sum("range_size").over(up_to), F.lit(0)).alias("before")).join(goals, "source_key")
-    inside = Window.partitionBy("source_key", "range").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queued = table(by_range.join(starts, ["source_key", "range"]).withColumn("total", F.col("before") + F.sum("size").over(inside)).drop("range", "before", "h", "source"), "queue")
+    inside = Window.partitionBy("source_key", "range").orderBy(*shuffle).rowsBetween(Window.unboundedPreceding, 0)
+    queued = table(by_range.join(starts, ["source_key", "range"]).withColumn("total", F.col("before") + F.sum("size").over(inside)).drop("range", "before", "source", *(x for x in shuffle if x != "size")), "queue")
 
     finishes = [finish(e) for e in range(EPOCHS)]
-    entries = queued.filter("size > 0").select("source_key", "size", F.explode(F.array(*finishes)).alias("finish"))
-    in_range = F.floor(F.least(F.col("finish"), F.lit(float(FAR))) * STEPS)
-    steps = entries.groupBy(in_range.alias("step")).agg(F.sum("size").alias("words"))
-    running = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # at most STEPS * FAR + 1 rows
+    entries = queued.filter("size > 0").select("source_key", "size", F.explode(F.array(*finishes)).alias("finish")).filter("finish is not null")
+    in_turn = ranges(entries, EPOCHS * n, "finish", "source_key")
+    running = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)  # ranges, not entries
+    steps = in_turn.groupBy("range").agg(F.sum("size").alias("words"))
     budget = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    over = steps.select("step", "words", F.sum("words").over(running).alias("reached")).filter(F.col("reached") > budget).orderBy("step").first()
-    if over is None:
-        last = F.lit(True)
-    else:
+    over = steps.select("range", "words", F.sum("words").over(running).alias("reached")).filter(F.col("reached") > budget).orderBy("range").first()
+    end = None
+    if over is not None:  # the mix ends in this range, at the last entry that fits
         left = budget - (over["reached"] - over["words"])
-        in_turn = Window.orderBy("finish", "source_key").rowsBetween(Window.unboundedPreceding, 0)  # the entries of one step
-        cut = entries.filter(in_range == over["step"]).withColumn("reached", F.sum("size").over(in_turn)).filter(F.col("reached") <= left)
-        end = cut.orderBy(F.desc("finish"), F.desc("source_key")).select("finish", "source_key").first()
-        if end is None:
-            last = None, over["step"]
-        else:
-            last = end["finish"], end["source_key"]
+        own = Window.orderBy("finish", "source_key").rowsBetween(Window.unboundedPreceding, 0)
+        order = F.struct("finish", "source_key")
+        cut = in_turn.filter(F.col("range") == over["range"]).withColumn("reached", F.sum("size").over(own))
+        end = cut.agg(F.min(F.when(F.col("reached") > left, order)).alias("e")).select("e.*").first()
 
     def taken(f: Column) -> Column:
-        if over is None:
-            return F.lit(True)
-        if last[0] is None:  # nothing of the last step fits
-            return F.floor(F.least(f, F.lit(float(FAR))) * STEPS) < last[1]
-        return (f < last[0]) | ((f == last[0]) & (F.col("source_key") <= last[1]))
+        """Whether an entry comes before the first one that doesn't fit."""
+        return F.lit(True) if end is None else (f < end["finish"]) | ((f == end["finish"]) & (F.col("source_key") < end["source_key"]))
 
     times = sum(F.when(taken(f), 1).otherwise(0) for f in finishes)
     return queued.select(F.col("key").alias(key), "size", "source_size", "target", F.when(F.col("size") > 0, F.col("size") * times).otherwise(0).cast("long").alias("taken"), "source_key", *([F.col("row").alias(row)] if row else []))

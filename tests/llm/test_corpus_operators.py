@@ -259,6 +259,20 @@ def test_mixing(spark, seed):
     assert mixing.mix(spark.createDataFrame([], "doc_id bigint, text string, source string")).count() == 0
 
 
+def test_mixing_in_small_ranges(spark, monkeypatch):
+    """A hot source, a hot null key, repeated rows and clashing names, in ranges of few rows."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 10)
+    rng = random.Random(4)
+    rows = [(i if i % 3 else None, " ".join(["w"] * rng.randint(0, 9)), rng.choices(["a", "b", None], [8, 1, 1])[0], "x", 5) for i in range(200)]
+    rows += [(1, "w w", "a", "x", 5)] * 20 + [(1, "v w", "a", "x", 5)] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, taken string, target int")
+    runs = [sorted(((r["doc_id"], r["size"], r["source_size"], r["taken"]) for r in mixing.mix(d).collect()), key=str) for d in (df, df.repartition(7))]
+    want = plain_mix([r[:3] for r in rows])
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows)
+    assert sum(r[3] for r in runs[0]) <= sum(r[1] for r in runs[0]) and all(r[3] in (0, r[1], 2 * r[1], 3 * r[1]) for r in runs[0])
+    assert abs(sum(r[3] for r in runs[0]) - want["size"].sum()) <= 9 and want["size"].sum() == sum(r[1] for r in runs[0])
+
+
 def test_mixing_without_words(spark):
     got = mixing.mix(spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id bigint, text string, source string")).collect()
     assert [r["taken"] for r in got] == [0, 0]
