@@ -25,6 +25,7 @@ from ..operators import scoring as S
 from ..operators import similarity as SIM
 from ..operators import staleness as ST
 from ..operators import structure as U
+from ..schema import KINDS, META
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,7 +63,7 @@ PART_TEXT = "concat(CASE p_size % 3 WHEN 0 THEN 'Always use ' WHEN 1 THEN 'Never
 NEG, POS = r"(?i)\b(?:never|don''?t|do not|avoid|must not|no)\b".replace("''", "''"), r"(?i)\b(?:always|must|prefer|use|do)\b"
 PART_RULES = f"rules AS (SELECT p_brand AS repo_id, p_partkey AS rule_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS ord, {PART_TEXT} AS text FROM part)"
 URL_PATH = "regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1)"
-EVENT_FINDINGS = "(SELECT concat('r', user_id % 40) AS repo_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'warn' WHEN 'purchase' THEN 'warn' ELSE 'info' END AS severity, CASE event_type WHEN 'error' THEN 'stale-reference' WHEN 'click' THEN 'duplication' WHEN 'purchase' THEN 'drift' WHEN 'view' THEN 'budget' ELSE 'structure' END AS category, concat('line ', event_id, ' of user ', user_id, ' has ', event_type) AS message, event_id, user_id FROM events WHERE user_id % 3 = 0 AND value > 30)"
+EVENT_FINDINGS = "(SELECT concat('r', user_id % 997) AS repo_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'warn' WHEN 'purchase' THEN 'warn' ELSE 'info' END AS severity, CASE event_type WHEN 'error' THEN 'stale-reference' WHEN 'click' THEN 'duplication' WHEN 'purchase' THEN 'drift' WHEN 'view' THEN 'budget' ELSE 'structure' END AS category, concat('line ', event_id, ' of user ', user_id, ' has ', event_type) AS message, event_id, user_id FROM events)"
 
 
 # ---- rows that stand in for surfaces, rules and findings
@@ -86,10 +87,10 @@ def url_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").filter("user_id % 3 = 0 and value > 30")
+    e = read(spark, sf_dir, "events")
     kind = F.col("event_type")
     return e.select(
-        F.concat(F.lit("r"), (F.col("user_id") % 40).cast("string")).alias("repo_id"), F.when(kind == "error", "error").when(kind.isin("click", "purchase"), "warn").otherwise("info").alias("severity"),
+        F.concat(F.lit("r"), (F.col("user_id") % 997).cast("string")).alias("repo_id"), F.when(kind == "error", "error").when(kind.isin("click", "purchase"), "warn").otherwise("info").alias("severity"),
         F.when(kind == "error", "stale-reference").when(kind == "click", "duplication").when(kind == "purchase", "drift").when(kind == "view", "budget").otherwise("structure").alias("category"),
         F.concat(F.lit("line "), F.col("event_id").cast("string"), F.lit(" of user "), F.col("user_id").cast("string"), F.lit(" has "), kind).alias("message"), "event_id", "user_id",
     )
@@ -123,10 +124,11 @@ def drift_pairs(spark, sf_dir):
     return doc_pairs(spark, sf_dir, SIM.DRIFT).filter(F.col("j") < SIM.DUPLICATE).select("a", "b", F.round("j", 6).alias("j"))
 
 
-@query(f"WITH w AS (SELECT doc_id, source, md5(array_to_string({WORDS.format('text')}, ' ')) AS h FROM documents) SELECT h AS words_hash, count(*)::BIGINT AS copies, arg_min(doc_id, struct_pack(s := source, d := doc_id)) AS winner FROM w GROUP BY 1 HAVING count(*) > 1")
+@query(f"WITH w AS (SELECT doc_id, doc_id % {len(KINDS)} AS rank, source, md5(array_to_string({WORDS.format('text')}, ' ')) AS h FROM documents) SELECT h AS words_hash, count(*)::BIGINT AS copies, arg_min(doc_id, struct_pack(r := rank, s := source, d := doc_id)) AS winner FROM w GROUP BY 1 HAVING count(*) > 1")
 def exact_duplicate_winner(spark, sf_dir):
-    w = read(spark, sf_dir, "documents").select("doc_id", "source", F.md5(F.array_join(T.normalize_words(F.col("text")), " ").cast("binary")).alias("words_hash"))
-    return w.groupBy("words_hash").agg(F.count("*").alias("copies"), F.min_by("doc_id", F.struct("source", "doc_id")).alias("winner")).filter("copies > 1")
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % len(KINDS) + 1).cast("int"))
+    w = read(spark, sf_dir, "documents").select("doc_id", W.kind_rank(kind).alias("rank"), "source", F.md5(F.array_join(T.normalize_words(F.col("text")), " ").cast("binary")).alias("words_hash"))
+    return w.groupBy("words_hash").agg(F.count("*").alias("copies"), F.min_by("doc_id", F.struct("rank", "source", "doc_id")).alias("winner")).filter("copies > 1")
 
 
 @query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents), h AS (SELECT doc_id, pos, substr(sha1(line), 1, 12) AS m FROM l WHERE trim(line) <> '') SELECT doc_id, pos::BIGINT AS line, concat(doc_id, ':', m, CASE WHEN n > 1 THEN concat('.', n) ELSE '' END) AS rule_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, m ORDER BY pos) AS n FROM h)")
@@ -200,11 +202,16 @@ def boilerplate_surfaces(spark, sf_dir):
     return U.boilerplate(d).select("doc_id", long("chars").alias("chars"))
 
 
-@query("SELECT role, sum(CASE WHEN turn > 0 THEN 0 ELSE ceil(length(text) / 4) END)::BIGINT AS tokens_always, sum(CASE WHEN turn > 0 THEN ceil(length(text) / 4) ELSE 0 END)::BIGINT AS tokens_conditional, count(*)::BIGINT AS entries FROM conversations GROUP BY 1")
+@query("SELECT conv_id::VARCHAR AS repo_id, sum(CASE WHEN turn = 0 THEN ceil(length(text) / 4) ELSE 0 END)::BIGINT AS tokens_always, sum(CASE WHEN turn = 0 THEN 0 ELSE ceil(length(text) / 4) END)::BIGINT AS tokens_conditional, count(*)::BIGINT AS entries FROM conversations GROUP BY 1")
 def effective_context_sums(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations").withColumn("t", T.estimate_tokens(F.col("text")))
-    conditional = F.col("turn") > 0
-    return c.groupBy("role").agg(F.sum(F.when(conditional, 0).otherwise(F.col("t"))).alias("tokens_always"), F.sum(F.when(conditional, F.col("t")).otherwise(0)).alias("tokens_conditional"), F.count("*").alias("entries"))
+    """Conversations as repositories: the first turn always loads, the others are rules on request."""
+    first = F.col("turn") == 0
+    c = read(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("repo_id"), F.col("turn").cast("string").alias("surface_id"), F.when(first, "AGENTS.md").otherwise(F.concat(F.lit(".cursor/rules/"), F.col("turn").cast("string"), F.lit(".mdc"))).alias("path"),
+        F.when(first, "agents-md").otherwise("cursor-rule").alias("kind"), F.lit("repo-root").alias("scope"), T.estimate_tokens(F.col("text")).alias("tokens_est"), F.lit(None).cast(META).alias("meta"),
+    )
+    told = X.contexts(c, c.select("repo_id", "path")).filter("tool = 'cursor' and directory = '.'")
+    return told.select("repo_id", long("tokens_always").alias("tokens_always"), long("tokens_conditional").alias("tokens_conditional"), long(F.size("entries")).alias("entries"))
 
 
 # ---- paths and references
@@ -228,7 +235,7 @@ def nearest_ancestor(spark, sf_dir):
     return f.join(near, ["repo_id", "dir"]).select("page_id", "owner")
 
 
-@query(f"WITH f AS (SELECT page_id, {URL_PATH} AS p FROM pages WHERE {URL_PATH} <> '') SELECT page_id, p || CASE WHEN page_id % 5 = 0 THEN '.gone' ELSE '' END AS ref FROM f WHERE page_id % 5 = 0")
+@query(f"WITH f AS (SELECT page_id, {URL_PATH} AS p FROM pages WHERE {URL_PATH} <> ''), r AS (SELECT page_id, p || CASE WHEN page_id % 5 = 0 THEN '.gone' ELSE '' END AS ref FROM f) SELECT page_id, ref FROM r WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.p = r.ref OR starts_with(f.p, r.ref || '/')) AND NOT EXISTS (SELECT 1 FROM f WHERE regexp_extract(f.p, '[^/]*$') = r.ref)")
 def stale_refs(spark, sf_dir):
     f = url_files(spark, sf_dir)
     files = f.select("repo_id", "path").distinct()
@@ -239,11 +246,11 @@ def stale_refs(spark, sf_dir):
     return found.select(F.col("rule_ids")[0].alias("page_id"), F.col("fix.ref").alias("ref"))
 
 
-@query(f"WITH f AS (SELECT page_id, {URL_PATH} AS p FROM pages WHERE {URL_PATH} <> ''), g AS (SELECT page_id, regexp_replace(p, '[0-9]$', '') AS lead FROM f WHERE page_id % 11 = 0 AND regexp_matches(p, '/[0-9]*$')) SELECT DISTINCT g.page_id, g.lead || '*' AS ref FROM g WHERE EXISTS (SELECT 1 FROM f WHERE starts_with(f.p, g.lead) AND NOT contains(substr(f.p, length(g.lead) + 1), '/'))")
+@query(f"WITH f AS (SELECT page_id, {URL_PATH} AS p FROM pages WHERE {URL_PATH} <> ''), g AS (SELECT page_id, regexp_replace(p, '[0-9]$', '') AS lead FROM f WHERE regexp_matches(p, '/[0-9]*$')) SELECT DISTINCT g.page_id, g.lead || '*' AS ref FROM g WHERE EXISTS (SELECT 1 FROM f WHERE starts_with(f.p, g.lead) AND NOT contains(substr(f.p, length(g.lead) + 1), '/'))")
 def glob_refs(spark, sf_dir):
     f = url_files(spark, sf_dir)
     files = f.select("repo_id", "path").distinct()
-    refs = f.filter((F.col("page_id") % 11 == 0) & F.col("path").rlike("/[0-9]*$")).select("repo_id", F.col("page_id").alias("rule_id"), F.lit(".").alias("dir"), F.lit("text").alias("text"), F.concat(F.regexp_replace("path", "[0-9]$", ""), F.lit("*")).alias("ref"))
+    refs = f.filter(F.col("path").rlike("/[0-9]*$")).select("repo_id", F.col("page_id").alias("rule_id"), F.lit(".").alias("dir"), F.lit("text").alias("text"), F.concat(F.regexp_replace("path", "[0-9]$", ""), F.lit("*")).alias("ref"))
     return ST.glob_hits(refs, files, ST.directories(files)).select(F.col("rule_id").alias("page_id"), "ref")
 
 
@@ -252,7 +259,7 @@ def glob_refs(spark, sf_dir):
 SCORE_SQL = f"""
 WITH f AS {EVENT_FINDINGS}, p AS (SELECT repo_id, CASE category WHEN 'stale-reference' THEN 'freshness' WHEN 'duplication' THEN 'uniqueness' WHEN 'drift' THEN 'consistency' ELSE category END AS subscore, CASE severity WHEN 'error' THEN 25 WHEN 'warn' THEN 10 ELSE 4 END AS penalty, event_id FROM f),
 r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, subscore ORDER BY penalty DESC, event_id) AS rn FROM p), s AS (SELECT repo_id, subscore, sum(penalty * pow(0.8, rn - 1)) AS t FROM r GROUP BY 1, 2),
-d AS (SELECT * FROM (SELECT DISTINCT concat('r', user_id % 40) AS repo_id FROM events), (VALUES ('freshness', 0.25), ('uniqueness', 0.2), ('consistency', 0.25), ('budget', 0.15), ('structure', 0.15)) w(subscore, weight)),
+d AS (SELECT * FROM (SELECT DISTINCT concat('r', user_id % 997) AS repo_id FROM events), (VALUES ('freshness', 0.25), ('uniqueness', 0.2), ('consistency', 0.25), ('budget', 0.15), ('structure', 0.15)) w(subscore, weight)),
 v AS (SELECT repo_id, subscore, weight, greatest(0, floor(round(100 - coalesce(t, 0), 9) + 0.5)) AS v FROM d LEFT JOIN s USING (repo_id, subscore))
 SELECT repo_id, floor(round(sum(v * weight), 9) + 0.5)::BIGINT AS total, max(CASE subscore WHEN 'freshness' THEN v END)::BIGINT AS freshness, max(CASE subscore WHEN 'uniqueness' THEN v END)::BIGINT AS uniqueness,
 max(CASE subscore WHEN 'consistency' THEN v END)::BIGINT AS consistency, max(CASE subscore WHEN 'budget' THEN v END)::BIGINT AS budget, max(CASE subscore WHEN 'structure' THEN v END)::BIGINT AS structure FROM v GROUP BY 1
@@ -261,7 +268,7 @@ max(CASE subscore WHEN 'consistency' THEN v END)::BIGINT AS consistency, max(CAS
 
 @query(SCORE_SQL)
 def severity_score(spark, sf_dir):
-    repos = read(spark, sf_dir, "events").select(F.concat(F.lit("r"), (F.col("user_id") % 40).cast("string")).alias("repo_id"))
+    repos = read(spark, sf_dir, "events").select(F.concat(F.lit("r"), (F.col("user_id") % 997).cast("string")).alias("repo_id"))
     s = S.scores(event_findings(spark, sf_dir), repos)
     return s.select("repo_id", *[long(c).alias(c) for c in ("total", *S.WEIGHT)])
 
@@ -285,7 +292,7 @@ def findings_fingerprint(spark, sf_dir):
     return fingerprinted(spark, sf_dir).groupBy("repo_id", "fingerprint").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH f AS (SELECT repo_id, event_id, {FINGERPRINT_SQL} AS fp FROM {EVENT_FINDINGS}), b AS (SELECT DISTINCT repo_id, fp FROM f WHERE event_id % 9 = 0 UNION SELECT DISTINCT repo_id, 'gone' FROM f) SELECT b.repo_id, (SELECT count(*) FROM f WHERE f.repo_id = b.repo_id AND f.fp IN (SELECT fp FROM b c WHERE c.repo_id = f.repo_id))::BIGINT AS suppressed, count(*) FILTER (fp NOT IN (SELECT fp FROM f))::BIGINT AS stale FROM b GROUP BY 1")
+@query(f"WITH f AS (SELECT repo_id, event_id, {FINGERPRINT_SQL} AS fp FROM {EVENT_FINDINGS}), b AS (SELECT DISTINCT repo_id, fp FROM f WHERE event_id % 9 = 0 UNION SELECT DISTINCT repo_id, 'gone' FROM f), n AS (SELECT repo_id, fp, count(*) AS n FROM f GROUP BY 1, 2) SELECT b.repo_id, coalesce(sum(n.n), 0)::BIGINT AS suppressed, count(*) FILTER (n.n IS NULL)::BIGINT AS stale FROM b LEFT JOIN n ON n.repo_id = b.repo_id AND n.fp = b.fp GROUP BY 1")
 def baseline_split(spark, sf_dir):
     f = fingerprinted(spark, sf_dir)
     known = f.filter("event_id % 9 = 0").select("repo_id", "fingerprint").unionByName(f.select("repo_id", F.lit("gone").alias("fingerprint")))
@@ -311,7 +318,7 @@ def recall_by_source(spark, sf_dir):
     return S.recall(seeded)
 
 
-@query("(SELECT c_custkey, 'gone' AS side FROM customer WHERE c_custkey % 10 = 0) UNION ALL (SELECT c_custkey + 1000000 AS c_custkey, 'new' AS side FROM customer WHERE c_custkey % 10 = 1)")
+@query("WITH a AS (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0 UNION ALL SELECT c_custkey + 1000000 FROM customer WHERE c_custkey % 10 = 1), b AS (SELECT c_custkey FROM customer) SELECT c_custkey, 'new' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT c_custkey, 'gone' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
 def snapshot_drift(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select("c_custkey")
     now = c.filter("c_custkey % 10 <> 0").unionByName(c.filter("c_custkey % 10 = 1").select((F.col("c_custkey") + 1000000).alias("c_custkey")))
