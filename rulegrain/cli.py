@@ -63,7 +63,7 @@ def main(argv: list[str] | None = None) -> int:
                 raise C.ConfigError("no scan was kept: run scan first")
             print(reports.render(reports.read_payload(text), a.format))
             return 0
-        config = C.load(_read(a.config or f"{root}/rulegrain.json"))
+        config = C.load(_read(a.config or f"{root}/rulegrain.json"), C.LIMITED)
         spark = _session()
         result = _scan(spark, root, config, not a.write_baseline)
         if a.command == "fix":

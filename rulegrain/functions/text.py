@@ -18,9 +18,9 @@ CRITICAL_WORDS = r"never|must(?: not)?|always|do not|don'?t"
 EMPHASIZED_WORDS = r"NEVER|MUST(?: NOT)?|ALWAYS|DO NOT"
 MODAL_WORDS = r"must(?: not)?|never|always|do not|don'?t|should(?: not)?|required|banned|only|forbidden"
 IMPERATIVE_STARTS = (
-    "use do don'?t never always avoid prefer keep run add remove write return ensure make check include wrap log validate treat open request follow "
-    "coordinate batch watch paginate anonymize store extract delete fix update link declare co-locate put leave send split name mark call read be"
-).replace(" ", "|")
+    "use|do|don'?t|never|always|avoid|prefer|keep|run|add|remove|write|return|ensure|make|check|include|wrap|log|validate|treat|open|request|follow|"
+    "coordinate|batch|watch|paginate|anonymize|store|extract|delete|fix|update|link|declare|co-locate|put|leave|send|split|name|mark|call|read|be"
+)
 STOPWORDS = (
     "a an the in on of for to and or so that this these those it its is are be with as at by from into your our we you they them anywhere everywhere here there"
 ).split()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schema import finding, place
-from .similarity import DUPLICATE, MAX_RULES, capped, with_shingles
+from .similarity import DUPLICATE, capped, with_shingles
 
 LEAST_SHARED = 2
 
@@ -20,7 +20,7 @@ def directives(rules: DataFrame) -> DataFrame:
     return told.withColumn("core", T.directive_core(s)).filter(F.size("core") > 0)
 
 
-def contradiction(rules: DataFrame, surfaces: DataFrame, max_rules: int | None = MAX_RULES) -> DataFrame:
+def contradiction(rules: DataFrame, surfaces: DataFrame, max_rules: int | None = None) -> DataFrame:
     """Findings: each pair of rules once, by its first pair of sentences. Pairs of near duplicates don't count."""
     few, _ = capped(rules, max_rules)
     said = directives(few)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.diffs import unified_diff
 from ..schema import KINDS
+from ..sources.settled import settled
 
 HEADING = "## Critical rules"
 EDIT = "struct<type: string, start_line: int, end_line: int, find: string, replace_with: string>"
@@ -45,7 +46,7 @@ def plan(findings: DataFrame, rules: DataFrame, surfaces: DataFrame, renames: Da
     """FIXES of findings. renames: repo_id, old, targets; index: repo_id, path of existing files and directories."""
     own = surfaces.filter("scope <> 'user-global'").select("repo_id", "surface_id", "path", kind_rank(F.col("kind")).alias("rank"))
     placed = rules.join(own, ["repo_id", "surface_id"]).select("repo_id", "rule_id", "text", "path", "rank", "start_line", "end_line", "ord")
-    f = findings.withColumn("row", F.monotonically_increasing_id())
+    f = settled(findings.withColumn("row", F.monotonically_increasing_id()), "numbered")  # both sides of joins see the same numbers
 
     # two equal rules: the one that ranks lower goes, each place once
     side = lambda s: placed.select(F.col("repo_id"), F.col("rule_id").alias(s), F.struct("text", "path", "rank", "start_line", "end_line").alias(f"r{s}"))

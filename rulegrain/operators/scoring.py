@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.settled import settled
 
 # Penalties, their decay, which category counts where, and the weights of the total.
 PENALTY = {"error": 25, "warn": 10, "info": 4}
@@ -62,9 +63,14 @@ def gate(findings: DataFrame, score_rows: DataFrame, min_score: int = 0, fail_on
     return told.select("repo_id", errors.alias("errors"), "total", ((errors == 0) | F.lit(not fail_on_errors)).__and__(F.col("total") >= min_score).alias("passed"))
 
 
+def _numbered(findings: DataFrame) -> DataFrame:
+    """Findings with a row number, written, so that both sides of a join see the same numbers."""
+    return settled(findings.withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
 def with_fingerprints(findings: DataFrame, surfaces: DataFrame) -> DataFrame:
     """Findings with their fingerprint: surface ids give way to paths, digits in messages don't count."""
-    marked = findings.withColumn("row", F.monotonically_increasing_id())
+    marked = _numbered(findings)
     ids = marked.select("row", "repo_id", F.explode_outer("surface_ids").alias("surface_id"))
     named = ids.join(surfaces.select("repo_id", "surface_id", "path"), ["repo_id", "surface_id"], "left").groupBy("row").agg(F.collect_list(F.coalesce("path", "surface_id")).alias("paths"))
     told = marked.join(named, "row")
@@ -83,7 +89,7 @@ def apply_baseline(findings: DataFrame, baseline: DataFrame) -> tuple[DataFrame,
 
 def without_ignored(findings: DataFrame, ignored: DataFrame) -> DataFrame:
     """Findings that touch none of the ignored rules (repo_id, rule_id)."""
-    marked = findings.withColumn("row", F.monotonically_increasing_id())
+    marked = _numbered(findings)
     hit = marked.select("row", "repo_id", F.explode("rule_ids").alias("rule_id")).join(ignored, ["repo_id", "rule_id"], "left_semi").select("row").distinct()
     return marked.join(hit, "row", "left_anti").drop("row")
 

@@ -19,14 +19,14 @@ class Budgets:
 
 @dataclass(frozen=True)
 class Discovery:
-    max_files: int = 20_000
-    max_surface_bytes: int = 1 << 20
+    max_files: int | None = None
+    max_surface_bytes: int | None = None
     exclude: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
 class Analysis:
-    max_rules: int = 5000
+    max_rules: int | None = None
 
 
 @dataclass(frozen=True)
@@ -48,13 +48,17 @@ class Config:
     compliance: Compliance = field(default_factory=Compliance)
 
 
+#: Limits of the command line, which looks at one repository on one machine. The library has none of its own.
+LIMITED = Config(discovery=Discovery(max_files=20_000, max_surface_bytes=1 << 20), analysis=Analysis(max_rules=5000))
+
+
 def _snake(key: str) -> str:
     return "".join("_" + c.lower() if c.isupper() else c for c in key)
 
 
-def load(source: str | None) -> Config:
-    """Settings from JSON text (camelCase or snake_case keys); None gives the defaults."""
-    config = Config()
+def load(source: str | None, base: Config | None = None) -> Config:
+    """Settings from JSON text (camelCase or snake_case keys); what it doesn't say is as in base, or the defaults."""
+    config = base or Config()
     if source is None:
         return config
     try:

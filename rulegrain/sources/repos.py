@@ -60,7 +60,7 @@ def _walk(root: str) -> Iterator[str]:
         yield from (f"{folder}{e.name}" for e in entries if e.is_file(follow_symlinks=False))
 
 
-def tree(repos: DataFrame, max_bytes: int = 1 << 20) -> DataFrame:
+def tree(repos: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """repo_id, path, length, content of repositories (repo_id, root); content only of surfaces, manifests and .gitignore within the limit.
 
     Roots are read where the task runs: they must be on storage that executors see. What .gitignore covers is left out.
@@ -81,7 +81,7 @@ def tree(repos: DataFrame, max_bytes: int = 1 << 20) -> DataFrame:
                     if hidden and hidden.match(path):
                         continue
                     size, content = os.path.getsize(full := os.path.join(root, path)), None
-                    if wanted.match(path) and size <= max_bytes:
+                    if wanted.match(path) and (max_bytes is None or size <= max_bytes):
                         with open(full, "rb") as f:
                             content = f.read()
                     rows.append((repo, path, size, content))
@@ -97,8 +97,10 @@ def tree(repos: DataFrame, max_bytes: int = 1 << 20) -> DataFrame:
     return repos.select("repo_id", "root").repartition("repo_id").mapInArrow(read, TREE)
 
 
-def file_index(tree_rows: DataFrame, max_files: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """repo_id, path of up to max_files files of each repository, in order of path; and repo_id of those that had more."""
+def file_index(tree_rows: DataFrame, max_files: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """repo_id, path of up to max_files files (None: all) of each repository, in order of path; and repo_id of those that had more."""
+    if max_files is None:
+        return tree_rows.select("repo_id", "path"), tree_rows.select("repo_id").limit(0)
     n = tree_rows.groupBy("repo_id").agg(F.count("*").alias("n"))
     over = n.filter(F.col("n") > max_files).select("repo_id")
     first = Window.partitionBy("repo_id").orderBy("path")
@@ -134,9 +136,13 @@ def surface_files(tree_rows: DataFrame, exclude: list[str] | tuple[str, ...] = (
     return found.filter(~P.like_globs(path, exclude_globs(exclude))) if exclude else found
 
 
-def surfaces(tree_rows: DataFrame, exclude: list[str] | tuple[str, ...] = (), max_bytes: int = 1 << 20, user_global: DataFrame | None = None) -> DataFrame:
+def _within(max_bytes: int | None) -> Column:
+    return F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
+
+
+def surfaces(tree_rows: DataFrame, exclude: list[str] | tuple[str, ...] = (), max_bytes: int | None = None, user_global: DataFrame | None = None) -> DataFrame:
     """Surfaces without meta: readable ones within the limit, and a user's own file (repo_id, raw) if given."""
-    good = surface_files(tree_rows, exclude).filter((F.col("length") <= max_bytes) & F.is_valid_utf8(F.col("content")))
+    good = surface_files(tree_rows, exclude).filter(_within(max_bytes) & F.is_valid_utf8(F.col("content")))
     kind = kind_of(F.col("path"))
     own = good.select("repo_id", T.short_hash(F.col("path"), 10).alias("surface_id"), "path", kind.alias("kind"), scope_of(F.col("path"), kind).alias("scope"), tools_of(kind).alias("tools"), F.col("content").cast("string").alias("raw"))
     if user_global is not None:
@@ -145,12 +151,12 @@ def surfaces(tree_rows: DataFrame, exclude: list[str] | tuple[str, ...] = (), ma
     return own.withColumn("tokens_est", T.estimate_tokens(F.col("raw")))
 
 
-def discovery_findings(tree_rows: DataFrame, over: DataFrame, exclude: list[str] | tuple[str, ...] = (), max_bytes: int = 1 << 20, max_files: int = 20_000) -> DataFrame:
+def discovery_findings(tree_rows: DataFrame, over: DataFrame, exclude: list[str] | tuple[str, ...] = (), max_bytes: int | None = None, max_files: int | None = None) -> DataFrame:
     """Findings of surfaces that are too large or no UTF-8, and of indexes that were cut."""
     found = surface_files(tree_rows, exclude)
     kb = F.floor(F.col("length") / 1024 + 0.5).cast("string")
-    large = found.filter(F.col("length") > max_bytes).select("repo_id", *finding("warn", "structure", F.concat("path", F.lit(" has "), kb, F.lit(f" KB (limit {max_bytes // 1024} KB) and was left out. Split it.")), F.format_string("file size %d bytes", "length")))
-    odd = found.filter((F.col("length") <= max_bytes) & ~F.is_valid_utf8(F.col("content"))).select("repo_id", *finding("info", "structure", F.concat("path", F.lit(" is not UTF-8 and was left out.")), F.lit("invalid UTF-8")))
+    large = found.filter(~_within(max_bytes)).select("repo_id", *finding("warn", "structure", F.concat("path", F.lit(" has "), kb, F.lit(f" KB (limit {(max_bytes or 0) // 1024} KB) and was left out. Split it.")), F.format_string("file size %d bytes", "length")))
+    odd = found.filter(_within(max_bytes) & ~F.is_valid_utf8(F.col("content"))).select("repo_id", *finding("info", "structure", F.concat("path", F.lit(" is not UTF-8 and was left out.")), F.lit("invalid UTF-8")))
     cut = over.select("repo_id", *finding("info", "structure", F.lit(f"The file index was cut at {max_files} files; checks of references may be incomplete."), F.lit(f"more than {max_files} files")))
     return large.unionByName(odd).unionByName(cut)
 
