@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,7 +97,8 @@ class Codec:
         self.store: dict[str, tuple[int, str, bytes]] = {}
 
     def _encode_bare(self, texts: list[str]) -> list[list[int]]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "true" if len(texts) > 1 else "false"  # the library reads it at each call
+        task = TaskContext.get()  # halves are encoded in parallel on as many cores as the task owns (spark.task.cpus)
+        os.environ["TOKENIZERS_PARALLELISM"] = "true" if len(texts) > 1 and (task is None or task.cpus() > 1) else "false"  # the library reads it at each call
         return [e.ids for e in self.bare.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _long(self, unit: str) -> list[int]:

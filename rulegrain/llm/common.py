@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.settled import shared_dir
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Words are maximal runs of anything but space and the controls 09-0D.
@@ -19,13 +21,13 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 #: Rows that go to a Python worker at once, where the session still has Spark's 10000: texts may be long.
-BATCH_ROWS = 512
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, wherever the session was made, and bound what they get at once."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    if spark.sparkContext.getConf().get(BATCH_SETTING) is None and spark.conf.get(BATCH_SETTING) == "10000":  # nobody chose it
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
@@ -40,14 +42,6 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else one of our own."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told
-    return spark.conf.get("spark.rulegrain.shared.dir", "/tmp/checkpoints/rulegrain")
-
-
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and lost executors lose nothing."""
     spark = df.sparkSession
