@@ -22,13 +22,13 @@ SEED = 7
 WEIGHTS = (1, 2, 3)
 #: A document is taken this many times at most.
 EPOCHS = 3
-#: Rows for which there is a range.
-RANGE_ROWS = 500_000
+#: Rows for which there is a range, and ranges at most.
+RANGE_ROWS, MOST_RANGES = 10_000, 20_000
 
 
 def ranges(df: DataFrame, n: int, *order: str) -> DataFrame:
     """df, of n rows, range-sorted, with the number of each row's range: written, as ranges are cut by a sample."""
-    parts = max(12, -(-n // RANGE_ROWS))
+    parts = min(MOST_RANGES, max(12, -(-n // RANGE_ROWS)))
     return table(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), "ranges")
 
 
