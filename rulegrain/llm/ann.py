@@ -131,9 +131,16 @@ class Ranking:
     def see(self, ids: np.ndarray, x: np.ndarray, asks: np.ndarray, allowed: np.ndarray | None = None) -> None:
         """Rank rows for the queries that ask (and, of these, only the allowed pairs). Products of 32 bits, with a margin, tell which to rank."""
         margin = 1e-6 * (len(x.T) + 8) * self.lengths[asks] * np.sqrt((x * x).sum(axis=1).max(initial=0))
-        fine = (self.small[asks] @ x.astype(np.float32).T) >= (self.least[asks] - margin)[:, None]
+        near = self.small[asks] @ x.astype(np.float32).T
         if allowed is not None:
-            fine &= allowed
+            near[~allowed] = -np.inf
+        least, new = self.least[asks], np.isinf(self.least[asks])
+        # the best rows here, of which each id may have some, hold as many ids as are wanted, and the query's own
+        enough = (self.top + 1) * int(np.unique(ids, return_counts=True)[1].max(initial=1))
+        if new.any() and enough < len(ids):
+            least[new] = np.partition(near[new], len(ids) - enough, axis=1)[:, len(ids) - enough]
+            least[new] -= margin[new]  # by products of 32 bits
+        fine = (near >= (least - margin)[:, None]) & (near > -np.inf)
         i, j = np.nonzero(fine)
         i = asks[i]
         other = self.ids[i] != ids[j]
