@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns and word lists that decide results.
-NOT_WORD = r"[^\p{L}\p{N}/*.@-]+"
-TRIMMED = r"^[.-]+|[.-]+$"
+WORD_INSIDE = r"[\p{L}\p{N}/*.@-]"
+WORD_ENDS = r"[\p{L}\p{N}/*@]"
 NEGATIVE_WORDS = r"never|don'?t|do not|avoid|must not|no"
 POSITIVE_WORDS = r"always|must|prefer|use|do"
 CONDITIONAL_WORDS = r"when|if|where"
@@ -37,9 +37,11 @@ def bounded(words: str) -> str:
 
 
 def normalize_words(text: Column) -> Column:
-    """Lower-case words; letters, digits and /*.@- make words, dots and hyphens at their ends go."""
-    spaced = F.regexp_replace(F.replace(F.lower(text), F.lit("`"), F.lit(" ")), NOT_WORD, " ")
-    return F.filter(F.transform(F.split(spaced, " "), lambda w: F.regexp_replace(w, TRIMMED, "")), lambda w: w != "")
+    """Lower-case words; letters, digits and /*.@- make words, dots and hyphens at their ends go.
+
+    One pass of one pattern: a word begins and ends with what may end it.
+    """
+    return F.regexp_extract_all(F.lower(text), F.lit(f"{WORD_ENDS}(?:{WORD_INSIDE}*{WORD_ENDS})?"), F.lit(0))
 
 
 def shingles(words: Column, n: int = SHINGLE) -> Column:

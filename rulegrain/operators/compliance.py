@@ -102,10 +102,15 @@ def keywords(words: Column) -> Column:
 
 
 def by_keywords(rules: DataFrame, chunks: DataFrame, least: int = LEAST_KEYWORDS) -> DataFrame:
-    """repo_id, rule_id, chunk_id that share so many keywords."""
-    asked = rules.select("repo_id", "rule_id", F.explode(keywords(T.normalize_words(F.col("text")))).alias("word"))
-    said = chunks.select("repo_id", "chunk_id", F.explode(T.normalize_words(F.col("diff"))).alias("word")).distinct()
-    return asked.join(said, ["repo_id", "word"]).groupBy("repo_id", "rule_id", "chunk_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("repo_id", "rule_id", "chunk_id")
+    """repo_id, rule_id, chunk_id that share so many keywords.
+
+    Words are made distinct in their rows, and words that no rule asks for never leave their tasks where
+    the rules are few; a chunk that repeats counts once, as sets hold no more than a rule's keywords.
+    """
+    asked = rules.select("repo_id", "rule_id", keywords(T.normalize_words(F.col("text"))).alias("asked")).filter(F.size("asked") >= least)
+    wanted = asked.select("repo_id", "rule_id", F.explode("asked").alias("word"))
+    said = chunks.select("repo_id", "chunk_id", F.explode(F.array_distinct(T.normalize_words(F.col("diff")))).alias("word"))
+    return wanted.join(said, ["repo_id", "word"]).groupBy("repo_id", "rule_id", "chunk_id").agg(F.collect_set("word").alias("shared")).filter(F.size("shared") >= least).select("repo_id", "rule_id", "chunk_id")
 
 
 def dead_rules(rules: DataFrame, pairs: DataFrame) -> DataFrame:

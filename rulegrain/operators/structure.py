@@ -16,14 +16,20 @@ LEAST_FILES, LEAST_OVERLAP, LEAST_CHARS = 3, 0.5, 80
 def mean_overlap(sets: DataFrame) -> DataFrame:
     """repo_id, files, mean: mean similarity of all pairs of a repository's sets (repo_id, id, n, words); pairs that share nothing count as 0.
 
-    Only pairs that share a shingle are joined; the number of pairs is known without them.
+    Equal texts are one class that counts as often as it occurs, so copies make no pairs. Only classes that
+    share a shingle are joined; the number of pairs is known without them.
     """
-    one = sets.select("repo_id", "id", "n", F.explode(hashed(F.col("words"))).alias("token"))
+    empty = F.col("n") == 0  # no words: like nothing, not even another one
+    kinds = sets.groupBy("repo_id", "words", "n").agg(F.count("*").alias("m")).withColumn("class", F.xxhash64("words"))
+    one = kinds.select("repo_id", "class", "m", "n", F.explode(hashed(F.col("words"))).alias("token"))
     a, b = one.alias("a"), one.alias("b")
-    on = (F.col("a.repo_id") == F.col("b.repo_id")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id"))
-    shared = a.join(b, on).groupBy(F.col("a.repo_id").alias("repo_id"), F.col("a.id").alias("x"), F.col("b.id").alias("y"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("i"))
-    total = shared.groupBy("repo_id").agg(F.sum(F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("total"))
-    n = sets.groupBy("repo_id").agg(F.count("*").alias("files"))
+    on = (F.col("a.repo_id") == F.col("b.repo_id")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class"))
+    side = lambda s: [F.col(f"{s}.{c}").alias(f"{c}{s}") for c in ("class", "m", "n")]
+    shared = a.join(b, on).groupBy(F.col("a.repo_id").alias("repo_id"), *side("a"), *side("b")).agg(F.count("*").alias("i"))
+    between = shared.select("repo_id", (F.col("ma") * F.col("mb") * F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("j"))
+    within = kinds.select("repo_id", F.when(empty, 0.0).otherwise(F.col("m") * (F.col("m") - 1) / 2).alias("j"))
+    total = between.unionByName(within).groupBy("repo_id").agg(F.sum("j").alias("total"))
+    n = kinds.groupBy("repo_id").agg(F.sum("m").alias("files"))
     return n.join(total, "repo_id", "left").select("repo_id", "files", F.when(F.col("files") > 1, F.coalesce("total", F.lit(0.0)) / (F.col("files") * (F.col("files") - 1) / 2)).otherwise(0.0).alias("mean"))
 
 
