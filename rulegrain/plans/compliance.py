@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..operators import compliance as C
 from ..sources import repos as R
@@ -18,6 +19,22 @@ CACHE = "rule_hash string, chunk_id string, model string, verdict string, eviden
 PRICE = (3.0, 15.0)
 
 
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Verdicts that earlier runs kept in a folder; none if it isn't there yet. One row for each rule, chunk and model."""
+    try:
+        return spark.read.schema(CACHE).parquet(path).dropDuplicates(["rule_hash", "chunk_id", "model"])
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CACHE)
+
+
+def keep_verdicts(outcome: Outcome, path: str) -> None:
+    """Append a run's new verdicts to the folder, so that a rerun asks only for what has changed."""
+    for new in outcome.new_verdicts:
+        new.write.mode("append").parquet(path)
+
+
 @dataclass
 class Outcome:
     """status is ok, no-git, no-rules, nothing-to-judge or over-cap; frames are there as far as the flow came."""
@@ -34,12 +51,12 @@ class Outcome:
 
 def compliance(
     repos: DataFrame, rules: DataFrame, surfaces: DataFrame, client: Callable[[str], str], cache: DataFrame | None = None, config: Config | None = None, agreed: bool = False,
-    second: Callable[[str], str] | None = None, second_cache: DataFrame | None = None, price: tuple[float, float] = PRICE,
+    second: Callable[[str], str] | None = None, second_cache: DataFrame | None = None, price: tuple[float, float] = PRICE, prices: dict[str, tuple[float, float]] | None = None,
 ) -> Outcome:
     """Judge the rules of repositories (repo_id, root) against their last changes.
 
     agreed lets a spend above the cap pass. With a second client every k-th judged pair is judged again; what
-    that may cost counts towards the cap. new_verdicts are to be appended to the caches.
+    that may cost counts towards the cap. prices are those of models by name, price that of all others. new_verdicts are to be appended to the caches.
     """
     c, spark = (config or Config()).compliance, repos.sparkSession
     none = spark.createDataFrame([], CACHE)
@@ -57,7 +74,7 @@ def compliance(
     out = Outcome("nothing-to-judge", pairs=pairs, dead=C.dead_rules(asked, pairs))
     if pairs.isEmpty():
         return out
-    total = lambda p, k, m: C.cost(p, k, m, *price).agg(F.coalesce(F.sum("usd"), F.lit(0.0)).alias("usd")).first()["usd"]
+    total = lambda p, k, m: C.cost(p, k, m, *(prices or {}).get(m, price)).agg(F.coalesce(F.sum("usd"), F.lit(0.0)).alias("usd")).first()["usd"]
     out.usd = total(pairs, cache, c.model)
     if second:
         out.usd += total(C.calibration_sample(pairs, c.calibration_sample_ratio), second_cache, c.calibration_model)

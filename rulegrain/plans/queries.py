@@ -22,10 +22,12 @@ from ..operators import contexts as X
 from ..operators import contradiction as D
 from ..operators import fixes as W
 from ..operators import scoring as S
+from ..operators import seeding as SD
 from ..operators import similarity as SIM
 from ..operators import staleness as ST
 from ..operators import structure as U
 from ..schema import KINDS, META
+from ..sources import repos as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -439,3 +441,160 @@ def applied_fixes(spark, sf_dir):
     edit = F.struct(F.lit("delete").alias("type"), F.col("ord").alias("start_line"), F.col("ord").alias("end_line"), F.lit(None).cast("string").alias("find"), F.lit(None).cast("string").alias("replace_with"))
     fixes = rules.filter("rule_id % 10 = 0").select("repo_id", F.lit(True).alias("safe"), F.lit("AGENTS.md").alias("file"), edit.alias("edit"))
     return W.apply_plan(fixes, surfaces).select("repo_id", F.md5(F.col("after").cast("binary")).alias("after_hash"), F.length("diff").alias("n_diff"))
+
+
+# ---- surfaces, manifests, markers, seeds, judging
+
+SURFACE_NAMES = ["AGENTS.md", "CLAUDE.md", ".cursor/rules/style.mdc", ".github/copilot-instructions.md", ".windsurfrules", ".windsurf/rules/style.md", "SKILL.md", "README.md"]
+SURFACE_PATH = f"CASE WHEN page_id % 3 = 0 OR NOT contains({URL_PATH}, '/') THEN '' ELSE regexp_extract({URL_PATH}, '^(.*/)', 1) END || {sql_list(SURFACE_NAMES)}[page_id % {len(SURFACE_NAMES)} + 1]"
+
+
+@query(f"""
+WITH s AS (SELECT page_id, {SURFACE_PATH} AS path FROM pages WHERE {URL_PATH} <> ''), b AS (SELECT *, regexp_extract(path, '[^/]*$') AS base, len(string_split(path, '/')) AS depth FROM s),
+k AS (SELECT *, CASE WHEN base = 'AGENTS.md' THEN 'agents-md' WHEN base = 'CLAUDE.md' THEN 'claude-md' WHEN suffix(path, '.mdc') THEN 'cursor-rule' WHEN path = '.github/copilot-instructions.md' THEN 'copilot-instructions'
+WHEN base = '.windsurfrules' OR contains(path, '.windsurf/rules/') THEN 'windsurf-rule' WHEN base = 'SKILL.md' THEN 'skill' ELSE 'other' END AS kind FROM b)
+SELECT page_id, path, kind, CASE kind WHEN 'agents-md' THEN depth = 1 WHEN 'claude-md' THEN depth = 1 WHEN 'cursor-rule' THEN depth = 3 WHEN 'windsurf-rule' THEN depth = CASE WHEN contains(path, '.windsurf/rules/') THEN 3 ELSE 1 END ELSE true END AS rooted,
+CASE kind WHEN 'agents-md' THEN '{','.join(R.AGENTS_TOOLS)}' WHEN 'claude-md' THEN 'claude-code' WHEN 'skill' THEN 'claude-code' WHEN 'cursor-rule' THEN 'cursor' WHEN 'copilot-instructions' THEN 'copilot' WHEN 'windsurf-rule' THEN 'windsurf' ELSE '' END AS tools FROM k
+""")
+def surface_kinds(spark, sf_dir):
+    name = F.element_at(F.array(*map(F.lit, SURFACE_NAMES)), (F.col("page_id") % len(SURFACE_NAMES) + 1).cast("int"))
+    f = url_files(spark, sf_dir).withColumn("path", P.join(F.when(F.col("page_id") % 3 == 0, ".").otherwise(P.parent(F.col("path"))), name))
+    kind = R.kind_of(F.col("path"))
+    return f.select("page_id", "path", kind.alias("kind"), (R.scope_of(F.col("path"), kind) == "repo-root").alias("rooted"), F.array_join(R.tools_of(kind), ",").alias("tools"))
+
+
+@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) + CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END > 2048 THEN 'warn' ELSE 'info' END AS severity FROM documents WHERE octet_length(encode(text)) + CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END > 2048 OR doc_id % 10 = 0")
+def unreadable_surfaces(spark, sf_dir):
+    """Texts as files, every tenth with a byte that is no UTF-8: findings of those above a size limit, or unreadable."""
+    content = F.col("text").cast("binary")
+    content = F.when(F.col("doc_id") % 10 == 0, F.concat(content, F.unhex(F.lit("FF")))).otherwise(content)
+    tree = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("repo_id"), F.lit("AGENTS.md").alias("path"), content.alias("content")).withColumn("length", F.length("content"))
+    return R.discovery_findings(tree, tree.limit(0), max_bytes=2048).select(F.col("repo_id").alias("doc_id"), "severity")
+
+
+@query("WITH m AS (SELECT c_custkey, c_custkey % 4 AS k FROM customer WHERE c_custkey % 4 <> 3) SELECT c_custkey, 'packages/p' || k AS dir, unnest(CASE k WHEN 0 THEN ['(manifest)', 'build', 'test-' || c_custkey] ELSE ['(manifest)'] END) AS script FROM m WHERE k <> 2")
+def manifest_scripts(spark, sf_dir):
+    """Manifests with scripts, without any, broken, and files that are no manifest."""
+    key, k = F.col("c_custkey").cast("string"), F.col("c_custkey") % 4
+    text = F.when(k == 0, F.concat(F.lit('{"scripts": {"build": "make", "test-'), key, F.lit('": "run"}}'))).when(k == 1, '{"name": "x"}').when(k == 2, '{"scripts": {').otherwise('{"scripts": {"no": "x"}}')
+    name = F.when(k == 3, "other.json").otherwise("package.json")
+    tree = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repo_id"), F.concat(F.lit("packages/p"), k.cast("string"), F.lit("/"), name).alias("path"), text.cast("binary").alias("content"))
+    return R.scripts(tree).select(F.col("repo_id").alias("c_custkey"), "dir", F.coalesce("script", F.lit("(manifest)")).alias("script"))
+
+
+MARKED = "(CASE p_size % 4 WHEN 0 THEN '<!-- rulegrain-ignore -->' WHEN 1 THEN 'see <!-- rulegrain-ignore -->' WHEN 2 THEN '  <!--rulegrain-ignore-->  ' ELSE '' END || chr(10) || p_name || CASE WHEN p_partkey % 10 = 0 THEN ' <!-- rulegrain-ignore -->' ELSE '' END || chr(10) || p_type)"
+
+
+@query(f"WITH l AS (SELECT p_partkey, string_split({MARKED}, chr(10)) AS x FROM part) SELECT p_partkey, 2::BIGINT AS line FROM l WHERE contains(x[2], 'rulegrain-ignore') OR regexp_matches(x[1], '^\\s*<!--\\s*rulegrain-ignore\\s*-->\\s*$') UNION ALL SELECT p_partkey, 3::BIGINT AS line FROM l WHERE contains(x[3], 'rulegrain-ignore') OR regexp_matches(x[2], '^\\s*<!--\\s*rulegrain-ignore\\s*-->\\s*$')")
+def ignored_lines(spark, sf_dir):
+    p = read(spark, sf_dir, "part").selectExpr("'r' AS repo_id", "p_partkey AS surface_id", f"{MARKED} AS raw")
+    rules = p.select("repo_id", "surface_id", F.explode(F.array(F.lit(2), F.lit(3))).alias("start_line")).withColumns({"end_line": F.col("start_line"), "rule_id": F.struct("surface_id", "start_line")})
+    return R.ignored_rules(p, rules).select(F.col("rule_id.surface_id").alias("p_partkey"), long("rule_id.start_line").alias("line"))
+
+
+EXCEPTION_TEXT = "(CASE p_size % 6 WHEN 0 THEN 'Exception: never use ' WHEN 1 THEN 'When in doubt, avoid ' WHEN 2 THEN 'NEVER use ' WHEN 3 THEN 'Where it fits: ' WHEN 4 THEN 'MUST NOT, if old, keep ' ELSE 'Notify if whenever ' END || p_name)"
+
+
+def first_at(words: str) -> str:
+    words = words.replace("'", "''")
+    return f"CASE WHEN regexp_matches(t, '(?i)\\b(?:{words})\\b') THEN length(regexp_extract(t, '(?i)^(.*?)\\b(?:{words})\\b', 1)) + 1 ELSE 0 END"
+
+
+@query(f"""
+WITH s AS (SELECT p_partkey, {EXCEPTION_TEXT} AS t FROM part), f AS (SELECT *, {first_at(T.CONDITIONAL_WORDS)} AS c, {first_at(f"{T.NEGATIVE_WORDS}|{T.POSITIVE_WORDS}")} AS m FROM s)
+SELECT p_partkey, regexp_matches(t, '(?i)^\\s*exceptions?\\b') OR (c > 0 AND m > 0 AND c < m) AS excepted, regexp_matches(t, '(?i)\\b(?:{T.CRITICAL_WORDS.replace("'", "''")})\\b') AS critical, regexp_matches(t, '\\b(?:{T.EMPHASIZED_WORDS})\\b') AS emphasized FROM f
+""")
+def exception_rules(spark, sf_dir):
+    p, t = read(spark, sf_dir, "part").selectExpr("p_partkey", f"{EXCEPTION_TEXT} AS t"), F.col("t")
+    return p.select("p_partkey", T.is_scoped_exception(t).alias("excepted"), T.is_critical(t).alias("critical"), T.is_emphasized(t).alias("emphasized"))
+
+
+@query("SELECT doc_id, md5(CASE WHEN length(text) > 160 THEN substr(text, 1, 157) || '…' ELSE text END) AS quoted FROM documents")
+def quoted_texts(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.quote(F.col("text")).cast("binary")).alias("quoted"))
+
+
+WINDING = f"(CASE page_id % 4 WHEN 0 THEN {URL_PATH} || '/../index' WHEN 1 THEN './' || {URL_PATH} WHEN 2 THEN '../' || {URL_PATH} ELSE {URL_PATH} || '//.' END)"
+
+
+@query(f"WITH s AS (SELECT page_id, {WINDING} AS path, list_filter(string_split({URL_PATH}, '/'), lambda x: x <> '' AND x <> '.') AS a FROM pages WHERE {URL_PATH} <> '') SELECT page_id, CASE page_id % 4 WHEN 0 THEN array_to_string(list_concat(a[1:len(a) - 1], ['index']), '/') WHEN 2 THEN '(outside)' ELSE array_to_string(a, '/') END AS path FROM s")
+def resolved_paths(spark, sf_dir):
+    k, p = F.col("page_id") % 4, F.col("path")
+    winding = F.when(k == 0, F.concat(p, F.lit("/../index"))).when(k == 1, F.concat(F.lit("./"), p)).when(k == 2, F.concat(F.lit("../"), p)).otherwise(F.concat(p, F.lit("//.")))
+    return url_files(spark, sf_dir).select("page_id", F.coalesce(P.resolve(winding), F.lit("(outside)")).alias("path"))
+
+
+DIFF_SUFFIXES = ["", "/package-lock.json", ".min.js", "/AGENTS.md", "/.cursor/rules/a.mdc", ".map", ".py"]
+DIFF_TEXT = f"('diff --git a/' || {URL_PATH} || ' b/' || {URL_PATH} || chr(10) || '+one' || chr(10) || 'diff --git a/x b/' || {URL_PATH} || {sql_list(DIFF_SUFFIXES)}[page_id % {len(DIFF_SUFFIXES)} + 1] || chr(10) || '+two' || chr(10))"
+
+
+@query(f"WITH c AS (SELECT page_id, string_split({DIFF_TEXT}, 'diff --git ') AS x FROM pages WHERE {URL_PATH} <> ''), f AS (SELECT page_id, unnest(x[2:]) AS part, unnest(range(0, len(x) - 1)) AS pos FROM c) SELECT page_id, pos::BIGINT AS pos, regexp_extract(part, '^a/(.+?) b/(.+)', 2) AS file, md5('diff --git ' || part) AS diff_hash FROM f WHERE NOT regexp_matches(regexp_extract(part, '^a/(.+?) b/(.+)', 2), '{C.SKIPPED}')")
+def diffs_by_file(spark, sf_dir):
+    suffix, p = F.element_at(F.array(*map(F.lit, DIFF_SUFFIXES)), (F.col("page_id") % len(DIFF_SUFFIXES) + 1).cast("int")), F.col("path")
+    diff = F.concat(F.lit("diff --git a/"), p, F.lit(" b/"), p, F.lit("\n+one\ndiff --git a/x b/"), p, suffix, F.lit("\n+two\n"))
+    changes = url_files(spark, sf_dir).select("repo_id", F.lit(0).alias("ord"), F.col("page_id").alias("sha"), diff.alias("diff"))
+    return C.file_diffs(changes).select(F.col("sha").alias("page_id"), long("pos").alias("pos"), "file", F.md5(F.col("diff").cast("binary")).alias("diff_hash"))
+
+
+@query(f"WITH f AS (SELECT page_id, {URL_PATH} AS p FROM pages WHERE {URL_PATH} <> ''), d AS (SELECT DISTINCT array_to_string(a[1:i], '/') AS dir FROM (SELECT a, unnest(range(1, len(a))) AS i FROM (SELECT string_split(p, '/') AS a FROM f))) SELECT dir, page_id FROM d JOIN f ON (p = dir AND length(dir) % 2 = 0) OR (starts_with(p, dir || '/') AND (length(dir) % 2 = 0 OR NOT contains(substr(p, length(dir) + 2), '/')))")
+def applicable_paths(spark, sf_dir):
+    """Directories as rules, half of them as patterns; pages as changes of one file."""
+    f = url_files(spark, sf_dir)
+    dirs = ST.directories(f.select("repo_id", "path")).filter("path <> '.'")
+    rules = dirs.select("repo_id", F.col("path").alias("rule_id"), F.lit("").alias("text"), F.array(F.concat("path", F.when(F.length("path") % 2 == 0, "/").otherwise("/*"))).alias("refs"))
+    chunks = f.select("repo_id", F.col("page_id").alias("chunk_id"), F.array("path").alias("files"), F.lit("").alias("diff"))
+    return C.applicable(rules, chunks).select(F.col("rule_id").alias("dir"), F.col("chunk_id").alias("page_id"))
+
+
+SAID = "(CASE turn % 5 WHEN 0 THEN 'So: {\"verdict\": \"followed\", \"evidence\": \"e' || conv_id || '\"} done' WHEN 1 THEN '{\"verdict\": \"violated\"}' WHEN 2 THEN '{\"verdict\": \"perhaps\"}' WHEN 3 THEN 'followed' ELSE '{\"evidence\": \"x\", \"verdict\": \"not-applicable\"}' END)"
+
+
+@query(f"WITH s AS (SELECT conv_id, turn, regexp_extract({SAID}, '(?s)(\\{{.*\\}})', 1) AS j FROM conversations), v AS (SELECT *, regexp_extract(j, '\"verdict\": \"([^\"]*)\"', 1) AS v FROM s) SELECT conv_id, turn, v AS verdict, regexp_extract(j, '\"evidence\": \"([^\"]*)\"', 1) AS evidence FROM v WHERE v IN {C.VERDICTS}")
+def parsed_verdicts(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{SAID} AS said").withColumn("v", C.parse_verdict(F.col("said")))
+    return c.filter("v is not null").select("conv_id", "turn", "v.verdict", "v.evidence")
+
+
+def opinion(prompt: str) -> str:
+    """A judge that looks at how a rule begins."""
+    said = "followed" if "RULE: Always" in prompt else "violated" if "RULE: Never" in prompt else "unsure"
+    return f'{{"verdict": "{said}", "evidence": ""}}'
+
+
+@query(f"WITH r AS (SELECT p_partkey, {PART_TEXT} AS t FROM part) SELECT p_partkey, p_partkey % 4 = 0 AS from_cache, CASE WHEN p_partkey % 4 = 0 THEN 'not-applicable' WHEN starts_with(t, 'Always') THEN 'followed' WHEN starts_with(t, 'Never') THEN 'violated' ELSE 'error' END AS verdict FROM r")
+def judged_rules(spark, sf_dir):
+    pairs = part_rules(spark, sf_dir).select("repo_id", "rule_id", "text", F.col("rule_id").cast("string").alias("chunk_id"), F.lit("0123456789abcdef").alias("sha"), F.array(F.lit("a.py")).alias("files"), F.lit("+x").alias("diff"))
+    known = C.with_keys(pairs.filter("rule_id % 4 = 0"), "m").select("rule_hash", "chunk_id", "model", F.lit("not-applicable").alias("verdict"), F.lit("").alias("evidence"))
+    judged = C.judge(pairs, known, opinion, "m")
+    return judged.select(F.col("rule_id").alias("p_partkey"), "from_cache", F.when(F.col("error").isNotNull(), "error").otherwise(F.col("verdict")).alias("verdict"))
+
+
+@query(f"WITH s AS ({SCORE_SQL}), e AS (SELECT repo_id, count(*) FILTER (severity = 'error')::BIGINT AS errors FROM {EVENT_FINDINGS} GROUP BY 1) SELECT repo_id, errors, total, errors <= 0 AND total >= 50 AS passed FROM s JOIN e USING (repo_id)")
+def gated_repositories(spark, sf_dir):
+    f = event_findings(spark, sf_dir)
+    return S.gate(f, S.scores(f, f.select("repo_id")), 50).select("repo_id", long("errors").alias("errors"), long("total").alias("total"), "passed")
+
+
+@query("WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, doc_id FROM r WHERE n <= 7 OR list_contains(list_transform(range(0, 7), lambda i: i * n // 7), rn)")
+def spread_documents(spark, sf_dir):
+    """A sampling operator: seven documents of each source, evenly spread."""
+    d = read(spark, sf_dir, "documents").select(F.col("source").alias("repo_id"), "doc_id")
+    return SD.spread_sample(d, 7, ["doc_id"]).select(F.col("repo_id").alias("source"), "doc_id")
+
+
+@query(f"WITH {PART_RULES}, w AS (SELECT repo_id, rule_id, regexp_split_to_array(text, '\\s+') AS x FROM rules) SELECT repo_id, 'seeded:' || rule_id AS rule_id, array_to_string(list_concat(x[1:len(x) // 2], ['{SD.REPLACEMENT}'], x[len(x) // 2 + 2:]), ' ') AS text FROM w WHERE len(x) >= {SD.LEAST_WORDS}")
+def planted_rules(spark, sf_dir):
+    return SD.planted(part_rules(spark, sf_dir), False).select("repo_id", "rule_id", "text")
+
+
+@query(f"WITH {PART_RULES}, kept AS (SELECT repo_id, ord, CASE WHEN rule_id % 7 = 0 THEN replace(text, ' Keep ', ' Hold ') ELSE text END AS text FROM rules WHERE rule_id % 10 <> 0) SELECT repo_id, md5(string_agg(text, chr(10) ORDER BY ord)) AS after_hash FROM kept GROUP BY 1")
+def edited_files(spark, sf_dir):
+    """Files of rules, with every tenth deleted and a word that stands alone replaced in every seventh."""
+    rules = part_rules(spark, sf_dir)
+    raw = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n")
+    surfaces = rules.groupBy("repo_id").agg(raw.alias("raw")).withColumn("path", F.lit("AGENTS.md"))
+    gone = F.col("rule_id") % 10 == 0
+    some = lambda v: F.when(~gone, v)
+    edit = F.struct(F.when(gone, "delete").otherwise("replace").alias("type"), F.col("ord").alias("start_line"), F.col("ord").alias("end_line"), some("Keep").alias("find"), some("Hold").alias("replace_with"))
+    fixes = rules.filter("rule_id % 10 = 0 or rule_id % 7 = 0").select("repo_id", F.lit(True).alias("safe"), F.lit("AGENTS.md").alias("file"), edit.alias("edit"))
+    return W.apply_plan(fixes, surfaces).select("repo_id", F.md5(F.col("after").cast("binary")).alias("after_hash"))

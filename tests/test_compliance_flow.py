@@ -2,7 +2,7 @@
 
 import subprocess
 
-from rulegrain.plans.compliance import as_text, compliance
+from rulegrain.plans.compliance import as_text, compliance, keep_verdicts, read_cache
 from rulegrain.plans.scan import scan
 from rulegrain.sources.config import Config
 
@@ -27,3 +27,26 @@ def test_flow(spark, tmp_path):
     assert compliance(bare, found["rules"], found["surfaces"], str).status == "no-git"
     cheap = compliance(repos, found["rules"], found["surfaces"], str, price=(1e9, 1e9), config=Config())
     assert cheap.status == "over-cap" and cheap.judged is None
+
+
+def test_kept_verdicts_and_prices(spark, tmp_path):
+    root, kept = tmp_path / "repo", str(tmp_path / "kept")
+    root.mkdir()
+    (root / "AGENTS.md").write_text("# T\n\n- Always validate request bodies with the schema validator.\n")
+    git = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    git("init", "-q")
+    (root / "a.ts").write_text("const schema = validator(request)\n")
+    git("add", "-A")
+    git("commit", "-qm", "one")
+    repos = spark.createDataFrame([("r", str(root))], "repo_id string, root string")
+    found = scan(repos)
+    flow = lambda client, **more: compliance(repos, found["rules"], found["surfaces"], client, cache=read_cache(spark, kept), **more)
+    assert read_cache(spark, kept).count() == 0
+    first = flow(lambda p: '{"verdict": "followed"}')
+    keep_verdicts(first, kept)
+    assert first.usd > 0 and read_cache(spark, kept).count() == 1
+    again = flow(lambda p: 1 / 0)  # nobody is asked
+    assert again.usd == 0 and [r["from_cache"] for r in again.judged.collect()] == [True] and again.new_verdicts[0].count() == 0
+    dear = flow(lambda p: "", second=lambda p: "", prices={"second-judge": (1e9, 1e9)})  # the second judge alone passes the cap
+    assert dear.status == "over-cap" and dear.usd > 1
+    assert flow(lambda p: "", second=lambda p: "", prices={"second-judge": (0.0, 0.0)}).status == "ok"

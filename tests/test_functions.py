@@ -89,3 +89,44 @@ def test_diffs():
     assert diff_words([], ["a"]) == "{+a+}" and diff_words(["a"], ["a"]) == "…"
     assert unified_diff("f", "a\nb\nc", "a\nx\nc") == "--- a/f\n+++ b/f\n@@ -2,1 +2,1 @@\n-b\n+x"
     assert unified_diff("f", "a", "a").endswith("(no changes)")
+
+
+def test_words_are_runs_with_trimmed_ends(spark):
+    """The one pattern of words against cutting, trimming and leaving out, on texts of all kinds of marks."""
+    import re
+
+    def plain(text):
+        runs = re.split(r"[^\w/*.@-]+|_+", text.lower().replace("`", " "))
+        return [w for w in (re.sub(r"^[.-]+|[.-]+$", "", r) for r in runs) if w]
+
+    marks = ["a.", "-b-", "..", "c.d", "@e/*", "`f`", " ", "g--h", "1.", "é-", "_x_", "...-", "A\n", "", "." * 5000 + "z"]
+    texts = [a + b + c for a in marks for b in marks for c in marks[:8]]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.normalize_words(F.col("t")).alias("w")).collect()
+    assert all(r["w"] == plain(texts[r["i"]]) for r in rows) and len(rows) == len(texts)
+    assert spark.range(1).select(T.normalize_words(F.lit(None).cast("string")).alias("w")).first()["w"] is None
+
+
+def test_mean_overlap_counts_copies(spark):
+    """Classes of equal texts against all pairs; texts without words are like nothing."""
+    from itertools import combinations
+
+    from rulegrain.operators.similarity import with_shingles
+    from rulegrain.operators.structure import mean_overlap
+
+    texts = ["one two three four five six", "one two three four five six", "One two three four five, six!", "one two three four five seven", "", "", "other words here"]
+    sets = with_shingles(spark.createDataFrame([("r", i, t) for i, t in enumerate(texts)] + [("alone", 9, "x")], "repo_id string, id int, text string"))
+    grams = []
+    for t in texts:
+        w = "".join(c for c in t.lower() if c not in ",!").split()
+        grams.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 5 else {tuple(w)} - {()})
+    pairs = [len(a & b) / len(a | b) if a | b else 0.0 for a, b in combinations(grams, 2)]
+    got = {r["repo_id"]: r for r in mean_overlap(sets.select("repo_id", "id", "n", "words")).collect()}
+    assert got["r"]["files"] == 7 and abs(got["r"]["mean"] - sum(pairs) / len(pairs)) < 1e-12 and got["alone"]["mean"] == 0.0
+
+
+def test_keywords_shared(spark):
+    from rulegrain.operators.compliance import by_keywords
+
+    rules = spark.createDataFrame([("r", "a", "alpha beta gamma"), ("r", "b", "alpha the of"), ("r", "c", None)], "repo_id string, rule_id string, text string")
+    chunks = spark.createDataFrame([("r", "1", "alpha alpha beta"), ("r", "1", "alpha alpha beta"), ("r", "2", "alpha alpha"), ("r", "3", None), ("s", "4", "alpha beta")], "repo_id string, chunk_id string, diff string")
+    assert [tuple(r) for r in by_keywords(rules, chunks).collect()] == [("r", "a", "1")]
