@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -277,12 +278,13 @@ def globs_of(value: object) -> list[str] | None:
 
 
 def parse_surface(path: str, kind: str, surface_id: str, raw: str) -> tuple[list[dict], dict]:
-    """Rules of a surface, and its meta: description, globs, always_apply, trigger, frontmatter_error."""
-    meta: dict = {"description": None, "globs": None, "always_apply": None, "trigger": None, "frontmatter_error": None}
+    """Rules of a surface, and its meta: description, globs, always_apply, trigger, frontmatter_error, and front_matter with all keys as JSON text."""
+    meta: dict = {"description": None, "globs": None, "always_apply": None, "trigger": None, "frontmatter_error": None, "front_matter": None}
     if kind not in ("cursor-rule", "windsurf-rule", "skill") or path.endswith(".windsurfrules"):
         return rules(raw, surface_id), meta
     data, body, error = front_matter(raw, kind)
     meta["frontmatter_error"] = error
+    meta["front_matter"] = json.dumps(data, ensure_ascii=False, default=str, skipkeys=True) if data else None
     if isinstance(data.get("description"), str):
         meta["description"] = data["description"]
     meta["globs"] = globs_of(data.get("globs"))

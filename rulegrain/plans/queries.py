@@ -415,7 +415,7 @@ def markdown_rules(spark, sf_dir):
 
 def surfaces_of_parts(spark, sf_dir):
     kinds = [("AGENTS.md", "agents-md", "repo-root"), ("CLAUDE.md", "claude-md", "repo-root"), ("packages/web/AGENTS.md", "agents-md", "subtree"), (".cursor/rules/a.mdc", "cursor-rule", "repo-root"), (".windsurfrules", "windsurf-rule", "repo-root")]
-    meta = "cast(null as struct<description: string, globs: array<string>, always_apply: boolean, trigger: string, frontmatter_error: string>)"
+    meta = f"cast(null as {META})"
     brands = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("repo_id")).agg(F.count("*").cast("int").alias("tokens_est"))
     one = F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(k).alias("kind"), F.lit(s).alias("scope")) for p, k, s in kinds])).alias("k")
     return brands.select("repo_id", "tokens_est", one).select("repo_id", "tokens_est", "k.*").withColumns({"surface_id": T.short_hash(F.col("path"), 10), "meta": F.expr(meta), "raw": F.lit("")})

@@ -11,7 +11,7 @@ KINDS = ("agents-md", "claude-md", "copilot-instructions", "cursor-rule", "winds
 SEVERITIES = ("error", "warn", "info")
 CATEGORIES = ("stale-reference", "duplication", "drift", "contradiction", "budget", "structure", "load-semantics", "dead-rule")
 
-META = "struct<description: string, globs: array<string>, always_apply: boolean, trigger: string, frontmatter_error: string>"
+META = "struct<description: string, globs: array<string>, always_apply: boolean, trigger: string, frontmatter_error: string, front_matter: string>"
 SURFACES = f"repo_id string, surface_id string, path string, kind string, scope string, tools array<string>, raw string, tokens_est int, meta {META}"
 RULES = "repo_id string, surface_id string, rule_id string, ord int, text string, section array<string>, start_line int, end_line int, kind string, refs array<string>"
 FIX = "struct<kind: string, description: string, ref: string>"

@@ -175,7 +175,7 @@ PARSED = f"struct<rules: array<struct<rule_id: string, text: string, section: ar
 def parse(surface_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Surfaces with meta, and their rules; ord numbers a repository's rules by surface path and place."""
     fields = [("rule_id", pa.string()), ("text", pa.string()), ("section", pa.list_(pa.string())), ("start_line", pa.int32()), ("end_line", pa.int32()), ("command", pa.bool_()), ("refs", pa.list_(pa.string()))]
-    meta = [("description", pa.string()), ("globs", pa.list_(pa.string())), ("always_apply", pa.bool_()), ("trigger", pa.string()), ("frontmatter_error", pa.string())]
+    meta = [("description", pa.string()), ("globs", pa.list_(pa.string())), ("always_apply", pa.bool_()), ("trigger", pa.string()), ("frontmatter_error", pa.string()), ("front_matter", pa.string())]
     kind = pa.struct([("rules", pa.list_(pa.struct(fields))), ("meta", pa.struct(meta))])
 
     @F.arrow_udf(PARSED)

@@ -37,7 +37,8 @@ def test_targets_go(spark):
     assert [r["path"] for r in seeding.without_targets(files, targets).collect()] == ["b.ts"]
 
 
-def test_command_line(spark, tmp_path, capsys):
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setenv("HOME", str(tmp_path / "nobody"))
     (tmp_path / "AGENTS.md").write_text("# T\n\n- See `src/gone.ts` for all the details that you could ever want about it, and then some more.\n")
     (tmp_path / "src").mkdir()
     (tmp_path / "src/a.ts").write_text("")
