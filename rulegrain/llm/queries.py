@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .bpe_codec import bpe_round_trip
 from .common import documents, ready
+from .filter_audit import SQL as FILTER_SQL
+from .filter_audit import filter_audit
 from .html_extract import html_extract
 from .jaccard_join import SQL as JACCARD_SQL
 from .jaccard_join import jaccard_join
@@ -64,6 +66,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(documents(spark, sf_dir))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,7 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_media": op10_media,
+    "op13_filter_audit": op13_filter_audit,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op4_jaccard_join": JACCARD_SQL, "op5_substring_dedup": DEDUP_SQL, "op7_mixing": MIXING_SQL}
+ORACLES: dict[str, str] = {"op4_jaccard_join": JACCARD_SQL, "op5_substring_dedup": DEDUP_SQL, "op7_mixing": MIXING_SQL, "op13_filter_audit": FILTER_SQL}
