@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .bpe_codec import bpe_round_trip
 from .common import documents, ready
+from .divergence import SQL as DIVERGENCE_SQL
+from .divergence import divergence
 from .filter_audit import SQL as FILTER_SQL
 from .filter_audit import filter_audit
 from .html_extract import html_extract
@@ -66,6 +68,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(documents(spark, sf_dir))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(documents(spark, sf_dir))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -87,8 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_media": op10_media,
+    "op11_divergence": op11_divergence,
     "op13_filter_audit": op13_filter_audit,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op4_jaccard_join": JACCARD_SQL, "op5_substring_dedup": DEDUP_SQL, "op7_mixing": MIXING_SQL, "op13_filter_audit": FILTER_SQL}
+ORACLES: dict[str, str] = {"op4_jaccard_join": JACCARD_SQL, "op5_substring_dedup": DEDUP_SQL, "op7_mixing": MIXING_SQL, "op11_divergence": DIVERGENCE_SQL, "op13_filter_audit": FILTER_SQL}
