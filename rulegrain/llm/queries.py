@@ -25,6 +25,8 @@ from .mixing import mix
 from .secret_scan import secret_scan
 from .substring_dedup import SQL as DEDUP_SQL
 from .substring_dedup import substring_dedup
+from .suffix_dedup import SQL as SUFFIX_SQL
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 
 
@@ -72,6 +74,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(documents(spark, sf_dir))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir)).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -94,8 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_codec": op9_bpe_codec,
     "op10_media": op10_media,
     "op11_divergence": op11_divergence,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_filter_audit": op13_filter_audit,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op4_jaccard_join": JACCARD_SQL, "op5_substring_dedup": DEDUP_SQL, "op7_mixing": MIXING_SQL, "op11_divergence": DIVERGENCE_SQL, "op13_filter_audit": FILTER_SQL}
+ORACLES: dict[str, str] = {"op4_jaccard_join": JACCARD_SQL, "op5_substring_dedup": DEDUP_SQL, "op7_mixing": MIXING_SQL, "op11_divergence": DIVERGENCE_SQL, "op12_suffix_dedup": SUFFIX_SQL, "op13_filter_audit": FILTER_SQL}
