@@ -36,11 +36,11 @@ from .substring_dedup import RUNS_DDL, _blobs, _sharded, from_bytes, gather, inp
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
 #: Input bytes for which there is one bucket, of minimisers and of strings.
-MARK_BYTES, BUCKET_BYTES = 32 << 20, 8 << 20
+MARK_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
 #: Tasks that buckets are dealt to, at most, and buckets of one task.
 MOST_PARTS, DEEP = 100_000, 8
 #: Bytes that are hashed at once; bytes of a text at once; stretches, and bytes of strings, that a map task holds before it sends.
-BATCH, SLICE, HELD, HELD_BYTES = 1 << 19, 4 << 20, 1 << 20, 32 << 20
+BATCH, SLICE, HELD, HELD_BYTES = 1 << 18, 4 << 20, 1 << 18, 8 << 20
 #: Frequent minimisers are looked for among this many slots, in one of SAMPLED documents; one is frequent with more than FREQUENT of a task's mean windows, and CROWDED of a slot's.
 SLOTS, SAMPLED, FREQUENT, CROWDED = 1 << 18, 16, 0.25, 16
 
