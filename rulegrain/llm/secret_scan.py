@@ -8,6 +8,8 @@ knows which of its parent's characters every character came from, so spans are t
 
 Layers are opened depth first, and decompressed bytes are read as streams: in windows, and what is encoded
 beyond a window's end is read on from the stream. So memory holds a window for each layer of a nest.
+A compressed form anywhere in bytes is read to its own end, while the bytes around it pass; they go on behind
+it. So the bytes of a blob are read once for each nest that they are in, however many forms are in them.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import partial
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,10 +48,10 @@ ESCAPED_BYTES = re.compile(ESCAPE.pattern.encode())
 UNIT = re.compile(r"%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|.+", re.DOTALL)
 #: What begins an escape, and an escape's longest form: one that gives a beginning again, as in %2525252541, is decoded on at once.
 BEGINNINGS, LONGEST = "%\\&", 11
-# Lines of 76 or 64 characters are one run, whose first line may have more in front; else a run is within a line.
-BASE64 = re.compile(
-    r"[A-Za-z0-9+/_-]++(?<=[A-Za-z0-9+/]{76})\r?\n(?:[A-Za-z0-9+/]{76}\r?\n)*[A-Za-z0-9+/]{2,76}={0,2}|[A-Za-z0-9+/_-]++(?<=[A-Za-z0-9+/]{64})\r?\n(?:[A-Za-z0-9+/]{64}\r?\n)*[A-Za-z0-9+/]{2,64}={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}"
-)
+#: Runs of the alphabet on lines below each other, indented or not; padding ends the last.
+LINES = re.compile(r"[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)*+={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+LINE_END = re.compile(rb"[ \t]*\r?\n[ \t]*")
 #: A run has this many characters at least.
 LEAST_RUN = 16
 OTHER = re.compile(rb"[^A-Za-z0-9+/]")
@@ -59,7 +62,11 @@ WIDE = re.compile(rb"(?:[\t\n\r -~]\0){8,}")
 #: Decompressed text is scanned in windows of this many bytes, which overlap.
 WINDOW, OVERLAP = 2 << 20, 1 << 16
 #: Bytes that show a compressed form, that a decompressor is fed at once, and that it gives at once.
-HEAD, FED, PIECE = 6, 4096, 1 << 20
+HEAD, FED, PIECE = 10, 4096, 1 << 20
+#: Bytes of a form that are held in case it breaks off; longer ones are read again from their stream.
+KEPT = 4 << 20
+#: From this depth on, a nest's layers are compared with those around them, as some unpack to themselves.
+DEEP = 8
 
 
 Source = Callable[[], Iterator[bytes]]
@@ -119,11 +126,6 @@ def matches(text: str) -> Iterator[tuple[str, int, int]]:
         yield "hex", m.start(), m.end()
 
 
-def packed(data: bytes) -> bool:
-    """Whether bytes begin as one of the compressed forms does."""
-    return data[:2] == b"\x1f\x8b" or data[:3] == b"BZh" or data[:6] == b"\xfd7zXZ\0" or data[:4] == b"\x28\xb5\x2f\xfd" or (data[:1] == b"\x78" and len(data) > 5 and (data[0] * 256 + data[1]) % 31 == 0)
-
-
 def _opener(head: bytes):
     """A decompressor for what begins with head."""
     if head[:4] == b"\x28\xb5\x2f\xfd":
@@ -133,15 +135,6 @@ def _opener(head: bytes):
     return bz2.BZ2Decompressor() if head[:3] == b"BZh" else lzma.LZMADecompressor() if head[:1] == b"\xfd" else zlib.decompressobj(47)
 
 
-def _begun(stream: Iterator[bytes], now: bytes = b"", padding: bytes = b"") -> bytes:
-    """now without padding in front, and as much of the stream as shows what it is."""
-    now = now.lstrip(padding) if padding else now
-    while len(now) < HEAD and (piece := next(stream, None)) is not None:
-        now += piece
-        now = now.lstrip(padding) if padding else now
-    return now
-
-
 def _made(opened, data: bytes) -> Iterator[bytes]:
     """What a decompressor makes of a small piece of data; at most PIECE at once where its library can be told."""
     if isinstance(opened, bz2.BZ2Decompressor | lzma.LZMADecompressor):
@@ -158,41 +151,187 @@ def _made(opened, data: bytes) -> Iterator[bytes]:
         yield opened.decompress(data)
 
 
-def unpacked(stream: Iterator[bytes]) -> Iterator[bytes]:
-    """Decompressed bytes of all members of a stream, one after the other; what was decompressed before an error counts.
-
-    What follows the last member, or begins like one more but gives nothing, is told as it stands, after a
-    line's end, as no pattern goes over one.
+def _hopeless(head: bytes) -> bool:
+    """Whether a form's first bytes are an error before they give anything."""
+    try:
+        any(_made(_opener(head), head))
+    except Exception:  # noqa: BLE001  each library has errors of its own
+        return True
+    return False
+
+
+class Reader:
+    """A stream whose bytes can be given back; at is the place of the next one."""
+
+    def __init__(self, stream: Iterator[bytes], at: int = 0):
+        self.stream, self.at = stream, at
+        self.parts: list[tuple[bytes, int]] = []
+
+    def take(self, most: int) -> bytes:
+        """Some bytes; none at the end."""
+        while not self.parts:
+            if (piece := next(self.stream, None)) is None:
+                return b""
+            if piece:
+                self.parts.append((piece, 0))
+        piece, begin = self.parts.pop()
+        out = piece[begin : begin + most]
+        if begin + most < len(piece):
+            self.parts.append((piece, begin + most))
+        self.at += len(out)
+        return out
+
+    def give(self, data: bytes) -> None:
+        if data:
+            self.parts.append((bytes(data), 0))
+            self.at -= len(data)
+
+
+class Member:
+    """A compressed form where a reader stands, and those right behind it, which are one text with it.
+
+    When content() has ended, the reader is behind all forms that ended well. A form that broke off counts with
+    what it gave; broken tells that the reader is at its beginning again, or should be, where again is set.
     """
-    stream = (piece[i : i + FED] for piece in stream for i in range(0, len(piece), FED))
-    now, first = _begun(stream), True
-    while packed(now):
-        opened, fed, given = _opener(now), b"", False
-        try:
-            while now and not opened.eof:
-                fed = b"" if given else fed + now
-                for made in _made(opened, now):
-                    if made:
-                        given = True
-                        yield made
-                if not opened.eof:
-                    now = next(stream, b"")
-        except Exception:  # noqa: BLE001  each library has errors of its own; broken data ends here
-            if given or first:
+
+    def __init__(self, reader: Reader):
+        self.reader, self.broken, self.again = reader, False, None
+        self.log, self.whole = bytearray(), True
+        self.digest = hashlib.sha256()
+
+    def _more(self) -> bytes:
+        data = b""
+        while len(data) < FED and (piece := self.reader.take(FED - len(data))):
+            data += piece
+        self.digest.update(data)
+        self.whole &= len(self.log) + len(data) <= KEPT
+        self.log = self.log + data if self.whole else bytearray()
+        return data
+
+    def _back(self, begin: int, skip: int = 0) -> None:
+        if self.whole:
+            self.reader.give(self.log[skip:])
+        else:
+            self.again = begin + skip
+
+    def content(self) -> Iterator[bytes]:
+        first = True
+        while True:
+            begin = self.reader.at
+            self.log, self.whole, self.digest = bytearray(), True, hashlib.sha256()
+            data = self._more()
+            if not first:
+                while data and not data.strip(b"\0") and (more := self._more()):
+                    data = more
+                data = data.lstrip(b"\0")
+            padding = len(self.log) - len(data) if self.whole else 0
+            if not PACKED.match(data):
+                self._back(begin)
                 return
-        if not opened.eof:
-            if given or first:
+            opened, given = _opener(data), False
+            try:
+                while data and not opened.eof:
+                    for made in _made(opened, data):
+                        if made:
+                            given = True
+                            yield made
+                    if not opened.eof:
+                        data = self._more()
+                ended = opened.eof
+            except Exception:  # noqa: BLE001  each library has errors of its own; broken data ends here
+                ended = False
+            if not ended:
+                self.broken = given
+                self._back(begin, padding if given else 0)
                 return
-            now = fed
-            break
-        now, first = _begun(stream, opened.unused_data, b"\0"), False
-    if now:
-        yield b"\n" + now
-        yield from stream
+            self.reader.give(opened.unused_data)
+            first = False
 
 
-def _opened(source: Source) -> Iterator[bytes]:
-    return unpacked(source())
+@dataclass
+class Child:
+    """A compressed form at a place of a stream: the stream of its content, and its end, if it ended well, once the walk has gone on."""
+
+    at: int
+    source: Source
+    content: Iterator[bytes]
+    end: int | None = None
+
+
+@dataclass
+class Text:
+    """A window of a stream's bytes outside of compressed forms; last: it doesn't go on."""
+
+    text: str
+    source: Source
+    begin: int
+    size: int
+    last: bool
+
+
+def _content(source: Source, at: int) -> Iterator[bytes]:
+    return Member(Reader(_from(source, at), at)).content()
+
+
+def walk(source: Source, stream: Iterator[bytes], broken: set[bytes]) -> Iterator[Text | Child]:
+    """Texts and compressed forms of a stream, which may be read in between or not.
+
+    broken: digests of forms that broke off, as far as they went; what is inside of such a form may be in its text
+    and in its bytes, and is opened once.
+    """
+    reader = Reader(stream)
+    held, base, searched, ended = bytearray(), 0, 0, False
+    while not ended:
+        data = reader.take(PIECE)
+        ended = not data
+        held += data
+        while found := PACKED.search(held, searched):
+            i = found.start()
+            if _hopeless(bytes(held[i : i + FED])):
+                searched = i + 1
+                continue
+            at, behind, ended = base + i, len(held) - i, False
+            reader.give(held[i:])
+            del held[i:]
+            if broken:
+                tried = Member(reader)
+                for _ in tried.content():
+                    pass
+                stands = reader.at if tried.again is None else tried.again
+                known = tried.broken and stands == at and tried.digest.digest() in broken
+                if reader.at != at or tried.again is not None:
+                    reader = Reader(_from(source, at), at)
+                if known:
+                    held += reader.take(behind)
+                    searched = i + 1
+                    continue
+            member = Member(reader)
+            content = member.content()
+            if (first := next(content, None)) is not None:
+                child = Child(at, partial(_content, source, at), chain([first], content))
+                yield child
+                for _ in content:
+                    pass
+                child.end = None if member.broken else reader.at
+            if member.broken:
+                broken.add(member.digest.digest())
+            if member.again is not None:
+                reader = Reader(_from(source, member.again), member.again)
+            if reader.at > at:
+                if held:
+                    yield Text(held.decode("utf-8", "replace"), source, base, len(held), True)
+                held, base, searched = bytearray(), reader.at, 0
+            if member.broken or reader.at == at:
+                searched = len(held) + 1
+                held += reader.take(max(behind, 1))
+        searched = max(searched, len(held) - HEAD + 1)
+        while len(held) > WINDOW:
+            yield Text(held[:WINDOW].decode("utf-8", "replace"), source, base, WINDOW, False)
+            step = WINDOW - OVERLAP
+            del held[:step]
+            base, searched = base + step, max(0, searched - step)
+    if held:
+        yield Text(held.decode("utf-8", "replace"), source, base, len(held), True)
 
 
 def _digest(stream: Iterator[bytes]) -> bytes:
@@ -202,6 +341,38 @@ def _digest(stream: Iterator[bytes]) -> bytes:
     return mark.digest()
 
 
+def _pieces(source: Source) -> Iterator[Text]:
+    """Texts in a stream and in all compressed forms of it, depth first."""
+    broken: set[bytes] = set()
+    todo, marks = [walk(source, source(), broken)], [b""]
+    while todo:
+        if (piece := next(todo[-1], None)) is None:
+            todo.pop()
+            marks.pop()
+        elif isinstance(piece, Text):
+            yield piece
+        else:
+            mark = _digest(piece.source()) if len(todo) >= DEEP else b""
+            if not mark or mark not in marks:
+                todo.append(walk(piece.source, piece.content, broken))
+                marks.append(mark)
+
+
+def _forms(source: Source, until: int) -> Iterator[Child]:
+    """The outermost compressed forms of a stream that begin before until, with their ends."""
+    last = None
+    for piece in walk(source, source(), set()):
+        if last is not None:
+            yield last
+            last = None
+        if isinstance(piece, Child):
+            if piece.at >= until:
+                return
+            last = piece
+    if last is not None:
+        yield last
+
+
 def _from(source: Source, begin: int) -> Iterator[bytes]:
     """A stream's bytes from begin on."""
     for piece in source():
@@ -210,58 +381,20 @@ def _from(source: Source, begin: int) -> Iterator[bytes]:
         begin = max(0, begin - len(piece))
 
 
-def _windows(stream: Iterator[bytes]) -> Iterator[tuple[int, bytes, bool]]:
-    """A stream in overlapping windows: where each begins, its bytes, and whether it is the last."""
-    begin, held = 0, bytearray()
-    for piece in stream:
-        held += piece
-        while len(held) > WINDOW:
-            yield begin, bytes(held[:WINDOW]), False
-            del held[: WINDOW - OVERLAP]
-            begin += WINDOW - OVERLAP
-    if held:
-        yield begin, bytes(held), True
-
-
-def _inside(window: bytes, last: bool) -> Iterator[int]:
-    """Where compressed forms that give anything begin, beyond a window's first byte; those of its overlap are left to the next."""
-    for m in PACKED.finditer(window, 1):
-        if (last or m.start() <= WINDOW - OVERLAP) and any(unpacked(iter([window[m.start() : m.start() + FED]]))):
-            yield m.start()
-
-
-def _pieces(source: Source) -> Iterator[tuple[str, Source, int, int, bool]]:
-    """Texts in a stream that begins with a compressed form, in windows, forms in it opened: text, and the stream, begin, size and end it is cut from.
-
-    Nested forms are read anew from the outermost bytes each time, never held whole.
-    """
-    todo: list[tuple[Source, frozenset[bytes]]] = [(source, frozenset())]
-    while todo:
-        source, seen = todo.pop()
-        if packed(_begun(source())) and (mark := _digest(source())) not in seen:
-            if next(_opened(source), None) is not None:
-                todo.append((partial(_opened, source), seen | {mark}))
-                continue
-            if not seen:
-                return
-        for begin, window, last in _windows(source()):
-            yield window.decode("utf-8", "replace"), source, begin, len(window), last
-            for at in _inside(window, last):
-                todo.append((partial(_from, source, begin + at), seen | {b"inside"}))
-
-
 def _texts(data: bytes) -> Iterator[str]:
     """Texts in bytes of a compressed form, window by window."""
-    return (text for text, *_ in _pieces(lambda: iter([data])))
+    return (piece.text for piece in _pieces(lambda: iter([data])))
 
 
-def _block(parent: Layer, source: Source, start: int, end: int) -> Iterator[Layer]:
-    """Layers of compressed bytes; all their characters come from the whole stretch."""
-    for text, stream, begin, size, last in _pieces(source):
-        if text:
-            layer = Layer(text, parent, None if last else stream, begin, size)
-            layer.add(0, start, end, True)
-            yield layer
+def _blocks(parent: Layer, source: Source, until: int, places: Callable[[int, int | None], tuple[int, int]]) -> Iterator[tuple[Layer, int]]:
+    """Layers of the compressed forms in bytes that begin before until, and where these begin; all their characters come from the form's whole stretch."""
+    for form in _forms(source, until):
+        start, end = places(form.at, form.end)
+        for piece in _pieces(form.source):
+            if piece.text:
+                layer = Layer(piece.text, parent, None if piece.last else piece.source, piece.begin, piece.size)
+                layer.add(0, start, end, True)
+                yield layer, form.at
 
 
 def _rest(parent: Layer, start: int, decoded: Callable[[Source, int], Iterator[bytes]], data: bytes) -> Source:
@@ -269,7 +402,7 @@ def _rest(parent: Layer, start: int, decoded: Callable[[Source, int], Iterator[b
     if parent.source is None:
         return lambda: iter([data])
     source = partial(decoded, parent.source, parent.begin + parent.size - (len(parent.text) - start))
-    return source if _begun(source())[:HEAD] == data[:HEAD] else lambda: iter([data])
+    return source if Reader(source()).take(HEAD)[:HEAD] == data[:HEAD] else lambda: iter([data])
 
 
 def _unescaped(source: Source, begin: int) -> Iterator[bytes]:
@@ -295,10 +428,13 @@ def _raw(run: str) -> bytes:
 
 
 def _unbased(source: Source, begin: int, skip: int) -> Iterator[bytes]:
-    """The bytes of a stream's base64 run from begin, without its first skip characters."""
-    held = b""
-    for piece in _from(source, begin):
-        held += piece.replace(b"\r", b"").replace(b"\n", b"").replace(b"-", b"+").replace(b"_", b"/")
+    """The bytes of a stream's base64 run from begin, over its lines, without its first skip characters."""
+    held, rest = b"", b""
+    for piece in chain(_from(source, begin), [b"."]):  # what is no line's end ends the run
+        rest += piece
+        cut = len(rest.rstrip(b" \t\r\n"))
+        now, rest = LINE_END.sub(b"", rest[:cut]), rest[cut:]
+        held += now.replace(b"-", b"+").replace(b"_", b"/")
         drop, skip = min(skip, len(held)), skip - min(skip, len(held))
         end = OTHER.search(held, drop)
         held = held[drop : end.start() if end else len(held)]
@@ -366,9 +502,11 @@ def _in_place(parent: Layer) -> Iterator[Layer]:
     text, layer, out, size, last = parent.text, Layer("", parent), [], 0, 0
     while m := ESCAPE.search(text, last):
         run, at, end = m[0], m.start(), m.end()
-        if packed(data := _raw(run)):
+        if PACKED.search(data := _raw(run)):
+            unit, begin = 3 if run[0] == "%" else 4, at
             whole = _rest(parent, at, _unescaped, data) if end == len(text) else partial(iter, [data])
-            yield from _block(parent, whole, at, end)
+            places = lambda a, b: (begin + unit * a, min(end, begin + unit * b) if b else end)  # noqa: B023, E731
+            yield from (layer for layer, _ in _blocks(parent, whole, len(data), places))
         if at > last:
             layer.add(size, last, at, False)
             out.append(text[last:at])
@@ -408,34 +546,59 @@ def promising(text: str) -> bool:
     return next(matches(text), None) is not None or any(x.search(text) for x in (ESCAPE, LONG_RUN))
 
 
+def runs(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """Base64 runs of a text: start, end (with padding), and the stretches of their lines.
+
+    Lines of one width that stand below each other are one run, whose first line may have more or less and whose
+    last one has no more; its first and last lines are also runs of their own, as they may be prose.
+    """
+    for m in LINES.finditer(text):
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in LINE.finditer(m[0].rstrip("="))]
+        wide = [b - a for a, b in lines]
+        alone, i = set(range(len(lines))), 0
+        while i + 1 < len(lines):
+            j = i + 2
+            while j < len(lines) and wide[j] == wide[i + 1]:
+                j += 1
+            j += j < len(lines) and wide[j] < wide[i + 1]
+            if max(wide[i : i + 2]) < LEAST_RUN:
+                i += 1
+                continue
+            yield lines[i][0], m.end() if j == len(lines) else lines[j - 1][1], lines[i:j]
+            alone -= set(range(i + 1, j - 1))
+            i = j
+        for k in sorted(alone):
+            if wide[k] >= LEAST_RUN:
+                yield lines[k][0], m.end() if k == len(lines) - 1 else lines[k][1], [lines[k]]
+
+
 def _base64(parent: Layer) -> Iterator[Layer]:
     """Layers of base64 runs. What stands next to a run may be of its alphabet and part of it, so it is decoded at all four alignments.
 
     Of the first alignment, all text is a layer. Of the others, and of bytes that aren't UTF-8, what is promising is.
     """
     text = parent.text
-    for m in BASE64.finditer(text):
-        run = m[0].rstrip("=")
-        body = run.replace("\r", "").replace("\n", "")
-        places = range(m.start(), m.start() + len(run)) if body == run else [m.start() + i for i, c in enumerate(run) if c not in "\r\n"]
-        body = body.replace("-", "+").replace("_", "/")
+    for begin, stop, lines in runs(text):
+        body = "".join(text[a:b] for a, b in lines).replace("-", "+").replace("_", "/")
+        places = range(*lines[0]) if len(lines) == 1 else [i for a, b in lines for i in range(a, b)]
         for skip in range(min(4, len(body) - LEAST_RUN + 1)):
             n = len(body) - skip
             n -= n % 4 == 1  # one character is no byte
             data = base64.b64decode(body[skip : skip + n] + "=" * (-n % 4))
             here = places[skip:]
-            opened = False
-            goes_on = parent.source is not None and m.end() == len(text)
-            stream = _rest(parent, m.start(), partial(_unbased, skip=skip), data) if goes_on else None
-            for at in [0] * packed(data) + [p.start() for p in PACKED.finditer(data) if p.start() or not packed(data)]:
-                whole = partial(_from, stream, at) if goes_on else partial(iter, [data[at:]])
-                for layer in _block(parent, whole, here[8 * at // 6], m.end()):
-                    if at == skip == 0:
-                        opened = True
-                        yield layer
-                    elif promising(layer.text):
+            goes_on = parent.source is not None and stop == len(text)
+            stream = _rest(parent, begin, partial(_unbased, skip=skip), data) if goes_on else None
+            covered = False
+            if PACKED.search(data):
+
+                def stretch(a: int, b: int | None) -> tuple[int, int]:
+                    return here[8 * a // 6], stop if b is None or b >= len(data) else here[(8 * b - 1) // 6] + 1  # noqa: B023
+
+                for layer, at in _blocks(parent, stream or partial(iter, [data]), len(data), stretch):
+                    covered |= at == 0 and layer.end[0] == stop
+                    if at == skip == 0 or promising(layer.text):
                         yield layer
-            if opened:
+            if covered:
                 continue
             wide = skip == 0 and len(data) % 2 == 0 and data[1::2].count(0) * 10 >= len(data[1::2]) * 9
             code = "utf-16-le" if wide and _text(data, "utf-16-le") is not None else "utf-8"
