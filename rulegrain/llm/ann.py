@@ -65,7 +65,7 @@ class Index:
 
     def of_queries(self, q: np.ndarray, probes: int) -> np.ndarray:
         """rows x tables x probes at most: keys to visit, the likeliest of each table first."""
-        scaled = q * (self.length / np.sqrt((q * q).sum(axis=1)))[:, None]
+        scaled = unit(q)[0] * self.length
         places = self.places(np.column_stack([scaled, np.zeros(len(q))]))
         slots = np.floor(places)
         n, t, k = places.shape
@@ -101,6 +101,16 @@ def make_index(dim: int, length: float, tables: int, k: int, width: float) -> In
     return Index(directions, offsets, width * length, multipliers, length)
 
 
+def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of length 1, and the lengths that they had; however small these are, their squares don't vanish."""
+    most = np.abs(x).max(axis=1, initial=0, keepdims=True)
+    most[most == 0] = 1
+    x = x / most
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    length[length == 0] = 1
+    return x / length, (length * most)[:, 0]
+
+
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products of pairs of rows in double precision, each summed alike wherever it is computed."""
     return np.add.reduce(q * x, axis=-1)
@@ -124,17 +134,23 @@ class Ranking:
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, top: int):
         self.ids, self.q, self.top = ids, q, top
-        self.small, self.lengths = q.astype(np.float32), np.sqrt((q * q).sum(axis=1))
+        directions, self.lengths = unit(q)
+        self.small = directions.astype(np.float32)
         self.found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         self.least = np.full(len(ids), -np.inf)  # each query's worst row, once it has top of them
 
     def see(self, ids: np.ndarray, x: np.ndarray, asks: np.ndarray, allowed: np.ndarray | None = None) -> None:
-        """Rank rows for the queries that ask (and, of these, only the allowed pairs). Products of 32 bits, with a margin, tell which to rank."""
-        margin = 1e-6 * (len(x.T) + 8) * self.lengths[asks] * np.sqrt((x * x).sum(axis=1).max(initial=0))
-        near = self.small[asks] @ x.astype(np.float32).T
+        """Rank rows for the queries that ask (and, of these, only the allowed pairs). Products of 32 bits, with a margin, tell which to rank.
+
+        These are of queries of length 1 and of rows in parts of the longest one's length, so that they fit whatever the lengths are.
+        """
+        directions, lengths = unit(x)
+        longest = lengths.max(initial=np.finfo(np.float64).tiny)
+        margin = np.full(len(asks), 1e-6 * (len(x.T) + 8))
+        near = self.small[asks] @ (directions * (lengths / longest)[:, None]).astype(np.float32).T
         if allowed is not None:
             near[~allowed] = -np.inf
-        least, new = self.least[asks], np.isinf(self.least[asks])
+        least, new = self.least[asks] / self.lengths[asks] / longest, np.isinf(self.least[asks])
         # the best rows here, of which each id may have some, hold as many ids as are wanted, and the query's own
         enough = (self.top + 1) * int(np.unique(ids, return_counts=True)[1].max(initial=1))
         if new.any() and enough < len(ids):
@@ -177,6 +193,12 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return some.filter(F.size("v") == (dim["d"] if dim else 0))
 
 
+def length_of(v: Column) -> Column:
+    """The length of a vector column without nulls; squares are of parts of the largest component, so they fit."""
+    most = F.array_max(F.transform(v, F.abs))
+    return most * F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x / most) * (x / most)))
+
+
 def brute_force(rows: DataFrame, query_ids: np.ndarray, queries: np.ndarray, top: int) -> DataFrame:
     """Exact neighbours of a bounded number of queries: each task gives its best, and those are merged."""
 
@@ -373,19 +395,23 @@ def nearest(rows: DataFrame, top: int = 20, every: int = 20, key: str = "vec_id"
     Nulls: rows with a null key or vector, a null or non-finite component, a zero vector, or a length other
     than the most common one take no part. Ties in score go to the smaller key. Rows of one key count once: as
     candidates by their largest score, as queries by their smallest vector. Other columns are not read, so
-    they may have any names. An empty table gives an empty result.
+    they may have any names. An empty table gives an empty result. Vectors may be of any size: they are ranked by
+    products that are scaled to fit; a score beyond the doubles' range is told as infinite, or zero.
     """
     ready(rows.sparkSession)
     used = usable(rows, key, vector)
-    told = used.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m"), F.max(F.size("v")).alias("d"), F.count_distinct("id").alias("ids")).first()
+    told = used.agg(F.count("*").alias("n"), F.max(length_of(F.col("v"))).alias("m"), F.max(F.size("v")).alias("d"), F.count_distinct("id").alias("ids")).first()
     if not told["n"]:
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    n, dim, length = told["n"], told["d"], float(np.sqrt(told["m"])) * (1 + 1e-12)
+    # all work is done on vectors times a power of 2 that makes the longest about 1: exact, and products fit whatever the vectors' size
+    power = int(np.clip(np.frexp(told["m"])[1], -1000, 1000)) if np.isfinite(told["m"]) else 1000
+    used = used.withColumn("v", F.transform("v", lambda x: x * F.lit(2.0**-power)))
+    n, dim, length = told["n"], told["d"], min(float(told["m"]), 2.0**1023) * 2.0**-power * (1 + 1e-12)
     queries = used.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     setting = fitted(used, queries, n, dim, length, top, recall)
     one = make_index(dim, length, 1, 0, 1.0)
     if setting is None:  # no setting serves these rows: one bucket, which is the exact search
-        return search(used, queries, one, 1, n, dim, top)
+        return with_scores(search(used, queries, one, 1, n, dim, top), power)
     found = table(search(used, queries, setting.index, setting.probes, n, dim, top), "neighbours")
     # buckets may hold too few; such queries are answered by the exact search
     full = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("c")).filter(F.col("c") >= min(top, told["ids"] - 1)).select("id")
@@ -393,7 +419,13 @@ def nearest(rows: DataFrame, top: int = 20, every: int = 20, key: str = "vec_id"
     if not short.isEmpty():
         rest = search(used, short, one, 1, n, dim, top)
         found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
-    return found.select("query_id", "rank", "vec_id", "score")
+    return with_scores(found, power)
+
+
+def with_scores(found: DataFrame, power: int) -> DataFrame:
+    """The result with scores of the vectors as they were, from scores of vectors times 2 to the minus power."""
+    back = F.lit(2.0**power)
+    return found.select("query_id", "rank", "vec_id", (F.col("score") * back * back).alias("score"))
 
 
 def measured_recall(found: pd.DataFrame, truth: pd.DataFrame) -> float:

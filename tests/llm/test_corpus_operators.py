@@ -198,6 +198,39 @@ def test_nearest(spark):
     assert len(few) == 4 and sorted(few.vec_id) == [1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("kind, scales", [("double", [1.0, 1e-200, 1e-30, 1e25, 1e150]), ("float", [1.0, 1e-24, 1e19, 1e25])])
+def test_vectors_of_any_size(spark, kind, scales):
+    """The same neighbours whatever the vectors' size, and the score of the vectors as they are; null ids take no part."""
+    x = np.random.default_rng(7).normal(size=(400, 16)).astype(np.float32).astype(np.float64)
+    want = None
+    for scale in scales:
+        near = 2.0 ** np.round(np.log2(scale))
+        rows = [(i, (v * near).tolist()) for i, v in enumerate(x)] + [(None, (x[0] * near).tolist())]
+        got = ann.nearest(spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>")).toPandas()
+        assert len(got) == 400 and (got.groupby("query_id").size() == 20).all()
+        if 1e-150 < near < 1e150:
+            assert (got.score.to_numpy() == [ann.exact(x[q] * near, x[v] * near) for q, v in zip(got.query_id, got.vec_id, strict=True)]).all()
+        pairs = set(zip(got.query_id, got["rank"], got.vec_id, strict=True))
+        want = want or pairs
+        assert pairs == want
+    truth = [(q, int(v)) for q in range(0, 400, 20) for s in [np.where(np.arange(400) == q, -np.inf, x @ x[q])] for v in np.argsort(-s)[:20]]
+    assert ann.measured_recall(got, pd.DataFrame(truth, columns=["query_id", "vec_id"])) >= 0.9
+
+
+def test_ranking_of_mixed_sizes():
+    """The exact ranking alone: rows and queries far apart in size, in one block and over blocks."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 8)) * 10.0 ** rng.integers(-60, 60, (300, 1))
+    q = rng.normal(size=(6, 8)) * 10.0 ** rng.integers(-60, 60, (6, 1))
+    ranking = ann.Ranking(np.arange(1000, 1006), q, 20)
+    for at in range(0, 300, 70):
+        ranking.see(np.arange(at, min(300, at + 70)), x[at : at + 70], np.arange(6))
+    i, v, s = ranking.found
+    for k in range(6):
+        true = ann.exact(q[k][None, :], x)
+        assert v[i == k].tolist() == np.lexsort((np.arange(300), -true))[:20].tolist() and s[i == k].tolist() == np.sort(true)[::-1][:20].tolist()
+
+
 def test_probes_come_in_order():
     from itertools import product
 
