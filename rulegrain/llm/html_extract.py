@@ -4,6 +4,10 @@ Each page's containers are scored by the text they hold outside links and boiler
 for the generalised path (tags and classes, digits blanked) of its best one. Votes are counted per host in
 Spark, and each page is extracted again from the containers on its host's winning path; a page that has
 none there, or far less text than in its own best container, is extracted from the latter.
+
+While containers are scored, any word of boilerplate in a class or id lets an element go. In the text of the
+chosen containers names say less: headings, paragraphs, list items, cells and the like stay whatever they are
+named, and so does what has another word in its name (`related-work`, `share-price`).
 """
 
 from __future__ import annotations
@@ -36,6 +40,16 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion banner sidebar aside nav navbar navigation menu breadcrumb breadcrumbs footer header masthead comment comments disqus reply replies respond notice notices notification cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations widget toolbar pagination pager".split()
 )
+#: Words beside them that say nothing else.
+NEUTRAL = frozenset(
+    "box boxes bar bars block blocks wrapper wrap container content area list lists item items inner outer group row column col panel section region zone slot unit holder top bottom left right main site page global primary secondary sticky fixed inline text title link links button buttons btn icon icons logo form field thread threads posts articles stories count load more toggle close js wp fb google dfp gpt amp mobile desktop small large".split()
+)
+#: Words beside names of what readers wrote.
+OF_READERS = frozenset("post entry article user users reader readers blog guest visitor".split())
+#: Elements that names say nothing about: they hold the text itself, or all of it.
+SPOKEN = frozenset("body html main article h1 h2 h3 h4 h5 h6 hgroup p li pre blockquote dt dd caption figcaption summary tr td th thead tbody tfoot".split())
+#: A section with this much text, and few links, isn't left out by its class.
+SHORT_SECTION = 300
 KEEP_NAMES = frozenset("has no with without is not".split())
 #: What closes an open element of the kind on the left when it begins.
 CLOSES = {
@@ -220,11 +234,27 @@ def _boilerplate(node: Node) -> bool:
 
 def _by_name(node: Node) -> bool:
     a = node.attributes
-    return node.tag not in ("body", "html", "main", "article") and bool(a.get("class") or a.get("id")) and _named(node)
+    return node.tag not in SPOKEN and bool(a.get("class") or a.get("id")) and _named(node)
+
 
+def _wholly(name: str, names: frozenset[str], beside: frozenset[str]) -> bool:
+    """Whether a class or id has a word of names, and none that says something else."""
+    parts = [p.lower() for p in PARTS.findall(name)]
+    return not names.isdisjoint(parts) and all(p in NAMES or p in beside for p in parts)
 
-def measure(root: Node) -> None:
-    """Mark boilerplate and count text, bottom up.
+
+def _out_of_text(node: Node) -> bool:
+    """Whether an element's whole class or id names it as boilerplate within a text. A section's id is its heading's anchor, but for readers' comments."""
+    named = [*node.attributes.get("class", "").split(), *node.attributes.get("id", "").split()]
+    if any(_wholly(x, READERS, NEUTRAL | OF_READERS) for x in named):
+        return True
+    if node.tag == "section":
+        named = node.attributes.get("class", "").split() if node.text <= SHORT_SECTION or node.linked * 2 >= node.text else []
+    return any(_wholly(x, NAMES, NEUTRAL) for x in named)
+
+
+def measure(root: Node) -> list[Node]:
+    """Mark boilerplate and count text, bottom up. Returns what is marked by its name alone.
 
     What holds an article isn't boilerplate by its name alone; nor, on a page without one, what has most of its text, few links and
     nothing that readers wrote.
@@ -234,27 +264,31 @@ def measure(root: Node) -> None:
         node = todo.pop()
         order.append(node)
         todo += [c for c in node.children if isinstance(c, Node)]
-    _count(order, frozenset())
+    by_name = _count(order, frozenset())
     if not any(n.tag in ("article", "main") for n in order):
         named = [n for n in order if n.dropped and n.text and not _boilerplate(n)]
         most = max(named, key=lambda n: n.text - n.linked, default=None)
         if most is not None and most.text > root.text and most.linked * 3 < most.text and not _named(most, READERS):
-            _count(order, frozenset([most]))
+            by_name = _count(order, frozenset([most]))
+    return by_name
 
 
-def _count(order: list[Node], spared: frozenset[Node]) -> None:
-    holds = set()
+def _count(order: list[Node], spared: frozenset[Node]) -> list[Node]:
+    holds, by_name = set(), []
     for node in reversed(order):
         inner = [c for c in node.children if isinstance(c, Node)]
         if node.tag in ("article", "main") or node in spared or any(c in holds for c in inner):
             holds.add(node)
         kept = node in holds and node.tag not in BOILERPLATE
         never = _boilerplate(node) and not kept
-        node.dropped = never or (_by_name(node) and not kept)
+        node.dropped = never or (not kept and _by_name(node))
         if never:
             continue
+        if node.dropped:
+            by_name.append(node)
         node.text = sum(len(SPACE.sub(" ", c).strip()) if isinstance(c, str) else 0 if c.dropped else c.text for c in node.children)
         node.linked = node.text if node.tag == "a" else sum(c.linked for c in inner if not c.dropped)
+    return by_name
 
 
 def step_of(node: Node) -> str:
@@ -348,15 +382,15 @@ def vote(source: str | None) -> tuple[str | None, float]:
 def extract(source: str | None, winner: str | None) -> str:
     """The text of the containers on the winning path, else of the page's best one, else of the page."""
     root = parse(source or "")
-    measure(root)
+    by_name = measure(root)
     own, _ = best_container(root)
-    if own is None:
-        return "\n".join(blocks(root))
-    chosen = [own]
-    if winner:
+    chosen = [own or root]
+    if own is not None and winner:
         found = on_path(root, winner)
         if 2 * sum(n.text for n in found) >= own.text:
             chosen = found
+    for node in by_name:
+        node.dropped = _out_of_text(node)
     return "\n".join(b for n in chosen for b in blocks(n))
 
 

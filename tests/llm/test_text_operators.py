@@ -369,13 +369,40 @@ def random_blocks(rng, depth=0):
     words = " ".join(rng.choices(["alpha", "beta", "x&amp;y", "<b>bold</b>", "<a href='u'>link</a>", "caf&eacute;", "two\n words"], k=rng.randint(3, 9)))
     plain = re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", words)))
     if kind < 3:
-        tag = rng.choice(["p", "li", "h2", "blockquote", "pre"])
-        return f"<{tag}>{words}</{tag}>", [plain]
+        tag, name = rng.choice(["p", "li", "h2", "blockquote", "pre"]), rng.choice(["", " id='related-work'", " class='social-history'", " id=comments class=ad", " class='share'"])
+        return f"<{tag}{name}>{words}</{tag}>", [plain]
     if kind == 3:
         return rng.choice(["<nav>menu <p>x</p></nav>", '<div class="ad-box"><p>buy</p></div>', "<script>var a = '<p>';</script>", "<!-- <p>gone</p> -->", '<div id="comments"><p>first!</p></div>', "<form><p>name</p></form>", '<aside><div>see</div></aside>']), []
     inner = [random_blocks(rng, depth + 1) for _ in range(rng.randint(1, 3))]
     tag = rng.choice(["div", "section", "ul"])
-    return f"<{tag} class='part-{depth}'>" + "\n".join(x for x, _ in inner) + f"</{tag}>", [b for _, bs in inner for b in bs]
+    name = rng.choice([f"class='part-{depth}'", "id='header-files'", "class='share-price'", "id='comments-in-code' class='menu-driven'", "class='no-sidebar'"])
+    return f"<{tag} {name}>" + "\n".join(x for x, _ in inner) + f"</{tag}>", [b for _, bs in inner for b in bs]
+
+
+PROBES = [
+    '<section id="related-work">{}</section>', '<section id="social-effects">{}</section>', '<section id="header-files">{}</section>', '<section id="comments-in-code">{}</section>', '<div id="menu-driven-programs">{}</div>',
+    '<div class="share-price">{}</div>', '<div class="related-work social-history">{}</div>', '<section id="social">{}</section>', '<section class="related">' + "long text of a section " * 20 + "{}</section>",
+]
+
+
+@pytest.mark.parametrize("probe", PROBES)
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div class='content'>{}</div>"])
+def test_names_lose_no_text(probe, around):
+    """Words of boilerplate within other names, and names of what holds the text itself."""
+    inner = '<h2 id="related-work">Head {0}</h2><p class="social-history">Text {0}</p><ul><li id="menu">item {0}</li></ul><blockquote class="comment">said {0}</blockquote>'
+    page = "<body><nav>menu</nav>" + around.format("<p>first words here</p>" * 20 + probe.format(inner.format(7)) + inner.format(8)) + '<div class="related-links-box"><a href=x>other</a></div></body>'
+    for winner in (None, html_extract.vote(page)[0]):
+        got = html_extract.extract(page, winner).split("\n")
+        assert [x for x in got if x[-1] in "78"][-8:] == [f"{x} {n}" for n in (7, 8) for x in ("Head", "Text", "item", "said")] and "other" not in got
+
+
+@pytest.mark.parametrize("gone", [
+    '<div class="comments">{}</div>', '<section id="comments">{}</section>', '<section class="post-comments">{}</section>', '<div id="comment-list">{}</div>', '<div class="ad">{}</div>', '<div class="ad-box">{}</div>', '<div id="cookie-notice">{}</div>', '<div class="social-share-buttons">{}</div>',
+    '<ul class="breadcrumbs">{}</ul>', '<div class="related-posts">{}</div>', '<div class="newsletter-signup">{}</div>', '<section class="related">{}</section>', "<nav>{}</nav>", "<aside>{}</aside>", '<div role="navigation">{}</div>',
+])
+def test_boilerplate_within_a_text_goes(gone):
+    page = "<body><article>" + "<p>first words here</p>" * 20 + gone.format("<p>gone words</p>") + "<p>last</p></article></body>"
+    assert "gone" not in html_extract.extract(page, "body>article") and html_extract.extract(page, None).endswith("last")
 
 
 def test_html_is_a_plain_walkers():
