@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .bpe_codec import bpe_round_trip
 from .common import ready, table
@@ -42,7 +43,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     gone = jaccard_join(docs, nodes_only=True).filter("first <> node").select("doc_id", F.col("node").alias(h))
     left = docs.withColumn(h, node_of("doc_id", "text")).join(gone, ["doc_id", h], "left_anti")
     numbered = left.withColumn(u, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    return numbered.dropDuplicates(["doc_id", h, u]).select(docs.columns)
+    # of rows with one doc_id and text the one with the smallest other columns, whatever order they come in
+    r = fresh(docs, "_row")
+    smallest = F.struct(*(F.col(c) for c in docs.columns if not isinstance(docs.schema[c].dataType, MapType)))
+    return numbered.groupBy("doc_id", h, u).agg(F.min_by(F.struct(*(F.col(c) for c in docs.columns)), smallest).alias(r)).select(f"{r}.*")
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """The pipeline's stages, one by one, against plain versions."""
 
+import base64
 import random
+import zlib
 
 import pandas as pd
 import pytest
@@ -73,3 +75,28 @@ def test_one_of_each_with_namesakes(spark):
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     kept = sorted((r["doc_id"] or 0, r["text"]) for r in stages.one_of_each(docs).collect())
     assert kept == sorted([(0, a), (0, a), (1, a), (1, c + " more"), (2, b), (5, "--"), (5, "...")])
+
+
+def test_equal_rows_of_other_columns(spark):
+    """Of rows that are equal in doc_id and text the smallest stays, however they come."""
+    rows = [(i % 3, f"text {i % 3} of it", "en", s, 1) for i in range(9) for s in (f"s{i}", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = [sorted(map(tuple, stages.one_of_each(d).collect())) for d in (docs, docs.repartition(7), docs.orderBy("source"))]
+    assert kept[0] == kept[1] == kept[2] == [(i, f"text {i} of it", "en", None, 1) for i in range(3)]
+
+
+def test_empty_tables_and_hard_rows(spark, docs):
+    """Every stage on no rows; and all of them with a document of many compressed streams, a very long one and repeated ones."""
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, "").count() == 0
+    streams = b"\n".join(zlib.compress(f"{i} password=hunter2hunter{i:04d} end".encode()) for i in range(120))
+    pdf = "the house and the tree with data:application/pdf;base64," + base64.b64encode(streams).decode() + " of this"
+    rows = [(900, pdf, "en", "s0", len(pdf)), (901, "the house of and with " * 40_000, "en", None, 1), (901, "the house of and with " * 40_000, "en", None, 1), (902, None, None, None, None)]
+    now = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        now = table(stage(spark, now, ""), name)
+        if name == "secret_scan":
+            (clean,) = now.filter("doc_id = 900").collect()
+            assert clean["text"].startswith("the house and the tree with ") and clean["text"].count("[SECRET]") > 1 and not secret_scan.scan(clean["text"])[1]
+    assert now.columns == COLUMNS
