@@ -14,6 +14,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions.tokens import load_vocabulary
 from .operators.fixes import apply_plan, plan
 from .operators.scoring import gate
 from .plans import compliance as J
@@ -61,9 +62,10 @@ def _repos(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([(root, root)], "repo_id string, root string")
 
 
-def _scan(spark: SparkSession, root: str, config: C.Config, use_baseline: bool = True, user_global: bool = True) -> dict:
-    own = _user_global(spark, root, config.discovery.max_surface_bytes) if user_global else None
-    return scan(_repos(spark, root), config, own, _baseline(spark, root, root) if use_baseline else None)
+def _scan(spark: SparkSession, root: str, config: C.Config, a: argparse.Namespace, use_baseline: bool = True) -> dict:
+    own = _user_global(spark, root, config.discovery.max_surface_bytes) if a.user_global else None
+    more = {} if a.counted is None else {"vocabulary": a.counted}
+    return scan(_repos(spark, root), config, own, _baseline(spark, root, root) if use_baseline else None, **more)
 
 
 def _tell(text: str, output: str | None) -> None:
@@ -129,6 +131,8 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     p.add_argument("--format", default="text", choices=sorted(reports.RENDERERS))
     p.add_argument("--output", type=os.path.abspath, help="write the report to this file")
     p.add_argument("--config", default=None)
+    p.add_argument("--vocabulary", help="count tokens by this vocabulary file, instead of a quarter of the characters")
+    p.add_argument("--pattern", default="o200k_base", help="how the vocabulary splits texts: gpt2, cl100k_base, o200k_base or a regular expression")
     p.add_argument("--no-user-global", dest="user_global", action="store_false", help=f"leave out {R.USER_GLOBAL}")
     p.add_argument("--ci", action="store_true")
     p.add_argument("--min-score", type=int, default=0)
@@ -164,6 +168,12 @@ def main(argv: list[str] | None = None) -> int:
             config = replace(config, discovery=replace(config.discovery, max_files=a.max_files))
         if a.commits:
             config = replace(config, compliance=replace(config.compliance, commits=a.commits))
+        a.counted = None
+        if a.vocabulary:
+            try:
+                a.counted = load_vocabulary(a.vocabulary, a.pattern)
+            except OSError as e:
+                raise C.ConfigError(f"the vocabulary can't be read: {e}") from None
         spark = _session()
         if a.command == "fix":
             return _fix(spark, root, config, a)
@@ -182,7 +192,7 @@ def main(argv: list[str] | None = None) -> int:
 
 def _report(spark: SparkSession, root: str, config: C.Config, a: argparse.Namespace) -> int:
     """One scan: its report told and kept, its baseline written if asked for."""
-    result = _scan(spark, root, config, not a.write_baseline, a.user_global)
+    result = _scan(spark, root, config, a, not a.write_baseline)
     if a.write_baseline:
         marks = sorted({r["fingerprint"] for r in result["all_findings"].select("fingerprint").collect()})
         with open(f"{root}/{BASELINE}", "w", encoding="utf-8") as f:
@@ -207,10 +217,10 @@ def _compliance(spark: SparkSession, root: str, config: C.Config, a: argparse.Na
     """Judge the last commits by the user's rules; verdicts are kept for the next run."""
     if not a.judge:
         raise C.ConfigError("compliance needs --judge, a command that reads a prompt and writes its verdict")
-    result = _scan(spark, root, config, False, a.user_global)
+    result = _scan(spark, root, config, a, False)
     kept = J.read_cache(spark, f"{root}/{VERDICTS}")
     second = _client(a.calibrate) if a.calibrate else None
-    outcome = J.compliance(_repos(spark, root), result["rules"], result["surfaces"], _client(a.judge), kept, config, a.yes, second, kept)
+    outcome = J.compliance(_repos(spark, root), result["rules"], result["surfaces"], _client(a.judge), kept, config, a.yes, second, kept, vocabulary=a.counted)
     J.keep_verdicts(outcome, f"{root}/{VERDICTS}")
     _tell(J.as_text(outcome, config.compliance.agreement_warn_threshold), a.output)
     return int(outcome.status == "over-cap")
@@ -218,7 +228,7 @@ def _compliance(spark: SparkSession, root: str, config: C.Config, a: argparse.Na
 
 def _fix(spark: SparkSession, root: str, config: C.Config, a: argparse.Namespace) -> int:
     """Show the plan; with --write, apply safe fixes to a clean tree and tell the scores before and after."""
-    result = _scan(spark, root, config, True, a.user_global)
+    result = _scan(spark, root, config, a)
     fixes = settled(plan(result["findings"], result["rules"], result["surfaces"], R.renames(_repos(spark, root)), settled(result["index"], "index")), "fixes")
     rows = [r.asDict(recursive=True) for r in fixes.collect()]  # one repository's
     score = result["scores"].first()["total"]
@@ -232,7 +242,7 @@ def _fix(spark: SparkSession, root: str, config: C.Config, a: argparse.Namespace
             with open(f"{root}/{r['path']}", "w", encoding="utf-8") as f:
                 f.write(r["after"])
     if a.write and edited:
-        after = _scan(spark, root, config, True, a.user_global)["scores"].first()["total"]
+        after = _scan(spark, root, config, a)["scores"].first()["total"]
         print(f"score: {score} before, {after} after {len(edited)} file(s) changed")
     with open(f"{root}/{PLAN}", "w", encoding="utf-8") as f:
         f.write(reports.fixes_markdown(rows, score, root))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.tokens import Counter, Vocabulary
 from ..operators import compliance as C
 from ..sources import repos as R
 from ..sources.config import Config
@@ -52,11 +53,13 @@ class Outcome:
 def compliance(
     repos: DataFrame, rules: DataFrame, surfaces: DataFrame, client: Callable[[str], str], cache: DataFrame | None = None, config: Config | None = None, agreed: bool = False,
     second: Callable[[str], str] | None = None, second_cache: DataFrame | None = None, price: tuple[float, float] = PRICE, prices: dict[str, tuple[float, float]] | None = None,
+    vocabulary: Vocabulary | None = None,
 ) -> Outcome:
     """Judge the rules of repositories (repo_id, root) against their last changes.
 
     agreed lets a spend above the cap pass. With a second client every k-th judged pair is judged again; what
-    that may cost counts towards the cap. prices are those of models by name, price that of all others. new_verdicts are to be appended to the caches.
+    that may cost counts towards the cap. prices are those of models by name, price that of all others. Chunks
+    are packed by a vocabulary's tokens, if there is one. new_verdicts are to be appended to the caches.
     """
     c, spark = (config or Config()).compliance, repos.sparkSession
     none = spark.createDataFrame([], CACHE)
@@ -67,7 +70,8 @@ def compliance(
     asked = settled(C.judgeable(rules, surfaces), "judgeable")
     if asked.isEmpty():
         return Outcome(C.status(False, 0, 0, 0, c.spend_cap_usd))
-    chunks = settled(C.pack_chunks(C.file_diffs(changes)), "chunks")
+    count = C.tokens_of if vocabulary is None else Counter(vocabulary)
+    chunks = settled(C.pack_chunks(C.file_diffs(changes), tokens=count), "chunks")
     keys = C.applicable(asked, chunks)
     told = asked.select("repo_id", "rule_id", "text", F.col("path").alias("surface_path"))
     pairs = settled(keys.join(told, ["repo_id", "rule_id"]).join(chunks.select("repo_id", "chunk_id", "sha", "files", "diff").dropDuplicates(["repo_id", "chunk_id"]), ["repo_id", "chunk_id"]), "pairs")

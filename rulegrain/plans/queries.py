@@ -6,6 +6,7 @@ parts for short rules with a polarity, page URLs for paths, events for findings,
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from ..functions import markdown as M
 from ..functions import paths as P
 from ..functions import text as T
 from ..functions.diffs import diff_words
+from ..functions.tokens import load_vocabulary, token_counts
 from ..operators import budget as B
 from ..operators import compliance as C
 from ..operators import contexts as X
@@ -433,6 +435,18 @@ def tool_contexts(spark, sf_dir):
     return X.contexts(s, files).select("repo_id", "tool", "directory", long("tokens_always").alias("tokens_always"), long("tokens_conditional").alias("tokens_conditional"))
 
 
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+if importlib.util.find_spec("public_tokenizers"):
+
+    @query()
+    def bpe_tokens(spark, sf_dir):
+        """Tokens of whole pages by a byte-level vocabulary; tests hold it against the vocabulary's library."""
+        import public_tokenizers
+
+        return token_counts(read(spark, sf_dir, "pages"), ["page_id"], "html", load_vocabulary(public_tokenizers.path(VOCABULARY)))
+
+
 @query()
 def applied_fixes(spark, sf_dir):
     rules = part_rules(spark, sf_dir)

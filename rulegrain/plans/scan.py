@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 
+from ..functions.tokens import Vocabulary, with_estimates
 from ..operators.budget import budget
 from ..operators.contexts import contexts
 from ..operators.contradiction import contradiction
@@ -32,10 +34,14 @@ def analyze(surfaces: DataFrame, rules: DataFrame, files: DataFrame, scripts: Da
     return reduce(DataFrame.unionByName, [settled(p, "findings") for p in parts]), loaded
 
 
-def scan(repos: DataFrame, config: Config | None = None, user_global: DataFrame | None = None, baseline: DataFrame | None = None) -> dict[str, DataFrame]:
+def scan(
+    repos: DataFrame, config: Config | None = None, user_global: DataFrame | None = None, baseline: DataFrame | None = None, vocabulary: Vocabulary | None = None,
+    exact: Callable[[DataFrame], DataFrame] | None = None,
+) -> dict[str, DataFrame]:
     """surfaces, rules, files, contexts, findings, scores of repositories (repo_id, root); with a baseline also its counts.
 
     Findings that the baseline knows are left out before scoring; all_findings has them all, to write a new one.
+    Token estimates are by a vocabulary, if there is one; exact (see exact_counter) adds tokens_exact to surfaces.
     """
     c = config or Config()
     d = c.discovery
@@ -43,11 +49,13 @@ def scan(repos: DataFrame, config: Config | None = None, user_global: DataFrame
     files, over = (settled(x, "files") for x in R.file_index(tree, d.max_files))
     found = R.surfaces(tree, d.exclude, d.max_surface_bytes, user_global)
     surfaces, rules = (settled(x, "parsed") for x in R.parse(found))
+    if vocabulary is not None:
+        surfaces = settled(with_estimates(surfaces, vocabulary), "estimates")
     findings, loaded = analyze(surfaces, rules, files, R.scripts(tree), over, c)
     findings = findings.unionByName(R.discovery_findings(tree, over, d.exclude, d.max_surface_bytes, d.max_files)).unionByName(R.parse_findings(surfaces))
     findings = with_fingerprints(without_ignored(findings, R.ignored_rules(surfaces, rules)), surfaces)
     findings = settled(findings, "all_findings")
-    out = {"surfaces": surfaces, "rules": rules, "files": files, "contexts": loaded, "all_findings": findings}
+    out = {"surfaces": surfaces if exact is None else exact(surfaces), "rules": rules, "files": files, "contexts": loaded, "all_findings": findings}
     kept = findings
     if baseline is not None:
         kept, out["baseline"] = apply_baseline(findings, baseline)

@@ -97,3 +97,17 @@ def test_front_matter_in_full():
     _, meta = M.parse_surface(".claude/skills/deploy/SKILL.md", "skill", "s", raw)
     assert json.loads(meta["front_matter"]) == {"name": "deploy", "description": "d", "allowed-tools": ["Read", "Bash"], "since": "2024-01-02"}
     assert M.parse_surface("AGENTS.md", "agents-md", "s", raw)[1]["front_matter"] is None
+
+
+def test_vocabulary(root, capsys):
+    """Token counts of a report are the vocabulary's; a file that is none is wrong use."""
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.tiktoken")
+    assert cli.main(["scan", str(root), "--no-user-global", "--format", "json", "--vocabulary", path, "--pattern", "gpt2"]) == 0
+    surfaces = json.loads(capsys.readouterr().out)["surfaces"]
+    from rulegrain.functions.tokens import Counter, load_vocabulary
+
+    count = Counter(load_vocabulary(path))
+    assert [(s["path"], s["tokensEstimated"]) for s in surfaces] == [("AGENTS.md", count("# T\n\n" + RULE))]
+    assert cli.main(["scan", str(root), "--vocabulary", str(root / "none")]) == 2
+    assert cli.main(["scan", str(root), "--vocabulary", public.path("piece_bpe_32k.model")]) == 2
