@@ -78,6 +78,28 @@ def glob_pattern(glob: str) -> str:
     return re.escape(plain) + glob_pattern(glob[len(plain) :])
 
 
+#: Stand for what has been read of a glob; no text has these code points.
+BEGIN, END, OR, FOLDERS, ALL = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3", "\ufdd4"
+
+
+def glob_regex(glob: Column) -> Column:
+    """The regular expression of a glob column, to be looked for in a path: it begins and ends with it."""
+    n = F.length(glob) - F.length(F.translate(glob, "{", ""))
+    rounds = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    # braces are paired from the innermost on; those without a partner are characters
+    paired = F.aggregate(rounds, glob, lambda acc, _: F.regexp_replace(acc, r"\{([^{}]*)\}", f"{BEGIN}$1{END}"))
+    step = lambda acc, c: F.struct(
+        F.concat(acc["out"], F.when((c == ",") & (acc["level"] > 0), OR).otherwise(c)).alias("out"), (acc["level"] + F.when(c == BEGIN, 1).when(c == END, -1).otherwise(0)).alias("level")
+    )
+    split = F.aggregate(F.split(paired, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("level")), step)["out"]
+    plain = F.regexp_replace(F.when(n > 0, split).otherwise(glob), r"([.+^$()|\[\]\\{}])", r"\\$1")
+    stars = F.replace(F.replace(plain, F.lit("**"), F.lit(ALL)), F.lit(ALL + "/"), F.lit(FOLDERS))
+    names = F.replace(F.replace(stars, F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]"))
+    for mark, means in ((FOLDERS, "(?:[^/]+/)*"), (ALL, ".*"), (BEGIN, "(?:"), (END, ")"), (OR, "|")):
+        names = F.replace(names, F.lit(mark), F.lit(means))
+    return F.concat(F.lit(r"(?s)\A(?:"), names, F.lit(r")\z"))
+
+
 def glob_matches(glob: str, path: str) -> bool:
     """Whether a glob matches a path; one without a slash is matched with the base name."""
     return re.fullmatch(glob_pattern(glob), path if "/" in glob else path.rpartition("/")[2], re.DOTALL) is not None

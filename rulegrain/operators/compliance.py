@@ -6,11 +6,12 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .staleness import pattern_column
+from .globs import matches
+from .ranks import with_ranks
 
 MAX_CHUNK_TOKENS = 4000
 LEAST_LINES = 20
@@ -28,7 +29,6 @@ STOPWORDS = (
 ).split()
 
 
-
 def file_diffs(changes: DataFrame) -> DataFrame:
     """repo_id, ord, sha, pos, file, diff: each change (repo_id, ord, sha, diff) cut at its files, skipped files left out."""
     parts = F.filter(F.split("diff", r"(?m)^(?=diff --git )"), lambda p: p.startswith("diff --git "))
@@ -90,10 +90,9 @@ def applicable(rules: DataFrame, chunks: DataFrame) -> DataFrame:
     parts = F.split("file", "/")
     prefixes = files.select("repo_id", "chunk_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("ref"))
     by_path = refs.filter(~is_glob).withColumn("ref", F.regexp_replace("ref", "/$", "")).join(prefixes, ["repo_id", "ref"]).select("repo_id", "rule_id", "chunk_id")
-    literal = F.regexp_extract("ref", r"^((?:[^/*?{]+/)*)", 1)
-    globs = refs.filter(is_glob).withColumn("under", F.regexp_replace(literal, "/$", "")).withColumn("pattern", pattern_column(F.col("ref")))
-    below = files.select("repo_id", "chunk_id", "file", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))).alias("under"))
-    by_glob = globs.join(below, ["repo_id", "under"]).filter(F.rlike(F.col("file"), F.col("pattern"))).select("repo_id", "rule_id", "chunk_id")
+    asked = refs.filter(is_glob).withColumnRenamed("ref", "glob")
+    hit = matches(asked, files.withColumnRenamed("file", "path"), ["repo_id"]).join(files.withColumnRenamed("file", "path"), ["repo_id", "path"]).select("repo_id", "glob", "chunk_id").distinct()
+    by_glob = asked.join(hit, ["repo_id", "glob"]).select("repo_id", "rule_id", "chunk_id")
     return by_path.unionByName(by_glob).unionByName(by_keywords(rules, chunks)).distinct()
 
 
@@ -186,8 +185,8 @@ def rule_reports(judged: DataFrame) -> DataFrame:
 def calibration_sample(pairs: DataFrame, ratio: float) -> DataFrame:
     """Every k-th pair of each repository by rule and chunk."""
     step = max(1, int(1 / max(ratio, 0.0001)))
-    turn = Window.partitionBy("repo_id").orderBy(F.collate(F.concat_ws("|", "rule_id", "chunk_id"), "UNICODE"))
-    return pairs.withColumn("rn", F.row_number().over(turn)).filter((F.col("rn") - 1) % step == 0).drop("rn")
+    turn = F.collate(F.concat_ws("|", "rule_id", "chunk_id"), "UNICODE")
+    return with_ranks(pairs, ["repo_id"], [turn], "_rn", "_count").filter(F.col("_rn") % step == 0).drop("_rn", "_count")
 
 
 def agreement(first: DataFrame, second: DataFrame) -> DataFrame:

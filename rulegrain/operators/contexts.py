@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..schema import TOOLS
-from .staleness import pattern_column
+from .globs import matches
 
 # What each tool loads, by kind of surface and branch of its order.
 LOADS = (
@@ -49,11 +49,18 @@ def active_globs(asked: DataFrame, files: DataFrame) -> DataFrame:
 
     asked: repo_id, surface_id, at, directory, globs. Matched from the root, or from the surface's directory.
     """
-    one = asked.select("repo_id", "surface_id", "at", "directory", F.explode("globs").alias("glob")).withColumn("pattern", pattern_column(F.col("glob")))
-    below = files.select("repo_id", F.col("path").alias("file"), F.explode(F.array_union(F.array(F.lit(".")), P.proper_ancestors(F.col("path")))).alias("directory"))
-    inner = F.when((F.col("at") != ".") & F.startswith("file", F.concat("at", F.lit("/"))), F.substring(F.col("file"), F.length("at") + 2, F.length("file")))
-    hit = F.rlike(F.col("file"), F.col("pattern")) | F.coalesce(F.rlike(inner, F.col("pattern")), F.lit(False))
-    return one.join(below, ["repo_id", "directory"]).filter(hit).select("repo_id", "surface_id", "directory").distinct()
+    one = asked.select("repo_id", "surface_id", "at", "directory", F.explode("globs").alias("glob"))
+    places = one.select("repo_id", "at").distinct()
+    # paths as seen from each directory that has surfaces, and from the root
+    above = files.select("repo_id", "path", F.explode(F.array_union(F.array(F.lit(".")), P.proper_ancestors(F.col("path")))).alias("at"))
+    seen = above.join(places.unionByName(places.withColumn("at", F.lit("."))).distinct(), ["repo_id", "at"]).withColumn("inner", F.when(F.col("at") == ".", F.col("path")).otherwise(F.substring(F.col("path"), F.length("at") + 2, F.length("path"))))
+    asks = one.select("repo_id", "at", "glob").unionByName(one.select("repo_id", F.lit(".").alias("at"), "glob")).distinct()
+    found = matches(asks, seen.select("repo_id", "at", F.col("inner").alias("path")), ["repo_id", "at"])
+    full = found.select("repo_id", "at", "glob", P.join(F.col("at"), F.col("path")).alias("file"))
+    hit = full.select("repo_id", "at", "glob", F.explode(F.array_union(F.array(F.lit(".")), P.proper_ancestors(F.col("file")))).alias("directory")).distinct()
+    by_own = one.join(hit, ["repo_id", "at", "glob", "directory"], "left_semi")
+    by_root = one.join(hit.filter("at = '.'").drop("at"), ["repo_id", "glob", "directory"], "left_semi")
+    return by_own.select("repo_id", "surface_id", "directory").unionByName(by_root.select("repo_id", "surface_id", "directory")).distinct()
 
 
 def entries(surfaces: DataFrame, files: DataFrame) -> DataFrame:

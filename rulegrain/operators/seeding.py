@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import with_ranks
+
 #: Rules with fewer words aren't changed, and what the middle word becomes.
 LEAST_WORDS, REPLACEMENT = 8, "sideways"
 
 
 def spread_sample(rows: DataFrame, n: int, order: list[str]) -> DataFrame:
     """Up to n rows of each repository, evenly spread over their order: places floor(i * count / n)."""
-    by = Window.partitionBy("repo_id")
-    told = rows.withColumns({"_rn": F.row_number().over(by.orderBy(*order)) - 1, "_count": F.count("*").over(by)})
+    told = with_ranks(rows, ["repo_id"], [F.col(c) for c in order], "_rn", "_count")
     # place k is taken if some i below n has floor(i * count / n) = k, that is if the next multiple of count / n falls in it
     i = F.ceil(F.col("_rn") * n / F.col("_count"))
     taken = (F.col("_count") <= n) | ((i < n) & (F.floor(i * F.col("_count") / n) == F.col("_rn")))

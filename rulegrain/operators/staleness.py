@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
 from ..schema import finding, place
+from .globs import matches
 
 # Endings that an import may leave out, and what counts as an ending.
 COMPLETIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".rs", ".go", ".md")
@@ -22,16 +22,6 @@ def directories(files: DataFrame) -> DataFrame:
     return above.unionByName(files.select("repo_id", F.lit(".").alias("path"))).distinct()
 
 
-def pattern_column(glob: Column) -> Column:
-    """Arrow function: the regular expression of a glob, to be matched whole."""
-
-    @F.arrow_udf("string")
-    def run(globs: pa.Array) -> pa.Array:
-        return pa.array([None if g is None else f"^(?:{P.glob_pattern(g)})$" for g in globs.to_pylist()], pa.string())
-
-    return run(glob)
-
-
 def bases(refs: DataFrame, dirs: DataFrame) -> DataFrame:
     """repo_id, rule_id, base: directories that a rule's references may start from.
 
@@ -67,15 +57,10 @@ def nearest_scripts(places: DataFrame, scripts: DataFrame) -> DataFrame:
 
 
 def glob_hits(refs: DataFrame, files: DataFrame, dirs: DataFrame) -> DataFrame:
-    """repo_id, rule_id, ref of glob references that match a file from one of their bases.
-
-    Files are joined on the pattern's literal directory first, so the pattern meets only what lies below it.
-    """
-    tried = refs.join(bases(refs, dirs), ["repo_id", "rule_id"]).withColumn("glob", P.join(F.col("base"), F.col("ref")))
-    literal = F.regexp_extract("glob", r"^((?:[^/*?{]+/)*)", 1)
-    anchored = tried.withColumn("under", F.when(literal == "", ".").otherwise(F.regexp_replace(literal, "/$", ""))).withColumn("pattern", pattern_column(F.col("glob"))).select("repo_id", "rule_id", "ref", "under", "pattern")
-    below = files.select("repo_id", "path", F.explode(F.array_union(F.array(F.lit(".")), P.proper_ancestors(F.col("path")))).alias("under"))
-    return anchored.join(below, ["repo_id", "under"]).filter(F.rlike(F.col("path"), F.col("pattern"))).select("repo_id", "rule_id", "ref").distinct()
+    """repo_id, rule_id, ref of glob references that match a file from one of their bases."""
+    tried = refs.join(bases(refs, dirs), ["repo_id", "rule_id"]).select("repo_id", "rule_id", "ref", P.join(F.col("base"), F.col("ref")).alias("glob"))
+    hit = matches(tried, files, ["repo_id"]).select("repo_id", "glob").distinct()
+    return tried.join(hit, ["repo_id", "glob"], "left_semi").select("repo_id", "rule_id", "ref").distinct()
 
 
 def staleness(rules: DataFrame, surfaces: DataFrame, files: DataFrame, scripts: DataFrame, truncated: DataFrame | None = None) -> DataFrame:

@@ -8,12 +8,13 @@ import subprocess
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markdown as M
 from ..functions import paths as P
 from ..functions import text as T
+from ..operators.ranks import with_ranks
 from ..schema import META, finding
 
 # Files that are surfaces, and folders that are never walked.
@@ -103,8 +104,7 @@ def file_index(tree_rows: DataFrame, max_files: int | None = None) -> tuple[Data
         return tree_rows.select("repo_id", "path"), tree_rows.select("repo_id").limit(0)
     n = tree_rows.groupBy("repo_id").agg(F.count("*").alias("n"))
     over = n.filter(F.col("n") > max_files).select("repo_id")
-    first = Window.partitionBy("repo_id").orderBy("path")
-    cut = tree_rows.join(over, "repo_id").withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= max_files)
+    cut = with_ranks(tree_rows.select("repo_id", "path").join(over, "repo_id"), ["repo_id"], [F.col("path")]).filter(F.col("rank") < max_files)
     return tree_rows.join(over, "repo_id", "left_anti").select("repo_id", "path").unionByName(cut.select("repo_id", "path")), over
 
 
@@ -186,10 +186,9 @@ def parse(surface_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     parsed = surface_rows.withColumn("parsed", read("path", "kind", "surface_id", "raw"))
     known = parsed.withColumn("meta", F.col("parsed.meta")).drop("parsed")
     each = parsed.select("repo_id", "surface_id", "path", F.posexplode("parsed.rules").alias("pos", "r"))
-    turn = Window.partitionBy("repo_id").orderBy("path", "pos")
     r = F.col("r")
-    rules = each.select(
-        "repo_id", "surface_id", r["rule_id"].alias("rule_id"), F.row_number().over(turn).alias("ord"), r["text"].alias("text"), r["section"].alias("section"), r["start_line"].alias("start_line"),
+    rules = with_ranks(each, ["repo_id"], [F.col("path"), F.col("pos")]).select(
+        "repo_id", "surface_id", r["rule_id"].alias("rule_id"), (F.col("rank") + 1).cast("int").alias("ord"), r["text"].alias("text"), r["section"].alias("section"), r["start_line"].alias("start_line"),
         r["end_line"].alias("end_line"), F.when(r["command"], "command").otherwise(T.classify_rule(r["text"], F.size(r["refs"]))).alias("kind"), r["refs"].alias("refs"),
     )
     return known, rules
