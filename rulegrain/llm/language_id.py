@@ -273,7 +273,10 @@ def fit(learn: DataFrame, text: str = "text", language: str = "lang", key: str =
     ]
     if not rows:
         return Model((), np.zeros((0, FEATURES), np.float32), np.zeros(0), 1.0)
-    return train(rows, idf)
+    model = train(rows, idf)
+    rows.clear()
+    trim()  # the driver goes on with what it had before
+    return model
 
 
 def predicted(text: Column | str, model: Model) -> Column:
