@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..sources.settled import settled
 
 #: Braces up to which a glob's alternatives are told apart for their keys; beyond, they could be too many.
 MOST_BRACES = 6
@@ -85,24 +86,34 @@ def matches(globs: DataFrame, files: DataFrame, scope: list[str]) -> DataFrame:
 
     Globs are matched with whole paths. Nulls match nothing; empty tables give empty results; other columns are not read.
     """
-    wanted = keyed(globs.select(*scope, "glob").filter("glob is not null").distinct()).withColumn("_pattern", P.glob_regex(F.col("glob")))
+    wanted = settled(keyed(globs.select(*scope, "glob").filter("glob is not null").distinct()).withColumn("_pattern", P.glob_regex(F.col("glob"))), "globs")
+    kinds = {r["_kind"] for r in wanted.select("_kind").distinct().collect()}  # of four
     every = files.select(*scope, "path").filter("path is not null").distinct()
     fits = F.rlike(F.col("path"), F.col("_pattern"))
 
     def of(kind: str) -> DataFrame:
         return wanted.filter(F.col("_kind") == kind).drop("_kind")
 
-    by_key = of("key").join(every.withColumn("_key", F.explode(_file_keys(F.col("path")))), [*scope, "_key"]).filter(fits)
-    # these are rare, so files are cut into grams only where there are any
-    some = lambda kind: every.join(of(kind).select(*scope).distinct(), scope, "left_semi")
-    n = F.length("path") - GRAM + 1
-    grams = F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr("path", i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
-    by_gram = of("gram").join(some("gram").withColumn("_key", F.explode(grams)), [*scope, "_key"]).filter(fits)
-    # what has no literal can't tell names of one length apart
-    shape = F.regexp_replace("path", "[^/]", "x")
-    shaped = some("shape").withColumn("_shape", shape)
-    shapes = of("shape").join(shaped.select(*scope, "_shape").distinct(), scope).filter(F.rlike(F.col("_shape"), F.col("_pattern"))).select(*scope, "glob", "_shape")
-    by_shape = shapes.join(shaped, [*scope, "_shape"])
-    rest = of("rest").join(some("rest"), scope).filter(fits)
-    found = reduce(DataFrame.unionByName, [d.select(*scope, "glob", "path") for d in (by_key, by_gram, by_shape, rest)])
-    return found.distinct()
+    def by_key() -> DataFrame:
+        return of("key").join(every.withColumn("_key", F.explode(_file_keys(F.col("path")))), [*scope, "_key"]).filter(fits)
+
+    def some(kind: str) -> DataFrame:
+        return every.join(of(kind).select(*scope).distinct(), scope, "left_semi")
+
+    def by_gram() -> DataFrame:
+        n = F.length("path") - GRAM + 1
+        grams = F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr("path", i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+        return of("gram").join(some("gram").withColumn("_key", F.explode(grams)), [*scope, "_key"]).filter(fits)
+
+    def by_shape() -> DataFrame:
+        # what has no literal can't tell names of one length apart
+        shaped = some("shape").withColumn("_shape", F.regexp_replace("path", "[^/]", "x"))
+        shapes = of("shape").join(shaped.select(*scope, "_shape").distinct(), scope).filter(F.rlike(F.col("_shape"), F.col("_pattern"))).select(*scope, "glob", "_shape")
+        return shapes.join(shaped, [*scope, "_shape"])
+
+    def by_all() -> DataFrame:
+        return of("rest").join(some("rest"), scope).filter(fits)
+
+    ways = {"key": by_key, "gram": by_gram, "shape": by_shape, "rest": by_all}
+    found = [ways[k]().select(*scope, "glob", "path") for k in sorted(kinds)]
+    return reduce(DataFrame.unionByName, found).distinct() if found else every.withColumn("glob", F.col("path")).limit(0).select(*scope, "glob", "path")

@@ -250,11 +250,28 @@ def stale_refs(spark, sf_dir):
     return found.select(F.col("rule_ids")[0].alias("page_id"), F.col("fix.ref").alias("ref"))
 
 
-@query(f"WITH f AS (SELECT page_id, {URL_PATH} AS p FROM pages WHERE {URL_PATH} <> ''), g AS (SELECT page_id, regexp_replace(p, '[0-9]$', '') AS lead FROM f WHERE regexp_matches(p, '/[0-9]*$')) SELECT DISTINCT g.page_id, g.lead || '*' AS ref FROM g WHERE EXISTS (SELECT 1 FROM f WHERE starts_with(f.p, g.lead) AND NOT contains(substr(f.p, length(g.lead) + 1), '/'))")
+#: What a page looks for, by its number: forms that name no directory, braces, single characters; {n} is a number that some pages have.
+LOOKED_FOR = ["**/{n}*", "*/{n}.html", "**/*{n}.html", "{{en,xx}}/{n}*", "*/{n}/**", "??/{n}?", "**/{{{n},x{n}}}"]
+SOUGHT = ["(?:[^/]+/)*{n}[^/]*", "[^/]*/{n}[.]html", "(?:[^/]+/)*[^/]*{n}[.]html", "(?:en|xx)/{n}[^/]*", "[^/]*/{n}/.*", "[^/][^/]/{n}[^/]", "(?:[^/]+/)*(?:{n}|x{n})"]
+NUMBER = "CAST(page_id * 7 % 997 AS {kind})"
+
+
+def by_form(forms: list[str], n: str) -> str:
+    """An expression of one of some forms, by page_id, with a number's expression put in."""
+    told = ["concat('" + f.replace("{n}", f"', {n}, '").replace("{{", "{").replace("}}", "}") + "')" for f in forms]
+    return "CASE " + " ".join(f"WHEN page_id % {len(forms)} = {i} THEN {t}" for i, t in enumerate(told)) + " END"
+
+
+@query(f"""
+WITH f AS (SELECT page_id, {URL_PATH} AS p FROM pages WHERE {URL_PATH} <> ''),
+g AS (SELECT page_id, {by_form(LOOKED_FOR, NUMBER.format(kind="VARCHAR"))} AS ref, {by_form(SOUGHT, NUMBER.format(kind="VARCHAR"))} AS re FROM f)
+SELECT page_id, ref FROM g WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT p FROM f) WHERE regexp_full_match(p, g.re))
+""")
 def glob_refs(spark, sf_dir):
+    """Globs of all pages against the paths of all pages; many match none."""
     f = url_files(spark, sf_dir)
     files = f.select("repo_id", "path").distinct()
-    refs = f.filter(F.col("path").rlike("/[0-9]*$")).select("repo_id", F.col("page_id").alias("rule_id"), F.lit(".").alias("dir"), F.lit("text").alias("text"), F.concat(F.regexp_replace("path", "[0-9]$", ""), F.lit("*")).alias("ref"))
+    refs = f.select("repo_id", F.col("page_id").alias("rule_id"), F.lit(".").alias("dir"), F.lit("text").alias("text"), F.expr(by_form(LOOKED_FOR, NUMBER.format(kind="STRING"))).alias("ref"))
     return ST.glob_hits(refs, files, ST.directories(files)).select(F.col("rule_id").alias("page_id"), "ref")
 
 
@@ -415,19 +432,33 @@ def markdown_rules(spark, sf_dir):
     return d.select("doc_id", F.posexplode(run("doc_id", "text")).alias("pos", "rule_id"))
 
 
+#: path, kind, directory it belongs to, whether it loads only under conditions, its front matter's globs, and whether it always applies.
+PART_SURFACES = [
+    ("AGENTS.md", "agents-md", ".", 0, None, None), ("CLAUDE.md", "claude-md", ".", 0, None, None), ("packages/web/AGENTS.md", "agents-md", "packages/web", 0, None, None), (".cursor/rules/a.mdc", "cursor-rule", ".", 1, None, None),
+    (".cursor/rules/b.mdc", "cursor-rule", ".", 0, None, True), (".windsurfrules", "windsurf-rule", ".", 0, None, None), ("packages/web/.cursor/rules/c.mdc", "cursor-rule", "packages/web", 1, "*.md", None),
+    (".github/copilot-instructions.md", "copilot-instructions", ".", 0, None, None), ("packages/web/CLAUDE.md", "claude-md", "packages/web", 0, None, None),
+]
+
+
 def surfaces_of_parts(spark, sf_dir):
-    kinds = [("AGENTS.md", "agents-md", "repo-root"), ("CLAUDE.md", "claude-md", "repo-root"), ("packages/web/AGENTS.md", "agents-md", "subtree"), (".cursor/rules/a.mdc", "cursor-rule", "repo-root"), (".windsurfrules", "windsurf-rule", "repo-root")]
-    meta = f"cast(null as {META})"
-    brands = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("repo_id")).agg(F.count("*").cast("int").alias("tokens_est"))
-    one = F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(k).alias("kind"), F.lit(s).alias("scope")) for p, k, s in kinds])).alias("k")
-    return brands.select("repo_id", "tokens_est", one).select("repo_id", "tokens_est", "k.*").withColumns({"surface_id": T.short_hash(F.col("path"), 10), "meta": F.expr(meta), "raw": F.lit("")})
+    """Each brand as a repository; two of three surfaces are there, by the number of its parts."""
+    meta = lambda globs, always: f"named_struct('description', null, 'globs', {f"array('{globs}')" if globs else 'null'}, 'always_apply', {'true' if always else 'null'}, 'trigger', null, 'frontmatter_error', null, 'front_matter', null)"
+    brands = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("repo_id")).agg(F.count("*").cast("int").alias("n"))
+    one = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("path"), F.lit(k).alias("kind"), F.lit("repo-root" if at == "." else "subtree").alias("scope"), F.expr(f"cast({meta(g, a)} as {META})").alias("meta")) for i, (p, k, at, _, g, a) in enumerate(PART_SURFACES)])).alias("k")
+    there = brands.select("repo_id", "n", one).select("repo_id", "n", "k.*").filter((F.col("n") + F.col("i")) % 3 != 0)
+    return there.withColumns({"surface_id": T.short_hash(F.col("path"), 10), "raw": F.lit(""), "tokens_est": F.col("n") + 10 * F.col("i")}).drop("n", "i")
 
 
-@query("""
+@query(f"""
 WITH b AS (SELECT p_brand AS repo_id, count(*) AS n FROM part GROUP BY 1),
-c(tool, directory, always, conditional) AS (VALUES ('claude-code', '.', 2, 0), ('claude-code', 'packages/web', 3, 0), ('codex', '.', 1, 0), ('codex', 'packages/web', 2, 0), ('generic-agents-md', '.', 1, 0), ('generic-agents-md', 'packages/web', 2, 0),
-('copilot', '.', 1, 0), ('copilot', 'packages/web', 2, 0), ('cursor', '.', 1, 1), ('cursor', 'packages/web', 2, 1), ('windsurf', '.', 1, 0))
-SELECT repo_id, tool, directory, (n * always)::BIGINT AS tokens_always, (n * conditional)::BIGINT AS tokens_conditional FROM b, c
+k(i, path, kind, place, conditional) AS (VALUES {", ".join(str((i, p, k, at, c)) for i, (p, k, at, c, _, _) in enumerate(PART_SURFACES))}),
+s AS (SELECT repo_id, path, kind, place, conditional, n + 10 * i AS tokens FROM b, k WHERE (n + i) % 3 <> 0),
+loads(tool, kind) AS (VALUES {", ".join(str((t, k)) for t, k, _ in X.LOADS)}),
+dirs AS (SELECT DISTINCT repo_id, '.' AS directory FROM s UNION SELECT repo_id, place FROM s),
+e AS (SELECT d.repo_id, tool, directory, path, tokens, conditional FROM dirs d JOIN s USING (repo_id) JOIN loads USING (kind) WHERE place IN ('.', directory)),
+g AS (SELECT repo_id, tool, directory, coalesce(sum(tokens) FILTER (conditional = 0), 0) AS always, coalesce(sum(tokens) FILTER (conditional = 1), 0) AS conditional, string_agg(path, ',' ORDER BY path) AS paths FROM e GROUP BY ALL),
+a AS (SELECT d.repo_id, t.tool, d.directory, coalesce(always, 0) AS always, coalesce(g.conditional, 0) AS conditional, coalesce(paths, '') AS paths FROM dirs d, (SELECT DISTINCT tool FROM loads) t LEFT JOIN g ON g.repo_id = d.repo_id AND g.tool = t.tool AND g.directory = d.directory)
+SELECT a.repo_id, a.tool, a.directory, a.always::BIGINT AS tokens_always, a.conditional::BIGINT AS tokens_conditional FROM a JOIN a AS r ON r.repo_id = a.repo_id AND r.tool = a.tool AND r.directory = '.' WHERE a.directory = '.' OR a.paths <> r.paths
 """)
 def tool_contexts(spark, sf_dir):
     s = surfaces_of_parts(spark, sf_dir)
