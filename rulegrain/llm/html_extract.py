@@ -66,7 +66,6 @@ COMMENT_END = re.compile(r"--!?>")
 TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 GAP, EQUALS = re.compile(r"[\s/]*"), re.compile(r"\s*=\s*")
 ATTRIBUTE, UNQUOTED = re.compile(r"=?[^\s/>=]*"), re.compile(r"[^\s>]*")
-SPACE = re.compile(r"\s+")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 DIGITS = re.compile(r"\d+|[0-9a-f]{8,}")
 #: Names of what readers wrote: it is left out even where it is most of a page.
@@ -110,10 +109,11 @@ class Tree:
 
     def begin(self, tag: str, attributes: dict[str, str], stays: bool) -> None:
         # a new item closes the outermost element of its kind on this side of a wall; cells are no walls for rows
-        wall = next((w for w in reversed(self.walls) if self.open[w].tag not in ("td", "th")), 0) if tag in CLOSED_BY else 0
-        found = [p[i] for t in CLOSED_BY.get(tag, ()) if (p := self.places.get(t)) and (i := bisect_right(p, wall)) < len(p)]
-        if found:
-            self.cut(min(found))
+        if (kinds := CLOSED_BY.get(tag)) and any(self.places.get(t) for t in kinds):
+            wall = next((w for w in reversed(self.walls) if self.open[w].tag not in ("td", "th")), 0)
+            found = [p[i] for t in kinds if (p := self.places.get(t)) and (i := bisect_right(p, wall)) < len(p)]
+            if found:
+                self.cut(min(found))
         node = Node(tag, attributes, self.open[-1])
         self.open[-1].children.append(node)
         if stays:
@@ -196,7 +196,8 @@ def parse(source: str) -> Node:
         name = TAG_NAME.match(source, at + ends)
         if not name or tags_end:
             continue
-        attributes, slash, end = _attributes(source, name.end(), unclosed)
+        end = name.end()
+        attributes, slash, end = ({}, False, end + 1) if source.startswith(">", end) else _attributes(source, end, unclosed)
         if end < 0:  # so no tag after it ends either
             tags_end = True
             continue
@@ -286,7 +287,7 @@ def _count(order: list[Node], spared: frozenset[Node]) -> list[Node]:
             continue
         if node.dropped:
             by_name.append(node)
-        node.text = sum(len(SPACE.sub(" ", c).strip()) if isinstance(c, str) else 0 if c.dropped else c.text for c in node.children)
+        node.text = sum(len(" ".join(c.split())) if isinstance(c, str) else 0 if c.dropped else c.text for c in node.children)
         node.linked = node.text if node.tag == "a" else sum(c.linked for c in inner if not c.dropped)
     return by_name
 
@@ -348,7 +349,7 @@ def blocks(node: Node) -> list[str]:
     now: list[str] = []
 
     def close() -> None:
-        if text := SPACE.sub(" ", "".join(now)).strip():
+        if text := " ".join("".join(now).split()):
             out.append(text)
         now.clear()
 
