@@ -405,7 +405,7 @@ def nearest(rows: DataFrame, top: int = 20, every: int = 20, key: str = "vec_id"
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     # all work is done on vectors times a power of 2 that makes the longest about 1: exact, and products fit whatever the vectors' size
     power = int(np.clip(np.frexp(told["m"])[1], -1000, 1000)) if np.isfinite(told["m"]) else 1000
-    used = used.withColumn("v", F.transform("v", lambda x: x * F.lit(2.0**-power)))
+    used = table(used.withColumn("v", F.transform("v", lambda x: x * F.lit(2.0**-power))), "vectors")  # they are read some ten times
     n, dim, length = told["n"], told["d"], min(float(told["m"]), 2.0**1023) * 2.0**-power * (1 + 1e-12)
     queries = used.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     setting = fitted(used, queries, n, dim, length, top, recall)
