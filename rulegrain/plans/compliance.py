@@ -4,36 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..functions.tokens import Counter, Vocabulary
 from ..operators import compliance as C
 from ..sources import repos as R
 from ..sources.config import Config
 from ..sources.settled import settled
+from ..sources.verdicts import VERDICTS as CACHE
+from ..sources.verdicts import VerdictStore
 
-CACHE = "rule_hash string, chunk_id string, model string, verdict string, evidence string"
 #: Dollars per million tokens, in and out, of a model that no price is given for.
 PRICE = (3.0, 15.0)
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """Verdicts that earlier runs kept in a folder; none if it isn't there yet. One row for each rule, chunk and model."""
-    try:
-        return spark.read.schema(CACHE).parquet(path).dropDuplicates(["rule_hash", "chunk_id", "model"])
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], CACHE)
+    return VerdictStore(spark, path).read()
 
 
 def keep_verdicts(outcome: Outcome, path: str) -> None:
-    """Append a run's new verdicts to the folder, so that a rerun asks only for what has changed."""
-    for new in outcome.new_verdicts:
-        new.write.mode("append").parquet(path)
+    """Add a run's new verdicts to the folder, so that a rerun asks only for what has changed."""
+    if outcome.new_verdicts:
+        store = VerdictStore(outcome.new_verdicts[0].sparkSession, path)
+        # they are told from what was read of the store, which the next generation leaves as it is
+        store.keep(reduce(DataFrame.unionByName, outcome.new_verdicts))
 
 
 @dataclass

@@ -30,6 +30,7 @@ from ..operators import staleness as ST
 from ..operators import structure as U
 from ..schema import KINDS, META
 from ..sources import repos as R
+from . import recall as RC
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -620,6 +621,40 @@ def gated_repositories(spark, sf_dir):
     return S.gate(f, S.scores(f, f.select("repo_id")), 50).select("repo_id", long("errors").alias("errors"), long("total").alias("total"), "passed")
 
 
+MIDDLE = "list_transform(string_split_regex(text, '\\s+'), lambda w, i: CASE WHEN i = len(string_split_regex(text, '\\s+')) // 2 + 1 THEN 'sideways' ELSE w END)"
+SPREAD = "(SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY seed) - 1 AS rn, count(*) OVER (PARTITION BY repo_id) AS c FROM {0})"
+TAKEN = "list_contains(list_transform(range(0, least(c, 7)), lambda i: i * c // least(c, 7)), rn)"
+
+
+def grams_of(words: str) -> str:
+    return f"CASE WHEN len({words}) = 0 THEN [] WHEN len({words}) <= 5 THEN [array_to_string({words}, ' ')] ELSE list_distinct(list_transform(range(1, len({words}) - 3), lambda i: array_to_string({words}[i:i + 4], ' '))) END"
+
+
+@query(rf"""
+WITH f AS (SELECT page_id, {URL_PATH} AS p FROM pages WHERE {URL_PATH} <> ''), t AS (SELECT DISTINCT p FROM f),
+refs AS (SELECT 'pages' AS repo_id, p, regexp_replace(p, '/$', '') AS q, page_id || '|' || p AS seed FROM f WHERE regexp_replace(p, '/$', '') IN (SELECT p FROM t)),
+lost AS (SELECT * FROM {SPREAD.format("refs")} WHERE {TAKEN}),
+stale AS (SELECT repo_id, 'stale-reference' AS defect, NOT EXISTS (SELECT 1 FROM t WHERE t.p <> l.q AND (starts_with(t.p, l.q || '/') OR regexp_extract(t.p, '[^/]*$') = l.p)) AS hit FROM lost l),
+long AS (SELECT source AS repo_id, text, doc_id AS seed FROM documents WHERE len(string_split_regex(text, '\s+')) >= 8),
+chosen AS (SELECT repo_id, text, array_to_string({MIDDLE}, ' ') AS changed FROM {SPREAD.format("long")} WHERE {TAKEN}),
+w AS (SELECT repo_id, {WORDS.format("text")} AS a, {WORDS.format("changed")} AS b FROM chosen),
+g AS (SELECT repo_id, len(a) AS n, len(b) AS m, {grams_of("a")} AS ga, {grams_of("b")} AS gb FROM w),
+copies AS (SELECT repo_id, 'duplication-verbatim' AS defect, n >= 4 AS hit FROM g UNION ALL SELECT repo_id, 'drift-one-word', n >= 4 AND m >= 4 AND len(list_intersect(ga, gb)) / (len(ga) + len(gb) - len(list_intersect(ga, gb))) >= 0.6 FROM g)
+SELECT repo_id, defect, count(*) AS seeded, count(*) FILTER (hit) AS caught FROM (FROM stale UNION ALL FROM copies) GROUP BY ALL
+""")
+def seeded_recall(spark, sf_dir):
+    """Paths of all pages as references to them, texts of all documents as rules of their sources; seven seeds of each class for each."""
+    f = url_files(spark, sf_dir).withColumn("repo_id", F.lit("pages"))
+    kinds = lambda df: df.withColumns({"start_line": F.lit(1), "end_line": F.lit(1), "kind": F.lit("imperative")})
+    refs = kinds(f.select("repo_id", F.lit("s").alias("surface_id"), F.col("page_id").cast("string").alias("rule_id"), F.lit(0).alias("ord"), F.lit("text").alias("text"), F.array("path").alias("refs")))
+    d = read(spark, sf_dir, "documents")
+    texts = kinds(d.select(F.col("source").alias("repo_id"), F.lit("s").alias("surface_id"), F.format_string("%012d", "doc_id").alias("rule_id"), F.col("doc_id").cast("int").alias("ord"), "text", F.array().cast("array<string>").alias("refs")))
+    rules = refs.unionByName(texts)
+    surfaces = rules.select("repo_id").distinct().withColumns({"surface_id": F.lit("s"), "path": F.lit("AGENTS.md"), "scope": F.lit("repo-root"), "tools": F.array(F.lit("codex"))})
+    scripts = f.select("repo_id", F.lit(".").alias("dir"), F.lit("x").alias("script")).limit(0)
+    return RC.recall(surfaces, rules, f.select("repo_id", "path").distinct(), scripts, 7, 7)
+
+
 @query("WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, doc_id FROM r WHERE n <= 7 OR list_contains(list_transform(range(0, 7), lambda i: i * n // 7), rn)")
 def spread_documents(spark, sf_dir):
     """A sampling operator: seven documents of each source, evenly spread."""
