@@ -509,6 +509,89 @@ def surface_kinds(spark, sf_dir):
     return f.select("page_id", "path", kind.alias("kind"), (R.scope_of(F.col("path"), kind) == "repo-root").alias("rooted"), F.array_join(R.tools_of(kind), ",").alias("tools"))
 
 
+MENTIONS = "page_id % 4 = 0"
+
+
+@query(f"""
+WITH s AS (SELECT page_id, {SURFACE_PATH} AS path FROM pages WHERE {URL_PATH} <> ''),
+u AS (SELECT page_id, path FROM s WHERE regexp_extract(path, '[^/]*$') NOT IN ('AGENTS.md', 'CLAUDE.md', 'SKILL.md', '.windsurfrules') AND NOT ends_with(path, '.mdc') AND path <> '.github/copilot-instructions.md' AND NOT contains(path, '.windsurf/rules/'))
+SELECT page_id, path || ' is loaded by no known tool (legacy format, assumed). Move its rules and delete it.' AS message FROM u
+UNION ALL SELECT page_id, path || ':3-4 refers to ~/.claude/, which teammates don' || chr(39) || 't have. Move it into the repository.' FROM s WHERE {MENTIONS}
+""")
+def load_semantics(spark, sf_dir):
+    """Surfaces of pages that no tool loads, and rules of every fourth that refer to a user's own folder."""
+    name = F.element_at(F.array(*map(F.lit, SURFACE_NAMES)), (F.col("page_id") % len(SURFACE_NAMES) + 1).cast("int"))
+    f = url_files(spark, sf_dir).withColumn("path", P.join(F.when(F.col("page_id") % 3 == 0, ".").otherwise(P.parent(F.col("path"))), name))
+    kind = R.kind_of(F.col("path"))
+    surfaces = f.select("repo_id", F.col("page_id").cast("string").alias("surface_id"), "path", kind.alias("kind"), R.scope_of(F.col("path"), kind).alias("scope"), R.tools_of(kind).alias("tools"), F.lit("").alias("raw"))
+    text = F.when(F.expr(MENTIONS), "See ~/.claude/notes.md").otherwise("See ~/claude/notes.md")
+    rules = f.select("repo_id", F.col("page_id").cast("string").alias("surface_id"), F.col("page_id").alias("rule_id"), text.alias("text"), F.lit(3).alias("start_line"), F.lit(4).alias("end_line"))
+    return U.structure(surfaces, rules).filter("category = 'load-semantics'").select(F.col("surface_ids")[0].cast("bigint").alias("page_id"), "message")
+
+
+#: Where a page's file is (some with an ending that references leave out), and what a rule refers to, from the root or from its directory.
+FILE_OF = "regexp_replace(path, '/$', '')"
+REF_OF = "CASE page_id % 4 WHEN 0 THEN q WHEN 1 THEN concat('./', b) WHEN 2 THEN concat(q, '9') ELSE concat('xx/', b) END"
+
+
+@query(rf"""
+WITH f AS (SELECT page_id, regexp_replace({URL_PATH}, '/$', '') AS q FROM pages WHERE contains({URL_PATH}, '/')),
+g AS (SELECT page_id, q, regexp_extract(q, '[^/]*$') AS b, regexp_replace(q, '/?[^/]*$', '') AS dir FROM f),
+i AS (SELECT DISTINCT q || CASE WHEN page_id % 3 = 0 THEN '.md' ELSE '' END AS p FROM g),
+dirs AS (SELECT DISTINCT array_to_string(a[1:k], '/') AS d FROM (SELECT a, unnest(range(1, len(a))) AS k FROM (SELECT string_split(p, '/') AS a FROM i))),
+r AS (SELECT page_id, {REF_OF} AS ref, CASE WHEN page_id % 2 = 0 OR dir = '' THEN '' ELSE dir END AS dir FROM g),
+c AS (SELECT page_id, ref, unnest([CASE WHEN dir = '' THEN '' ELSE dir || '/' END || regexp_replace(ref, '^[.]/', ''), regexp_replace(ref, '^[.]/', ''), CASE WHEN dir = '' THEN '' ELSE regexp_extract(dir, '^[^/]*') || '/' END || regexp_replace(ref, '^[.]/', '')]) AS cand FROM r),
+hit AS (SELECT DISTINCT page_id FROM c WHERE cand IN (SELECT p FROM i) OR cand IN (SELECT d FROM dirs) OR (NOT regexp_matches(ref, '(?i)\.[a-z0-9]{{1,10}}$') AND cand || '.md' IN (SELECT p FROM i))),
+strong AS (SELECT * FROM r WHERE starts_with(ref, './') OR regexp_matches(ref, '(?i)\.[a-z0-9]{{1,10}}$') OR regexp_extract(ref, '^[^/]*') IN (SELECT d FROM dirs) OR CASE WHEN dir = '' THEN '' ELSE dir || '/' END || regexp_extract(ref, '^[^/]*') IN (SELECT d FROM dirs))
+SELECT page_id, ref FROM strong WHERE page_id NOT IN (SELECT page_id FROM hit)
+""")
+def weak_refs(spark, sf_dir):
+    """References from the root and from directories, with endings left out, to what isn't there, and from unknown directories."""
+    f = url_files(spark, sf_dir).filter(F.contains("path", F.lit("/"))).withColumn("q", F.expr(FILE_OF)).withColumns({"b": P.basename(F.col("q")), "dir": P.parent(F.col("q"))})
+    files = f.select("repo_id", F.concat("q", F.when(F.col("page_id") % 3 == 0, ".md").otherwise("")).alias("path")).distinct()
+    at = F.when(F.col("page_id") % 2 == 0, ".").otherwise(F.col("dir"))
+    own = f.withColumns({"surface_id": F.concat(F.lit("at "), at), "ref": F.expr(REF_OF)})
+    rules = own.select("repo_id", "surface_id", F.col("page_id").alias("rule_id"), F.lit("text").alias("text"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.array("ref").alias("refs"))
+    surfaces = own.select("repo_id", "surface_id", P.join(at, F.lit("AGENTS.md")).alias("path"), F.lit("subtree").alias("scope")).distinct()
+    scripts = f.select("repo_id", F.lit(".").alias("dir"), F.lit("x").alias("script")).limit(0)
+    return ST.staleness(rules, surfaces, files, scripts).select(F.col("rule_ids")[0].alias("page_id"), F.col("fix.ref").alias("ref"))
+
+
+#: Front matter of rule files by a part's number: strict, lenient, typed, unknown values, broken, none.
+HEADS = [
+    "---\\ndescription: part {n}\\nglobs: src/**/*.{{ts,tsx}}, docs/{n}.md\\nalwaysApply: false\\n---\\n", "---\\nglobs: *.md\\nalwaysApply: true\\n---\\n", "---\\ntrigger: glob\\nglobs: [a/**, b/{n}]\\n---\\n",
+    "---\\ntrigger: sometimes\\nalwaysApply: maybe\\n---\\n", "---\\ndescription: [{n}\\nother: x\\n---\\n", "",
+]
+RAW_OF = "CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(HEADS)) + " END"
+
+
+def raw_of(newline: str) -> str:
+    told = RAW_OF.replace("{n}", "' || p_partkey || '").replace("{{", "{").replace("}}", "}").replace("\\n", f"' || {newline} || '")
+    return f"({told}) || '- Always keep part ' || p_partkey || ' small.' || {newline} || '- Never drop it.'"
+
+
+@query(rf"""
+WITH r AS (SELECT p_partkey, p_partkey % 6 AS k, {raw_of("chr(10)")} AS raw FROM part),
+g AS (SELECT *, regexp_extract(raw, 'globs: ([^\n]*)', 1) AS g FROM r)
+SELECT p_partkey, CASE WHEN k = 0 THEN regexp_replace(g, ', ', '|') WHEN g = '' THEN NULL ELSE regexp_replace(regexp_replace(g, '[\[\]]', '', 'g'), ', ', '|') END AS globs,
+  CASE regexp_extract(raw, 'alwaysApply: (true|false)\n', 1) WHEN '' THEN NULL WHEN 'true' THEN true ELSE false END AS always_apply, nullif(regexp_extract(raw, 'trigger: (always_on|manual|model_decision|glob)\n', 1), '') AS trigger,
+  regexp_matches(raw, 'description: [a-z]') AS described, contains(raw, 'description: [') AS broken, 2::BIGINT AS n_rules, (len(raw) - len(replace(raw, chr(10), '')) + 1)::BIGINT AS last_line FROM g
+""")
+def front_matter_kinds(spark, sf_dir):
+    """Rule files of parts: what their front matter says, and their rules at their lines."""
+    d = read(spark, sf_dir, "part").withColumn("n", F.col("p_partkey") % 6)
+    kind = F.when(F.col("n").isin(2, 3), "windsurf-rule").otherwise("cursor-rule")
+    raw = F.expr(raw_of("char(10)"))
+    surfaces = d.select(F.lit("r").alias("repo_id"), F.col("p_partkey").cast("string").alias("surface_id"), F.concat(F.lit(".cursor/rules/"), F.col("p_partkey").cast("string"), F.lit(".mdc")).alias("path"), kind.alias("kind"), raw.alias("raw"))
+    known, rules = R.parse(surfaces)
+    counted = rules.groupBy("surface_id").agg(F.count("*").alias("n_rules"), long(F.max("end_line")).alias("last_line"))
+    m = F.col("meta")
+    return known.join(counted, "surface_id").select(
+        F.col("surface_id").cast("bigint").alias("p_partkey"), F.array_join(m["globs"], "|").alias("globs"), m["always_apply"].alias("always_apply"), m["trigger"].alias("trigger"), m["description"].isNotNull().alias("described"),
+        m["frontmatter_error"].isNotNull().alias("broken"), "n_rules", "last_line",
+    )
+
+
 @query("SELECT doc_id, CASE WHEN octet_length(encode(text)) + CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END > 2048 THEN 'warn' ELSE 'info' END AS severity FROM documents WHERE octet_length(encode(text)) + CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END > 2048 OR doc_id % 10 = 0")
 def unreadable_surfaces(spark, sf_dir):
     """Texts as files, every tenth with a byte that is no UTF-8: findings of those above a size limit, or unreadable."""
