@@ -48,12 +48,16 @@ ESCAPED_BYTES = re.compile(ESCAPE.pattern.encode())
 UNIT = re.compile(r"%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|.+", re.DOTALL)
 #: What begins an escape, and an escape's longest form: one that gives a beginning again, as in %2525252541, is decoded on at once.
 BEGINNINGS, LONGEST = "%\\&", 11
-#: Runs of the alphabet on lines below each other, indented or not; padding ends the last.
-LINES = re.compile(r"[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)*+={0,2}")
-LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: A run of the alphabet, and what goes on with it on the lines below, indented or not; padding ends the last.
+RUN, LINE = re.compile(r"[A-Za-z0-9+/_-]{16,}+"), re.compile(r"[A-Za-z0-9+/_-]+")
+GOES_ON = re.compile(r"(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)*+={0,2}")
+#: A shorter run at the end of the line above.
+ABOVE = re.compile(r"([A-Za-z0-9+/_-]+)[ \t]*\r?\n[ \t]*\Z")
 LINE_END = re.compile(rb"[ \t]*\r?\n[ \t]*")
 #: A run has this many characters at least.
 LEAST_RUN = 16
+#: How far above a run's first line the end of a shorter one is looked for: that one, and blanks around the line's end.
+NEAR = 64
 OTHER = re.compile(rb"[^A-Za-z0-9+/]")
 LONG_RUN = re.compile(r"[A-Za-z0-9+/_-]{16}")
 #: Beginnings of compressed forms, and ASCII as UTF-16, anywhere in bytes.
@@ -552,8 +556,14 @@ def runs(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
     Lines of one width that stand below each other are one run, whose first line may have more or less and whose
     last one has no more; its first and last lines are also runs of their own, as they may be prose.
     """
-    for m in LINES.finditer(text):
-        lines = [(m.start() + x.start(), m.start() + x.end()) for x in LINE.finditer(m[0].rstrip("="))]
+    last = 0
+    while m := RUN.search(text, last):
+        begin, end = m.start(), GOES_ON.match(text, m.end()).end()
+        indent = len(text[last:begin]) - len(text[last:begin].rstrip(" \t")) if begin and text[begin - 1] in " \t" else 0
+        if begin - indent > last and text[begin - indent - 1] == "\n" and (above := ABOVE.search(text, max(last, begin - indent - NEAR), begin)):
+            begin = above.start(1)
+        lines = [x.span() for x in LINE.finditer(text, begin, end)]
+        last = end
         wide = [b - a for a, b in lines]
         alone, i = set(range(len(lines))), 0
         while i + 1 < len(lines):
@@ -564,12 +574,12 @@ def runs(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
             if max(wide[i : i + 2]) < LEAST_RUN:
                 i += 1
                 continue
-            yield lines[i][0], m.end() if j == len(lines) else lines[j - 1][1], lines[i:j]
+            yield lines[i][0], end if j == len(lines) else lines[j - 1][1], lines[i:j]
             alone -= set(range(i + 1, j - 1))
             i = j
         for k in sorted(alone):
             if wide[k] >= LEAST_RUN:
-                yield lines[k][0], m.end() if k == len(lines) - 1 else lines[k][1], [lines[k]]
+                yield lines[k][0], end if k == len(lines) - 1 else lines[k][1], [lines[k]]
 
 
 def _base64(parent: Layer) -> Iterator[Layer]:
