@@ -574,7 +574,7 @@ def raw_of(newline: str) -> str:
 WITH r AS (SELECT p_partkey, p_partkey % 6 AS k, {raw_of("chr(10)")} AS raw FROM part),
 g AS (SELECT *, regexp_extract(raw, 'globs: ([^\n]*)', 1) AS g FROM r)
 SELECT p_partkey, CASE WHEN k = 0 THEN regexp_replace(g, ', ', '|') WHEN g = '' THEN NULL ELSE regexp_replace(regexp_replace(g, '[\[\]]', '', 'g'), ', ', '|') END AS globs,
-  CASE regexp_extract(raw, 'alwaysApply: (true|false)\n', 1) WHEN '' THEN NULL WHEN 'true' THEN true ELSE false END AS always_apply, nullif(regexp_extract(raw, 'trigger: (always_on|manual|model_decision|glob)\n', 1), '') AS trigger,
+  nullif(regexp_extract(raw, 'alwaysApply: (true|false)\n', 1), '') AS always_apply, nullif(regexp_extract(raw, 'trigger: (always_on|manual|model_decision|glob)\n', 1), '') AS trigger,
   regexp_matches(raw, 'description: [a-z]') AS described, contains(raw, 'description: [') AS broken, 2::BIGINT AS n_rules, (len(raw) - len(replace(raw, chr(10), '')) + 1)::BIGINT AS last_line FROM g
 """)
 def front_matter_kinds(spark, sf_dir):
@@ -587,7 +587,7 @@ def front_matter_kinds(spark, sf_dir):
     counted = rules.groupBy("surface_id").agg(F.count("*").alias("n_rules"), long(F.max("end_line")).alias("last_line"))
     m = F.col("meta")
     return known.join(counted, "surface_id").select(
-        F.col("surface_id").cast("bigint").alias("p_partkey"), F.array_join(m["globs"], "|").alias("globs"), m["always_apply"].alias("always_apply"), m["trigger"].alias("trigger"), m["description"].isNotNull().alias("described"),
+        F.col("surface_id").cast("bigint").alias("p_partkey"), F.array_join(m["globs"], "|").alias("globs"), m["always_apply"].cast("string").alias("always_apply"), m["trigger"].alias("trigger"), m["description"].isNotNull().alias("described"),
         m["frontmatter_error"].isNotNull().alias("broken"), "n_rules", "last_line",
     )
 
