@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..schema import TOOLS
+from ..sources.settled import settled
 from .globs import matches
 
 # What each tool loads, by kind of surface and branch of its order.
@@ -82,7 +83,8 @@ def entries(surfaces: DataFrame, files: DataFrame) -> DataFrame:
     legacy = F.col("path").endswith(".windsurfrules")
     wants = F.coalesce(F.size(globs), F.lit(0)) > 0
     by_glob = wants & ((kind == "cursor-rule") & ~F.coalesce(F.col("meta.always_apply"), F.lit(False)) | (kind == "windsurf-rule") & (F.col("meta.trigger") == "glob"))
-    active = active_globs(all_.filter(by_glob).select("repo_id", "surface_id", "at", "directory", globs.alias("globs")), files).withColumn("active", F.lit(True))
+    # what is loaded is asked for several times; which globs are active is found once
+    active = settled(active_globs(all_.filter(by_glob).select("repo_id", "surface_id", "at", "directory", globs.alias("globs")), files), "active").withColumn("active", F.lit(True))
     told = all_.join(active, ["repo_id", "surface_id", "directory"], "left")
     shown = F.array_join(F.transform(globs, lambda g: F.concat(F.lit("`"), g, F.lit("`"))), ", ")
     where = described(F.col("scope"), F.col("at"), F.col("directory"))

@@ -30,6 +30,7 @@ from ..operators import staleness as ST
 from ..operators import structure as U
 from ..schema import KINDS, META
 from ..sources import repos as R
+from ..sources.settled import settled
 from . import recall as RC
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -462,7 +463,7 @@ a AS (SELECT d.repo_id, t.tool, d.directory, coalesce(always, 0) AS always, coal
 SELECT a.repo_id, a.tool, a.directory, a.always::BIGINT AS tokens_always, a.conditional::BIGINT AS tokens_conditional FROM a JOIN a AS r ON r.repo_id = a.repo_id AND r.tool = a.tool AND r.directory = '.' WHERE a.directory = '.' OR a.paths <> r.paths
 """)
 def tool_contexts(spark, sf_dir):
-    s = surfaces_of_parts(spark, sf_dir)
+    s = settled(surfaces_of_parts(spark, sf_dir), "surfaces")
     files = s.select("repo_id", "path")
     return X.contexts(s, files).select("repo_id", "tool", "directory", long("tokens_always").alias("tokens_always"), long("tokens_conditional").alias("tokens_conditional"))
 
@@ -523,7 +524,9 @@ def load_semantics(spark, sf_dir):
     name = F.element_at(F.array(*map(F.lit, SURFACE_NAMES)), (F.col("page_id") % len(SURFACE_NAMES) + 1).cast("int"))
     f = url_files(spark, sf_dir).withColumn("path", P.join(F.when(F.col("page_id") % 3 == 0, ".").otherwise(P.parent(F.col("path"))), name))
     kind = R.kind_of(F.col("path"))
-    surfaces = f.select("repo_id", F.col("page_id").cast("string").alias("surface_id"), "path", kind.alias("kind"), R.scope_of(F.col("path"), kind).alias("scope"), R.tools_of(kind).alias("tools"), F.lit("").alias("raw"))
+    kinds = settled(f.withColumn("kind", kind), "kinds")
+    kind = F.col("kind")
+    surfaces = kinds.select("repo_id", F.col("page_id").cast("string").alias("surface_id"), "path", "kind", R.scope_of(F.col("path"), kind).alias("scope"), R.tools_of(kind).alias("tools"), F.lit("").alias("raw"))
     text = F.when(F.expr(MENTIONS), "See ~/.claude/notes.md").otherwise("See ~/claude/notes.md")
     rules = f.select("repo_id", F.col("page_id").cast("string").alias("surface_id"), F.col("page_id").alias("rule_id"), text.alias("text"), F.lit(3).alias("start_line"), F.lit(4).alias("end_line"))
     return U.structure(surfaces, rules).filter("category = 'load-semantics'").select(F.col("surface_ids")[0].cast("bigint").alias("page_id"), "message")
