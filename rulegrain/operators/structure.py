@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schema import finding, place
-from .similarity import hashed, with_shingles
+from .similarity import with_shingles, with_tokens
 
 PER_TOOL = ("claude-md", "cursor-rule", "copilot-instructions", "windsurf-rule", "other")
 LEAST_FILES, LEAST_OVERLAP, LEAST_CHARS = 3, 0.5, 80
@@ -21,7 +21,7 @@ def mean_overlap(sets: DataFrame) -> DataFrame:
     """
     empty = F.col("n") == 0  # no words: like nothing, not even another one
     kinds = sets.groupBy("repo_id", "words", "n").agg(F.count("*").alias("m")).withColumn("class", F.xxhash64("words"))
-    one = kinds.select("repo_id", "class", "m", "n", F.explode(hashed(F.col("words"))).alias("token"))
+    one = with_tokens(kinds).select("repo_id", "class", "m", "n", F.explode("tokens").alias("token"))
     a, b = one.alias("a"), one.alias("b")
     on = (F.col("a.repo_id") == F.col("b.repo_id")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class"))
     side = lambda s: [F.col(f"{s}.{c}").alias(f"{c}{s}") for c in ("class", "m", "n")]
