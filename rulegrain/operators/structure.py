@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schema import finding, place
-from .similarity import with_shingles, with_tokens
+from ..sources.settled import settled
+from .similarity import fixed, with_shingles, with_tokens
 
 PER_TOOL = ("claude-md", "cursor-rule", "copilot-instructions", "windsurf-rule", "other")
 LEAST_FILES, LEAST_OVERLAP, LEAST_CHARS = 3, 0.5, 80
@@ -16,18 +17,24 @@ LEAST_FILES, LEAST_OVERLAP, LEAST_CHARS = 3, 0.5, 80
 def mean_overlap(sets: DataFrame) -> DataFrame:
     """repo_id, files, mean: mean similarity of all pairs of a repository's sets (repo_id, id, n, words); pairs that share nothing count as 0.
 
-    Equal texts are one class that counts as often as it occurs, so copies make no pairs. Only classes that
-    share a shingle are joined; the number of pairs is known without them.
+    Equal sets are one class that counts as often as it occurs, so copies make no pairs. Shingles that occur in the
+    very same classes (told by two 64-bit hashes), as those of one passage do, are one with a weight; each class meets
+    the others once for each such group. The number of pairs is known without them.
     """
-    empty = F.col("n") == 0  # no words: like nothing, not even another one
-    kinds = sets.groupBy("repo_id", "words", "n").agg(F.count("*").alias("m")).withColumn("class", F.xxhash64("words"))
-    one = with_tokens(kinds).select("repo_id", "class", "m", "n", F.explode("tokens").alias("token"))
-    a, b = one.alias("a"), one.alias("b")
-    on = (F.col("a.repo_id") == F.col("b.repo_id")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class"))
-    side = lambda s: [F.col(f"{s}.{c}").alias(f"{c}{s}") for c in ("class", "m", "n")]
-    shared = a.join(b, on).groupBy(F.col("a.repo_id").alias("repo_id"), *side("a"), *side("b")).agg(F.count("*").alias("i"))
-    between = shared.select("repo_id", (F.col("ma") * F.col("mb") * F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("j"))
-    within = kinds.select("repo_id", F.when(empty, 0.0).otherwise(F.col("m") * (F.col("m") - 1) / 2).alias("j"))
+    ordered = fixed(with_tokens(sets.select("repo_id", "words")).drop("words"), "held", F.sort_array("tokens"))
+    cls = F.concat_ws(" ", F.size("held"), F.xxhash64("held"), F.xxhash64(F.reverse("held")))
+    made = settled(ordered.select(F.monotonically_increasing_id().alias("c"), "repo_id", cls.alias("cls"), F.size("held").cast("bigint").alias("n"), F.col("held").alias("tokens")), "overlap")
+    kinds = settled(made.groupBy("repo_id", "cls").agg(F.count("*").alias("m"), F.any_value("n").alias("n"), F.min("c").alias("c")).drop("cls"), "kinds")
+    one = made.join(kinds.select("c"), "c", "left_semi").select("c", "repo_id", F.explode("tokens").alias("token")).select("c", F.xxhash64("repo_id", "token").alias("key"))
+    dealt = one.repartition("key")
+    lists = dealt.groupBy("key").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("c")).alias("h"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("g")).filter("df > 1")
+    groups = lists.groupBy("df", "h", "g").agg(F.count("*").alias("weight"), F.min("key").alias("key")).select("key", "weight")
+    posts = settled(dealt.join(groups, "key").join(kinds, "c").select("key", "weight", "c", "m", "n"), "posts")
+    side = lambda x: posts.select("key", *(["weight"] if x == "a" else []), *(F.col(c).alias(f"{c}{x}") for c in "cmn"))
+    shared = side("a").join(side("b"), "key").filter("ca < cb").groupBy("ca", "cb", (F.col("ma") * F.col("mb")).alias("m"), (F.col("na") + F.col("nb")).alias("n")).agg(F.sum("weight").alias("i"))
+    between = shared.groupBy(F.col("ca").alias("c")).agg(F.sum(F.col("m") * F.col("i") / (F.col("n") - F.col("i"))).alias("j")).join(kinds, "c").select("repo_id", "j")
+    # no words: like nothing, not even another one
+    within = kinds.select("repo_id", F.when(F.col("n") == 0, 0.0).otherwise(F.col("m") * (F.col("m") - 1) / 2).alias("j"))
     total = between.unionByName(within).groupBy("repo_id").agg(F.sum("j").alias("total"))
     n = kinds.groupBy("repo_id").agg(F.sum("m").alias("files"))
     return n.join(total, "repo_id", "left").select("repo_id", "files", F.when(F.col("files") > 1, F.coalesce("total", F.lit(0.0)) / (F.col("files") * (F.col("files") - 1) / 2)).otherwise(0.0).alias("mean"))
