@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schema import finding, place
-from .similarity import DUPLICATE, capped, with_shingles
+from ..sources.settled import settled
+from .similarity import DUPLICATE, capped, members_of, with_shingles
 
 LEAST_SHARED = 2
 
@@ -20,6 +21,26 @@ def directives(rules: DataFrame) -> DataFrame:
     return told.withColumn("core", T.directive_core(s)).filter(F.size("core") > 0)
 
 
+def opposed(said: DataFrame) -> DataFrame:
+    """repo_id, a, b, shared: pairs of rules (the first by ord is a) that share LEAST_SHARED pairs of words or more in sentences of opposite polarity.
+
+    said: directives(). Rules that say the same are one class: classes are joined, and rows are made of their members
+    at the end. A rule_id has one ord.
+    """
+    words = said.select("repo_id", "rule_id", "ord", "polarity", F.explode("core").alias("pair"))
+    marks = F.sort_array(F.collect_list(F.struct("polarity", "pair")))
+    told = settled(words.groupBy("repo_id", "rule_id", "ord").agg(marks.alias("marks")).withColumn("cls", F.concat_ws(" ", F.xxhash64("marks"), F.xxhash64(F.reverse("marks")))), "said")
+    one = told.groupBy("repo_id", "cls").agg(F.any_value("marks").alias("marks")).select("repo_id", "cls", F.inline("marks"))
+    a, b = one.alias("a"), one.alias("b")
+    on = (F.col("a.repo_id") == F.col("b.repo_id")) & (F.col("a.pair") == F.col("b.pair")) & (F.col("a.polarity") != F.col("b.polarity")) & (F.col("a.cls") <= F.col("b.cls"))
+    met = a.join(b, on).groupBy(F.col("a.repo_id").alias("repo_id"), F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).agg(F.count("*").alias("shared"))
+    # two rules of one class: each meeting of its own marks was counted from both sides, as two rules' are
+    pairs = settled(met.filter(F.col("shared") >= LEAST_SHARED), "opposed")
+    each = members_of(pairs, told.select("repo_id", "cls", "ord", F.col("rule_id").alias("id"), F.lit(None).cast("string").alias("grp")))
+    first = F.col("_a.ord") < F.col("_b.ord")
+    return each.select("repo_id", F.when(first, F.col("_a.id")).otherwise(F.col("_b.id")).alias("a"), F.when(first, F.col("_b.id")).otherwise(F.col("_a.id")).alias("b"), "shared")
+
+
 def contradiction(rules: DataFrame, surfaces: DataFrame, max_rules: int | None = None) -> DataFrame:
     """Findings: each pair of rules once, by its first pair of sentences. Pairs of near duplicates don't count."""
     few, _ = capped(rules, max_rules)

@@ -116,7 +116,7 @@ def shingle_counts(spark, sf_dir):
 
 
 def doc_pairs(spark, sf_dir, least):
-    sets = SIM.with_shingles(doc_rules(spark, sf_dir)).filter(F.size("words") >= SIM.LEAST_WORDS)
+    sets = SIM.long_enough(SIM.with_shingles(doc_rules(spark, sf_dir)))
     return SIM.similar_pairs(sets.select("repo_id", F.col("rule_id").alias("id"), "ord", F.col("surface_id").alias("grp"), "n", "words", "tokens"), least)
 
 
@@ -167,11 +167,7 @@ pairs AS (SELECT repo_id, rule_id, ord, p, unnest(list_distinct(list_transform(r
 SELECT a.repo_id, a.rule_id AS a, b.rule_id AS b, count(*)::BIGINT AS shared FROM pairs a JOIN pairs b ON a.repo_id = b.repo_id AND a.g = b.g AND a.p <> b.p AND a.ord < b.ord GROUP BY ALL HAVING count(*) >= 2
 """)
 def contradiction_pairs(spark, sf_dir):
-    said = D.directives(part_rules(spark, sf_dir))
-    words = said.select("repo_id", "rule_id", "ord", "polarity", F.explode("core").alias("pair"))
-    a, b = words.alias("a"), words.alias("b")
-    on = (F.col("a.repo_id") == F.col("b.repo_id")) & (F.col("a.pair") == F.col("b.pair")) & (F.col("a.polarity") != F.col("b.polarity")) & (F.col("a.ord") < F.col("b.ord"))
-    return a.join(b, on).groupBy(F.col("a.repo_id").alias("repo_id"), F.col("a.rule_id").alias("a"), F.col("b.rule_id").alias("b")).agg(F.count("*").alias("shared")).filter(F.col("shared") >= D.LEAST_SHARED)
+    return D.opposed(D.directives(part_rules(spark, sf_dir)))
 
 
 @query(f"WITH {PART_RULES} SELECT repo_id, kind, count(*)::BIGINT AS n FROM (SELECT repo_id, CASE WHEN regexp_matches(text, '(?i)\\b(?:{T.MODAL_WORDS.replace(chr(39), chr(39) * 2)})\\b') OR regexp_matches(text, '(?i)^(?:{T.IMPERATIVE_STARTS.replace(chr(39), chr(39) * 2)})\\b') THEN 'imperative' WHEN length(text) > 30 THEN 'context' ELSE 'unknown' END AS kind FROM rules) GROUP BY 1, 2")
