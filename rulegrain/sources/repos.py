@@ -16,6 +16,7 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..operators.ranks import with_ranks
 from ..schema import META, finding
+from .settled import settled
 
 # Files that are surfaces, and folders that are never walked.
 SURFACE_GLOBS = [
@@ -183,7 +184,8 @@ def parse(surface_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = zip(path.to_pylist(), kinds.to_pylist(), ids.to_pylist(), raw.to_pylist(), strict=True)
         return pa.array([dict(zip(("rules", "meta"), M.parse_surface(*r), strict=True)) for r in rows], kind)
 
-    parsed = surface_rows.withColumn("parsed", read("path", "kind", "surface_id", "raw"))
+    # written, as surfaces, the ranges of the ranks, and the ranks ask for it, and each would parse all again
+    parsed = settled(surface_rows.withColumn("parsed", read("path", "kind", "surface_id", "raw")), "parsed")
     known = parsed.withColumn("meta", F.col("parsed.meta")).drop("parsed")
     each = parsed.select("repo_id", "surface_id", "path", F.posexplode("parsed.rules").alias("pos", "r"))
     r = F.col("r")
